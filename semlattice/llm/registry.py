@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import neardup
+from . import mixing, neardup, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_mix_to_weights": mixing.op1_mix_to_weights,
         "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
+        "op10_jump_hash_sharding": sharding.op10_jump_hash_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_minhash_near_dedup": neardup.ORACLE_SQL,
+        "op10_jump_hash_sharding": sharding.ORACLE_SQL,
     }
