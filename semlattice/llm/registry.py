@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, sharding
+from . import chunks, licences, mixing, neardup, sharding
 
 
 def queries() -> dict:
     return {
         "op1_mix_to_weights": mixing.op1_mix_to_weights,
+        "op3_licence_scan": licences.op3_licence_scan,
         "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
+        "op8_chunk_substring_dedup": chunks.op8_chunk_substring_dedup,
         "op10_jump_hash_sharding": sharding.op10_jump_hash_sharding,
     }
 
