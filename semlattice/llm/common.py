@@ -81,3 +81,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner", limit: int = 200_000) -> DataFrame:
+    """Broadcasts right only if it has at most `limit` rows, counted beforehand; else a sort-merge join. right: saved, narrow."""
+    small = right.limit(limit + 1).count() <= limit
+    return left.join(F.broadcast(right), on, how) if small else left.hint("merge").join(right, on, how)

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from . import chunks, licences, mixing, neardup, sharding
+from . import chunks, decontam, licences, mixing, neardup, sharding, topk
 
 
 def queries() -> dict:
     return {
         "op1_mix_to_weights": mixing.op1_mix_to_weights,
         "op3_licence_scan": licences.op3_licence_scan,
+        "op5_segment_top_k": topk.op5_segment_top_k,
         "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
         "op8_chunk_substring_dedup": chunks.op8_chunk_substring_dedup,
+        "op9_template_decontamination": decontam.op9_template_decontamination,
         "op10_jump_hash_sharding": sharding.op10_jump_hash_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_segment_top_k": topk.ORACLE_SQL,
         "op7_minhash_near_dedup": neardup.ORACLE_SQL,
+        "op9_template_decontamination": decontam.ORACLE_SQL,
         "op10_jump_hash_sharding": sharding.ORACLE_SQL,
     }
