@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chunks, decontam, licences, mixing, neardup, sharding, topk
+from . import chunks, decontam, licences, mixing, neardup, quality, sharding, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_to_weights": mixing.op1_mix_to_weights,
+        "op2_ftrl_toxicity": toxicity.op2_ftrl_toxicity,
         "op3_licence_scan": licences.op3_licence_scan,
+        "op4_attention_mil_quality": quality.op4_attention_mil_quality,
         "op5_segment_top_k": topk.op5_segment_top_k,
         "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
         "op8_chunk_substring_dedup": chunks.op8_chunk_substring_dedup,
