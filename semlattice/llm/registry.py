@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontam, licences, mixing, neardup, quality, sharding, topk, toxicity
+from . import chunks, decontam, licences, mixing, neardup, quality, sharding, tokenfile, topk, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_licence_scan": licences.op3_licence_scan,
         "op4_attention_mil_quality": quality.op4_attention_mil_quality,
         "op5_segment_top_k": topk.op5_segment_top_k,
+        "op6_simple8b_token_files": tokenfile.op6_simple8b_token_files,
         "op7_minhash_near_dedup": neardup.op7_minhash_near_dedup,
         "op8_chunk_substring_dedup": chunks.op8_chunk_substring_dedup,
         "op9_template_decontamination": decontam.op9_template_decontamination,
