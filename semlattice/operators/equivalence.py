@@ -44,7 +44,7 @@ def explicit_pairs(t: DataFrame, cls: str = "Company", predicates: tuple[str, ..
     """(a, b) that are stated to be the same, both of the class."""
     members = types(t).where(F.col("class") == cls).select("s")
     stated = t.where(F.col("p").isin(*predicates) & (F.col("o_kind") == "uri")).select(F.col("s").alias("a"), F.col("o").alias("b"))
-    return stated.join(members.withColumnRenamed("s", "a"), "a", "left_semi").join(members.withColumnRenamed("s", "b"), "b", "left_semi").where("a <> b").distinct()
+    return stated.join(members.withColumnRenamed("s", "a"), "a", "left_semi").join(members.withColumnRenamed("s", "b"), "b", "left_semi").where("a <> b").select("a", "b").distinct()
 
 
 def canonical(pairs: DataFrame) -> DataFrame:
