@@ -9,7 +9,7 @@ def _infer(spark, file, *columns):
 
 def test_companies(spark, rows):
     maps, summary = mappings_of(_infer(spark, "up.csv", "company_id", "company_name", "industry", "employees", "colour"))
-    assert summary == {"class": "Company", "id_column": "company_id", "template": "c_{id}", "label_column": "company_name", "properties": 1, "relations": ["belongsToIndustry"], "unmapped": ["colour"]}
+    assert summary == {"class": "Company", "id_column": "company_id", "template": "c_{id}", "label_column": "company_name", "properties": 2, "relations": ["belongsToIndustry"], "unmapped": ["colour"]}
     df = spark.createDataFrame([("C1", "ACME", "Logistics", "5", "red")], "company_id string, company_name string, industry string, employees string, colour string")
     got = rows(ingest(df, maps, "up", "Up").select("s", "p", "o"))
     assert ("c_C1", "name", "ACME") in got and ("ind_Logistics", "type", "Industry") in got and ("c_C1", "belongsToIndustry", "ind_Logistics") in got and ("c_C1", "employees", "5") in got
