@@ -168,9 +168,10 @@ def block_links(nodes: np.ndarray, side: np.ndarray, signatures: np.ndarray, set
     across = side.any()
     for a in np.flatnonzero(side == 0):
         others = forest.label != forest.label[a]
-        others[: a + 1] = False
         if across:
             others &= side == 1
+        else:
+            others[: a + 1] = False
         # sizes bound the similarity before anything else is looked at
         others &= (100 * np.minimum(sizes, sizes[a]) >= spec.percent * np.maximum(sizes, sizes[a]))
         near = np.flatnonzero(others)
