@@ -44,26 +44,29 @@ def within_quota(rows: DataFrame, max_rows: int = 5000, table: str = "sheet_idx"
     """
     counts = rows.groupBy(table).agg(F.count("*").alias("n"))
     before = counts.select(table, F.coalesce(F.sum("n").over(W.orderBy(table).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a table
-    numbered = rows.join(before.where(F.col("before") < max_rows), table).withColumn("nr", F.row_number().over(W.partitionBy(table).orderBy(order)))
+    # the first filter lets Spark cut each table to max_rows before the shuffle
+    numbered = rows.withColumn("nr", F.row_number().over(W.partitionBy(table).orderBy(order))).where(F.col("nr") <= max_rows).join(before.where(F.col("before") < max_rows), table)
     return numbered.where(F.col("before") + F.col("nr") <= max_rows).drop("before", "nr")
 
 
 def unique_keys(rows: DataFrame, key: str, number: str) -> DataFrame:
-    """rows with unique keys as text: blank and repeated ones become auto<number>, number counting rows from 1 in their order.
+    """rows with unique keys as text: blank and repeated ones become auto<number>, number being each row's own, from 1 in their order.
 
     If a real key has that form already, as many '_' follow as it takes to be free.
     """
     text = F.col(key).cast("string")
     blank = ~F.coalesce(not_blank(text), F.lit(False))
-    first = F.row_number().over(W.partitionBy("__key").orderBy(number))
-    ranked = rows.withColumn("__key", F.when(~blank, text)).withColumn("__nr", F.when(F.col("__key").isNull(), F.lit(2)).otherwise(first))
+    ranked = rows.withColumn("__key", F.when(~blank, text))
+    # the first row of each key by an aggregate with partial results: blank and very frequent keys meet in no window
+    first = ranked.where("__key is not null").groupBy("__key").agg(F.min(number).alias("__first"))
+    ranked = ranked.hint("merge").join(first, "__key", "left").withColumn("__again", F.col("__first").isNull() | (F.col(number) > F.col("__first")))
     # real keys of the form auto<number>_*, by number
     taken = rows.select(F.regexp_extract(text, r"^auto([0-9]+)(_*)$", 1).alias("a"), F.length(F.regexp_extract(text, r"^auto([0-9]+)(_*)$", 2)).alias("u")).where("a <> ''").groupBy(F.col("a").try_cast("bigint").alias("__auto")).agg(F.array_sort(F.collect_set("u")).alias("__used"))
     fresh = ranked.join(taken.hint("merge"), F.col(number).cast("bigint") == F.col("__auto"), "left")
     used = F.coalesce("__used", F.array().cast("array<int>"))
     marks = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(used)), used))
     auto = F.concat(F.lit("auto"), F.col(number).cast("string"), F.repeat(F.lit("_"), marks))
-    return fresh.withColumn(key, F.when(F.col("__nr") > 1, auto).otherwise(F.col("__key"))).drop("__key", "__nr", "__auto", "__used")
+    return fresh.withColumn(key, F.when(F.col("__again"), auto).otherwise(F.col("__key"))).select(rows.columns)
 
 
 def quality_report(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import Namespaces
+from ..plans.scratch import join_checked
 from .graph import canonical_of, labels, least_class, types
 
 # Chinese names of institutions with their English name and country.
@@ -82,15 +83,18 @@ def with_aliases(entries: DataFrame, t: DataFrame, aliases: DataFrame, cls: str
 def candidate_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """(text_id, key, start, end): every place of a key in a text, upper and lower case alike.
 
-    A key's length and first two characters lead to its possible places: each text's
-    positions are equi-joined on the two characters with the lengths that occur behind them.
+    The first two characters of the keys, with the lengths that follow them, lead to the
+    possible places: only there a piece is cut, from a window no longer than the longest key,
+    and equi-joined with the keys. That table is broadcast only if it is small.
     """
     starts = keys.select(F.substring("key", 1, 2).alias("lead"), F.length("key").alias("n")).distinct()
+    longest = keys.agg(F.max(F.length("key"))).first()[0] or 2
     text = texts.select("text_id", F.lower("text").alias("text")).where(F.length("text") >= 2)
-    places = text.select("text_id", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("i"))
-    cut = places.select("text_id", "text", "i", F.substr("text", F.col("i"), F.lit(2)).alias("lead")).hint("merge").join(starts, "lead")
-    pieces = cut.where(F.col("i") + F.col("n") - 1 <= F.length("text")).select("text_id", F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end"), F.substr("text", F.col("i"), F.col("n")).alias("key"))
-    return pieces.hint("merge").join(keys.select("key").distinct(), "key", "left_semi").select("text_id", "key", "start", "end")
+    cut = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.struct(i.alias("i"), F.substr("text", i, F.lit(longest)).alias("ahead")))
+    places = text.select("text_id", F.explode(cut).alias("x")).select("text_id", "x.i", "x.ahead", F.substring("x.ahead", 1, 2).alias("lead"))
+    led = join_checked(places, starts, "lead").where(F.length("ahead") >= F.col("n"))
+    pieces = led.select("text_id", F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end"), F.substr("ahead", F.lit(1), F.col("n")).alias("key"))
+    return join_checked(pieces, keys.select("key").distinct(), "key", "left_semi").select("text_id", "key", "start", "end")
 
 
 def accepted_spans(spans: DataFrame) -> DataFrame:

@@ -118,8 +118,9 @@ def reverse_related(t: DataFrame, canonical: DataFrame, relation: str) -> DataFr
 def relations_grouped(t: DataFrame, canonical: DataFrame, ids: DataFrame, shown: int = 20) -> DataFrame:
     """(uri, p, names, n): up to `shown` least names of each relation, and the total."""
     facts = entity_detail(t, canonical, ids).where("kind = 'relation'").select("uri", "p", "target", "value").distinct()
-    ranked = facts.withColumn("nr", F.row_number().over(W.partitionBy("uri", "p").orderBy("value", "target")))
-    return ranked.groupBy("uri", "p").agg(F.array_sort(F.collect_list(F.when(F.col("nr") <= shown, F.col("value")))).alias("names"), F.count("*").alias("n"))
+    first = facts.withColumn("nr", F.row_number().over(W.partitionBy("uri", "p").orderBy("value", "target"))).where(F.col("nr") <= shown)
+    listed = first.groupBy("uri", "p").agg(F.array_sort(F.collect_list("value")).alias("names"))
+    return listed.join(facts.groupBy("uri", "p").agg(F.count("*").alias("n")), ["uri", "p"])
 
 
 def query_relation(t: DataFrame, canonical: DataFrame, subject_class: str, relation: str, object_class: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -18,3 +19,9 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", limit: int = 200_000) -> DataFrame:
+    """Broadcasts right only if it has at most `limit` narrow rows, counted beforehand; else a sort-merge join."""
+    small = right.limit(limit + 1).count() <= limit
+    return left.join(F.broadcast(right), on, how) if small else left.hint("merge").join(right, on, how)
