@@ -11,16 +11,18 @@ from ..plans.scratch import saved
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (node, root) for the undirected edges (a, b); root is the least node of the component.
 
-    Each round is two aggregates with partial results and two joins whose skewed parts can be
-    split, so a hub's edges are never gathered. Nodes without an edge to another node are absent.
+    Each round is two aggregates with partial results and two joins. The aggregates are written
+    before they are joined back: with a plain exchange on either side the join's skewed parts
+    can be split, so a hub's edges never meet in one task. Nodes without an edge to another
+    node are absent.
     """
     links = saved(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = saved(both.where("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        down = saved(large.groupBy("a").agg(F.min("b").alias("m")))
         to_least = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
         links = saved(large.hint("merge").join(down, "a").select(F.explode(to_least).alias("l")).select("l.a", "l.b").where("a <> b").distinct())
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
