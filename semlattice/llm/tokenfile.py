@@ -51,55 +51,52 @@ class Tokens:
 
     tokenizer: str
     end: int = 2
-    file_bytes: int = 4 << 20
+    file_bytes: int = 6 << 20
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, escaped ids, first word of each block and escapes before each block (both with the total at the end)."""
     n = len(ids)
-    stored = ids.astype(np.uint64) + np.uint64(1)
-    high = stored >= (1 << 20)
-    escaped = ids[high].astype(np.uint32)
-    stored[high] = 0
     blocks = -(-n // BLOCK)
-    escape_at = np.concatenate([[0], np.cumsum(np.add.reduceat(high, np.arange(0, n, BLOCK)))]) if n else np.zeros(1, np.int64)
-    # the most ids that a word may hold from each place on; selectors are tried from few ids to many
-    best = np.zeros(n + 64, np.int8)
-    room = BLOCK - np.arange(n) % BLOCK
-    room = np.minimum(room, n - np.arange(n))
+    # each block is followed by room for one more word's zeros, so no word reaches into the next block
+    pitch = BLOCK + 64
+    stored = np.zeros((blocks, pitch), np.uint64)
+    held = np.zeros(blocks * BLOCK, np.uint64)
+    held[:n] = ids
+    held[:n] += np.uint64(1)
+    high = held >= (1 << 20)
+    escaped = ids[high[:n]].astype(np.uint32)
+    held[high] = 0
+    stored[:, :BLOCK] = held.reshape(blocks, BLOCK)
+    stored = stored.reshape(-1)
+    escape_at = np.concatenate([[0], np.cumsum(high.reshape(blocks, BLOCK).sum(1))])
+    # the most ids that a word may hold from each place on; each selector looks at the narrow ids only
+    best = np.zeros(len(stored), np.int8)
+    narrow = np.arange(len(stored), dtype=np.int32)
     for s, (count, bits) in enumerate(SELECTORS[1:], 1):
-        narrow = stored < (1 << bits)
-        if s > 5 and not narrow.any():
-            break
-        runs = np.concatenate([[0], np.cumsum(~narrow)])
-        reach = np.minimum(np.arange(n) + count, n)
-        reach = np.minimum(reach, np.arange(n) + room)
-        fits = runs[reach] == runs[:n]
-        best[:n][fits] = s
+        narrow = narrow[stored[narrow] < (1 << bits)]
+        if len(narrow) >= count:
+            ahead = len(narrow) - count + 1
+            best[narrow[:ahead][narrow[count - 1 :] - narrow[:ahead] == count - 1]] = s
     # all blocks take their words in step
-    place, end = np.arange(0, n, BLOCK), np.minimum(np.arange(BLOCK, n + BLOCK, BLOCK), n)[: blocks]
+    place = np.arange(blocks) * pitch
+    end = place + np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
     live = np.arange(blocks)
-    starts, owners = [], []
+    starts = []
     while len(live):
         at = place[live]
         starts.append(at)
-        owners.append(live)
         place[live] = at + _COUNT[best[at]]
         live = live[place[live] < end[live]]
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    order = np.argsort(start, kind="stable")
-    start, owner = start[order], owner[order]
+    start.sort()
     selector = best[start].astype(np.int64)
     words = selector.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([stored, np.zeros(64, np.uint64)])
-    limit = end[owner] if len(owner) else start
     for s, (count, bits) in enumerate(SELECTORS):
         mine = np.flatnonzero(selector == s)
         for j in range(count if len(mine) else 0):
-            at = start[mine] + j
-            words[mine] |= np.where(at < limit[mine], padded[at], 0).astype(np.uint64) << np.uint64(j * bits)
-    block_at = np.searchsorted(start, np.arange(0, n + BLOCK, BLOCK)[: blocks + 1]) if n else np.zeros(1, np.int64)
+            words[mine] |= stored[start[mine] + j] << np.uint64(j * bits)
+    block_at = np.searchsorted(start, np.arange(blocks + 1) * pitch)
     return words, escaped, block_at, escape_at
 
 
@@ -189,22 +186,20 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes pieces that aren't known. Plain ones go many in one string, which the byte lengths of the ids cut again."""
-        new = [p for p in pieces if p not in self.memo]
-        plain = [p for p in new if len(p) > 1 and p[0] == " " and len(p[1:].strip()) == len(p) - 1]
-        for i in range(0, len(plain), 65_536):
-            part = plain[i : i + 65_536]
-            lists = self.whole(["".join(part[j : j + 256]) for j in range(0, len(part), 256)])
-            ids = np.fromiter(chain.from_iterable(lists), np.uint32)
-            ends = np.cumsum(self.bytes_of[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part]), "left") + 1
-            self._keep(part, ids, cuts)
-        plain = set(plain)
-        odd = [p for p in new if p not in plain]
-        if odd:
-            lists = self.whole(odd)
-            self._keep(odd, np.fromiter(chain.from_iterable(lists), np.uint32), np.cumsum([len(x) for x in lists]))
+    def numbers(self, pieces: list[str], plain: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Each piece's number; unknown ones are encoded. Plain ones go many in one string, which the byte lengths of the ids cut again."""
+        out = np.array([self.memo.get(p, -1) for p in pieces], np.int32)
+        new = np.flatnonzero(out < 0)
+        for part, many in ((new[plain[new]], 256), (new[~plain[new]], 1)):
+            for i in range(0, len(part), 65_536):
+                some = part[i : i + 65_536]
+                texts = [pieces[j] for j in some]
+                lists = self.whole(["".join(texts[j : j + many]) for j in range(0, len(texts), many)] if many > 1 else texts)
+                ids = np.fromiter(chain.from_iterable(lists), np.uint32)
+                ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(size[some]), "left") + 1 if many > 1 else np.cumsum([len(x) for x in lists])
+                out[some] = np.arange(len(self.memo), len(self.memo) + len(some))
+                self._keep(texts, ids, ends)
+        return out
 
     def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         n = len(self.memo)
@@ -221,25 +216,29 @@ class Encoder:
         lists = pc.split_pattern(texts.take(pa.array(safe)), " ")
         per_text = np.diff(lists.offsets.to_numpy())
         coded = lists.flatten().dictionary_encode()
-        code, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        code, words = coded.indices.to_numpy(), coded.dictionary
         first = np.zeros(len(code), bool)
         first[(np.cumsum(per_text) - per_text)[per_text > 0]] = True
-        # a text's first piece has no space before it
-        inner, heads = np.unique(code[~first]), np.unique(code[first])
-        spaced = [" " + words[c] for c in inner]
-        bare = [words[c] for c in heads]
-        self.learn(spaced)
-        self.learn(bare)
-        memo = self.memo
-        number = np.zeros((2, len(words)), np.int64)
-        number[0, inner] = [memo[p] for p in spaced]
-        number[1, heads] = [memo[p] for p in bare]
+        # plain: not empty, no white space at either end
+        plain = pc.equal(pc.utf8_trim_whitespace(words), words).to_numpy(zero_copy_only=False) & (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)
+        number = np.zeros((2, len(words)), np.int32)
+        # a text's first piece has no space before it; such a piece isn't put into one string with others
+        for where, chosen, before in ((0, code[~first], " "), (1, code[first], "")):
+            used = np.zeros(len(words), bool)
+            used[chosen] = True
+            used = np.flatnonzero(used)
+            mine = words.take(pa.array(used))
+            mine = pc.binary_join_element_wise(before, mine, "") if before else mine
+            size = pc.binary_length(mine).to_numpy(zero_copy_only=False)
+            number[where, used] = self.numbers(mine.to_pylist(), plain[used] if before else np.zeros(len(used), bool), size)
         offset = self.offset
         which = number[first.astype(np.int8), code]
-        size = offset[which + 1] - offset[which]
+        size = np.diff(offset)[which]
         begin = np.cumsum(size) - size
         total = int(size.sum())
-        ids = self.ids[np.repeat(offset[which] - begin, size) + np.arange(total)]
+        at = np.repeat((offset[which] - begin).astype(np.int32), size)
+        at += np.arange(total, dtype=np.int32)
+        ids = self.ids[at]
         piece_at = np.concatenate([[0], np.cumsum(per_text)])
         id_at = np.concatenate([begin, [total]])[piece_at]
         if not unsafe.any():
