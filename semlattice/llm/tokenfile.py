@@ -42,7 +42,8 @@ BLOCK = 1024
 #: A piece that ends or begins with white space beside a space is not safe to cut there.
 _SPACES = "[ \\t\\n\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 UNSAFE = f"{_SPACES} {_SPACES}"
-MEMO = 700_000
+#: Most pieces that a Python worker remembers, about 250 bytes each; beyond it those go that came in one file only.
+MEMO = 1_500_000
 
 
 @dataclass(frozen=True)
@@ -51,7 +52,7 @@ class Tokens:
 
     tokenizer: str
     end: int = 2
-    file_bytes: int = 6 << 20
+    file_bytes: int = 8 << 20
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,6 +183,17 @@ class Encoder:
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
         self.ids, self.offset = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.again = np.zeros(0, bool)
+
+    def forget_rare(self) -> None:
+        """Keeps the pieces that were asked for again after they had been encoded, or none if even these are too many."""
+        keep = np.flatnonzero(self.again)
+        pieces, ids, offset = list(self.memo), self.ids, self.offset
+        self.forget()
+        if len(keep) <= MEMO // 2:
+            size = offset[keep + 1] - offset[keep]
+            ends = np.cumsum(size)
+            self._keep([pieces[i] for i in keep], ids[np.repeat(offset[keep] - (ends - size), size) + np.arange(size.sum())], ends)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -190,6 +202,7 @@ class Encoder:
         """Each piece's number; unknown ones are encoded. Plain ones go many in one string, which the byte lengths of the ids cut again."""
         out = np.array([self.memo.get(p, -1) for p in pieces], np.int32)
         new = np.flatnonzero(out < 0)
+        self.again[out[out >= 0]] = True
         for part, many in ((new[plain[new]], 256), (new[~plain[new]], 1)):
             for i in range(0, len(part), 65_536):
                 some = part[i : i + 65_536]
@@ -205,12 +218,13 @@ class Encoder:
         n = len(self.memo)
         self.memo.update(zip(pieces, range(n, n + len(pieces)), strict=True))
         self.ids = np.concatenate([self.ids, ids])
+        self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
         self.offset = np.concatenate([self.offset, self.offset[-1] + ends])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin."""
         if len(self.memo) > MEMO:
-            self.forget()
+            self.forget_rare()
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False).astype(bool)
         safe = np.flatnonzero(~unsafe)
         lists = pc.split_pattern(texts.take(pa.array(safe)), " ")
