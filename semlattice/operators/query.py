@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import holds, unslug
-from .graph import canonical_of, labels, least_class, names, of, types
+from ..plans.scratch import saved
+from .graph import canonical_of, labels, least_class, names, of, tail, types
 
 # Relations that an entity's page shows, and the display names of properties.
 SHOWN_RELATIONS = ("authorOf", "affiliatedWith", "publishedIn", "belongsToField", "belongsToIndustry", "fundedBy", "coAuthorWith", "cites")
@@ -34,6 +35,14 @@ def members(t: DataFrame, canonical: DataFrame, cls: str | None = None) -> DataF
     return canonical_of(typed.where(F.col("class") == cls) if cls else typed, canonical, "s")
 
 
+def named(t: DataFrame, few: DataFrame, column: str) -> DataFrame:
+    """few with `name` of the column's ids. few: the rows of a limit, so they are written once and broadcast; only their labels are looked up."""
+    rows = saved(few)
+    ids = rows.select(F.col(column).alias("s")).distinct()
+    known = names(t.where(F.col("p").isin("name", "cnLabel")).join(F.broadcast(ids), "s", "left_semi")).withColumnRenamed("s", column)
+    return rows.join(F.broadcast(known), column, "left").withColumn("name", F.coalesce("name", tail(column)))
+
+
 def page(df: DataFrame, order: Sequence[str | Column], limit: int, offset: int = 0) -> DataFrame:
     """One page in a stable order, with the total and whether more follow."""
     if limit < 1 or offset < 0:
@@ -55,7 +64,7 @@ def explore_class(t: DataFrame, canonical: DataFrame, cls: str, limit: int = 5)
     mine = members(t, canonical, cls)
     total = mine.agg(F.countDistinct("s").alias("n"), F.countDistinct("raw").alias("raw_n"))
     first = mine.select("s").distinct().orderBy("s").limit(limit)
-    return first.join(names(canonical_of(t, canonical, "s")), "s", "left").join(F.broadcast(total), how="cross").select("s", F.coalesce("name", "s").alias("name"), "n", "raw_n")  # total: one row
+    return named(canonical_of(t, canonical, "s"), first, "s").join(F.broadcast(total), how="cross").select("s", "name", "n", "raw_n")  # total: one row
 
 
 def entities_of_class(t: DataFrame, canonical: DataFrame, cls: str, limit: int = 50) -> DataFrame:
@@ -189,7 +198,7 @@ def numeric_summary(t: DataFrame, canonical: DataFrame, cls: str, prop: str, top
     """(s, name, value): largest value of each canonical entity, greatest first."""
     values = of(t, prop).select("s", F.col("o").try_cast("double").alias("value")).where("value is not null").withColumnRenamed("s", "raw")
     best = members(t, canonical, cls).join(values, "raw").groupBy("s").agg(F.max("value").alias("value")).orderBy(F.desc("value"), "s").limit(top)
-    return best.join(names(canonical_of(t, canonical, "s")), "s", "left").select("s", F.coalesce("name", "s").alias("name"), "value").orderBy(F.desc("value"), "s")
+    return named(canonical_of(t, canonical, "s"), best, "s").select("s", "name", "value").orderBy(F.desc("value"), "s")
 
 
 def field_matches(t: DataFrame, term: str, cls: str = "Field") -> DataFrame:
@@ -221,14 +230,14 @@ def institution_ranking(t: DataFrame, top: int = 30, field: str | None = None, *
     everyone = types(t).where(F.col("class") == institution).select(F.col("s").alias("entity"))
     counted = mine.groupBy("entity").agg(F.count("*").alias("n"))
     ranked = everyone.join(counted, "entity", "left").select("entity", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")).orderBy(F.desc("n"), "entity").limit(top)
-    return ranked.join(names(t).withColumnRenamed("s", "entity"), "entity", "left").select("entity", F.coalesce("name", "entity").alias("name"), "n").orderBy(F.desc("n"), "entity")
+    return named(t, ranked, "entity").select("entity", "name", "n").orderBy(F.desc("n"), "entity")
 
 
 def scholar_ranking(t: DataFrame, top: int = 30, **classes: str) -> DataFrame:
     """(entity, name, n): scholars by distinct publications."""
     scholar = classes.get("scholar", "Scholar")
     counted = publications_for(t, **classes).where(F.col("class") == scholar).groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(top)
-    return counted.join(names(t).withColumnRenamed("s", "entity"), "entity", "left").select("entity", F.coalesce("name", "entity").alias("name"), "n").orderBy(F.desc("n"), "entity")
+    return named(t, counted, "entity").select("entity", "name", "n").orderBy(F.desc("n"), "entity")
 
 
 def papers_per_field(t: DataFrame, relation: str = "belongsToField") -> DataFrame:

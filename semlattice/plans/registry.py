@@ -39,6 +39,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def stored(t: DataFrame) -> DataFrame:
+    """The triples as a table by predicate, so that a pattern reads its predicate's files only."""
+    return saved(t, "p")
+
+
 def mapping_id(prefix: str, value: str) -> str:
     return prefix + quote(value, safe="")
 
@@ -131,7 +136,7 @@ def class_histogram(spark, sf_dir):
 """)
 def nation_order_rank(spark, sf_dir):
     """Flagship: institutions by distinct publications of their scholars, those without any included."""
-    return query.institution_ranking(triples(spark, sf_dir, "nation", "customer", "orders"))
+    return query.institution_ranking(stored(triples(spark, sf_dir, "nation", "customer", "orders")))
 
 
 @_query("""
@@ -141,13 +146,13 @@ def nation_order_rank(spark, sf_dir):
 """)
 def nation_rank_in_field(spark, sf_dir):
     brand = table(spark, sf_dir, "part").agg(F.min("p_brand")).first()[0]
-    t = saved(triples(spark, sf_dir, "nation", "customer", "orders", "brand"))
+    t = stored(triples(spark, sf_dir, "nation", "customer", "orders", "brand"))
     return query.institution_ranking(t, 10, field=mapping_id("f_", brand))
 
 
 @_query("SELECT 'cu_' || c_custkey AS entity, c_name AS name, count(DISTINCT o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL ORDER BY n DESC, entity LIMIT 30")
 def customer_order_rank(spark, sf_dir):
-    return query.scholar_ranking(triples(spark, sf_dir, "customer", "orders"))
+    return query.scholar_ranking(stored(triples(spark, sf_dir, "customer", "orders")))
 
 
 @_query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY ALL")
@@ -160,7 +165,7 @@ def orders_per_year(spark, sf_dir):
   WHERE contains(p_brand, '1') GROUP BY ALL
 """)
 def orders_per_year_in_field(spark, sf_dir):
-    return query.year_distribution(saved(triples(spark, sf_dir, "orders", "brand")), field="1")
+    return query.year_distribution(stored(triples(spark, sf_dir, "orders", "brand")), field="1")
 
 
 @_query("""
@@ -170,20 +175,20 @@ def orders_per_year_in_field(spark, sf_dir):
 def orders_per_year_scoped(spark, sf_dir):
     """Publications of an institution and a field at once, by year."""
     brand = table(spark, sf_dir, "part").agg(F.min("p_brand")).first()[0]
-    t = saved(triples(spark, sf_dir, "nation", "customer", "orders", "brand"))
+    t = stored(triples(spark, sf_dir, "nation", "customer", "orders", "brand"))
     scopes = spark.createDataFrame([(1, "n_3"), (1, mapping_id("f_", brand))], "question int, entity string")
     return query.year_distribution(t, pubs=query.in_all_scopes(query.publications_for(t), scopes))
 
 
 @_query("SELECT 'cu_' || c_custkey AS s, c_name AS name, c_acctbal AS value FROM customer ORDER BY value DESC, s LIMIT 20")
 def top_acctbal(spark, sf_dir):
-    t = triples(spark, sf_dir, "customer")
+    t = stored(triples(spark, sf_dir, "customer"))
     return query.numeric_summary(t, query.no_merges(t), "Scholar", "revenue")
 
 
 @_query("SELECT 'n_' || n_nationkey AS target, n_name AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
 def count_by_relation(spark, sf_dir):
-    t = triples(spark, sf_dir, "nation", "customer")
+    t = stored(triples(spark, sf_dir, "nation", "customer"))
     return query.count_by_relation(t, query.no_merges(t), "Scholar", "affiliatedWith", "Institution")
 
 
@@ -200,7 +205,7 @@ def papers_per_field(spark, sf_dir):
   SELECT *, (SELECT count(*) FROM h) AS total FROM h ORDER BY s LIMIT 10 OFFSET 5
 """)
 def find_customer(spark, sf_dir):
-    t = triples(spark, sf_dir, "customer")
+    t = stored(triples(spark, sf_dir, "customer"))
     return query.find_entity(t, query.no_merges(t), "Scholar", "12", 10, 5).select("s", "class", "name", "label", "total")
 
 
@@ -210,7 +215,7 @@ def find_customer(spark, sf_dir):
   SELECT *, (SELECT count(*) FROM h) AS total, (SELECT count(*) FROM h) > 20 AS has_more FROM h ORDER BY s LIMIT 20
 """)
 def search_cross_class_page(spark, sf_dir):
-    t = saved(triples(spark, sf_dir, "nation", "customer"))
+    t = stored(triples(spark, sf_dir, "nation", "customer"))
     return query.search_cross_class(t, query.no_merges(t), "N").select("s", "class", "name", "total", "has_more")
 
 
@@ -218,7 +223,7 @@ def search_cross_class_page(spark, sf_dir):
   SELECT 'cu_' || c_custkey AS s, c_name AS name, (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM customer) AS raw_n FROM customer ORDER BY s LIMIT 5
 """)
 def explore_class(spark, sf_dir):
-    t = triples(spark, sf_dir, "customer")
+    t = stored(triples(spark, sf_dir, "customer"))
     return query.explore_class(t, query.no_merges(t), "Scholar")
 
 
@@ -230,7 +235,7 @@ def explore_class(spark, sf_dir):
 """)
 def entity_detail(spark, sf_dir):
     """Detail of many entities in one job."""
-    t = saved(triples(spark, sf_dir, "nation", "customer"))
+    t = stored(triples(spark, sf_dir, "nation", "customer"))
     ids = table(spark, sf_dir, "customer").where("c_custkey % 10 = 1").select(F.concat(F.lit("cu_"), "c_custkey").alias("uri"))
     return query.entity_detail(t, query.no_merges(t), ids)
 
@@ -240,7 +245,7 @@ def entity_detail(spark, sf_dir):
   UNION ALL SELECT 'cu_' || c_custkey, 'description', c_mktsegment FROM customer
 """)
 def properties_of(spark, sf_dir):
-    t = saved(triples(spark, sf_dir, "customer"))
+    t = stored(triples(spark, sf_dir, "customer"))
     return query.properties_of(t, query.no_merges(t), graph.types(t).where("class = 'Scholar'").select(F.col("s").alias("uri")))
 
 
@@ -248,7 +253,7 @@ def properties_of(spark, sf_dir):
   SELECT 'cu_' || c_custkey AS uri, 'affiliatedWith' AS p, 'n_' || n_nationkey AS target, n_name AS name, 'Institution' AS class FROM customer JOIN nation ON c_nationkey = n_nationkey
 """)
 def related_to(spark, sf_dir):
-    t = saved(triples(spark, sf_dir, "nation", "customer"))
+    t = stored(triples(spark, sf_dir, "nation", "customer"))
     return query.related_to(t, graph.types(t).select(F.col("s").alias("uri")))
 
 
@@ -260,7 +265,7 @@ def reverse_related(spark, sf_dir):
 
 @_query("SELECT 'cu_' || o_custkey AS uri, 'authorOf' AS p, count(*) AS n FROM orders GROUP BY o_custkey")
 def relations_grouped(spark, sf_dir):
-    t = saved(triples(spark, sf_dir, "orders"))
+    t = stored(triples(spark, sf_dir, "orders"))
     ids = graph.of(t, "authorOf").select(F.col("s").alias("uri")).distinct()
     return query.relations_grouped(t, query.no_merges(t), ids).select("uri", "p", "n")
 
@@ -269,7 +274,7 @@ def relations_grouped(spark, sf_dir):
   SELECT 'su_' || s_suppkey AS s, s_name AS s_name, 'ind_' || n_name AS o, n_name AS o_name FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """)
 def query_relation(spark, sf_dir):
-    t = saved(triples(spark, sf_dir, "supplier"))
+    t = stored(triples(spark, sf_dir, "supplier"))
     return query.query_relation(t, query.no_merges(t), "Company", "belongsToIndustry", "Industry")
 
 
@@ -278,7 +283,7 @@ def query_relation(spark, sf_dir):
   WHERE contains(lower(n_name), 'nation_1') ORDER BY revenue DESC, s LIMIT 20
 """)
 def companies_in_industry(spark, sf_dir):
-    return query.companies_in_industry(saved(triples(spark, sf_dir, "supplier")), "nation_1")
+    return query.companies_in_industry(stored(triples(spark, sf_dir, "supplier")), "nation_1")
 
 
 @_query("""
@@ -286,13 +291,13 @@ def companies_in_industry(spark, sf_dir):
   SELECT s, name, round(revenue, 2) AS revenue, (SELECT count(*) FROM m) AS n, (SELECT count(*) FROM m) AS raw_n FROM m
 """)
 def industry_members(spark, sf_dir):
-    t = saved(triples(spark, sf_dir, "supplier"))
+    t = stored(triples(spark, sf_dir, "supplier"))
     return query.industry_members(t, query.no_merges(t), "ind_NATION_3").select("s", "name", "revenue", "n", "raw_n")
 
 
 @_query("SELECT 'cu_' || c_custkey AS s, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_2') ORDER BY s LIMIT 15")
 def scholars_query(spark, sf_dir):
-    return query.scholars_query(saved(triples(spark, sf_dir, "nation", "customer")), institution="nation_2")
+    return query.scholars_query(stored(triples(spark, sf_dir, "nation", "customer")), institution="nation_2")
 
 
 # ---- patterns
@@ -303,7 +308,7 @@ def scholars_query(spark, sf_dir):
   LEFT JOIN orders ON o_custkey = c_custkey WHERE contains(lower(n_name), 'nation_1')
 """)
 def pattern_bgp_optional(spark, sf_dir):
-    t = saved(triples(spark, sf_dir, "nation", "customer", "orders"))
+    t = stored(triples(spark, sf_dir, "nation", "customer", "orders"))
     return graph.match(t, [("?c", "affiliatedWith", "?n"), ("?n", "name", "?place"), ("?c", "name", "?name")], [[("?c", "authorOf", "?work")]], where=F.contains(F.lower("place"), F.lit("nation_1")))
 
 
@@ -314,7 +319,7 @@ def pattern_ask(spark, sf_dir):
 
 @_query("SELECT 'n_' || c_nationkey AS s, 'hasOrder' AS p, 'o_' || o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey")
 def pattern_construct(spark, sf_dir):
-    found = graph.match(saved(triples(spark, sf_dir, "customer", "orders")), [("?c", "affiliatedWith", "?n"), ("?c", "authorOf", "?w")])
+    found = graph.match(stored(triples(spark, sf_dir, "customer", "orders")), [("?c", "affiliatedWith", "?n"), ("?c", "authorOf", "?w")])
     return graph.construct(found, [("?n", "hasOrder", "?w")]).select("s", "p", "o")
 
 
@@ -338,7 +343,7 @@ def inverse_edges(spark, sf_dir):
 
 @_query("SELECT 'o_' || o_orderkey AS focus, 'Publication' AS class, 'belongsToField' AS path, CAST(0 AS BIGINT) AS found FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def orders_without_items(spark, sf_dir):
-    t = saved(triples(spark, sf_dir, "orders", "brand"))
+    t = stored(triples(spark, sf_dir, "orders", "brand"))
     return quality.violations(t, (("Publication", "name", 1), ("Publication", "year", 1), ("Publication", "belongsToField", 1))).where("path <> 'name' and path <> 'year'").select("focus", "class", "path", "found").join(table(spark, sf_dir, "orders").select(F.concat(F.lit("o_"), "o_orderkey").alias("focus")), "focus", "left_semi")
 
 
@@ -393,7 +398,7 @@ def repeated_text_components(spark, sf_dir):
 """)
 def mentions_longest(spark, sf_dir):
     """NATION_1 stands inside NATION_12: the longest name wins."""
-    t = saved(triples(spark, sf_dir, "nation", "customer"))
+    t = stored(triples(spark, sf_dir, "nation", "customer"))
     texts = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey").select(F.col("c_custkey").alias("text_id"), F.format_string("of %s and %s.", "n_name", "c_name").alias("text"))
     return mentions.mentions(texts, t)
 
@@ -415,7 +420,7 @@ def benchmark_mentions(spark, sf_dir):
 @_query(None)
 def route_conversations(spark, sf_dir):
     """Intents of all turns, with the customers and nations that they mention."""
-    t = saved(triples(spark, sf_dir, "nation", "customer"))
+    t = stored(triples(spark, sf_dir, "nation", "customer"))
     texts = table(spark, sf_dir, "conversations").select(F.format_string("%d/%d", "conv_id", "turn").alias("text_id"), "text")
     found = mentions.canonical_mentions(mentions.mentions(texts, t), t, query.no_merges(t)).join(graph.least_class(t), "s")
     return routing.route(texts, saved(found)).select("text_id", "intent", "metric", "keyword")

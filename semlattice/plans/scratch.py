@@ -9,16 +9,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Writes the rows under spark.checkpoint.dir and reads them back; a temporary folder only where that is unset."""
+def saved(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Writes the rows under spark.checkpoint.dir and reads them back; a temporary folder only where that is unset.
+
+    The files stay until the folder is cleared, so that later reads survive any executor.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", limit: int = 200_000) -> DataFrame:
