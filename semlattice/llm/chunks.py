@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import small_batches, table
+from .common import saved, small_batches, table
 
 _GEAR = (bw.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
 
@@ -97,7 +97,8 @@ def repeated_spans(docs: DataFrame, spec: Chunking = Chunking()) -> DataFrame:
     document alone are no spans. Null or blank text: no spans. Null doc_id: takes no part.
     Rows with one doc_id are one document. Other columns are ignored.
     """
-    shared = (
+    # written before it is joined back, so that a hot digest's part of the join can be split
+    shared = saved(
         unit_rows(docs, spec, spans=False).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
         .where("first_doc < last_doc").select("digest", "first_doc")
     )

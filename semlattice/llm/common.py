@@ -1,12 +1,13 @@
-"""What the corpus operators share: reading tables, shared scratch tables, components."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..operators.components import components
+from ..plans.scratch import join_checked, saved
+
+__all__ = ["ARROW_ROWS", "components", "join_checked", "saved", "small_batches", "table"]
 
 #: Rows of one Arrow batch; a batch of the longest texts stays below some hundred MB.
 ARROW_ROWS = 1000
@@ -20,70 +21,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small, as a text may have hundreds of KB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names.
-
-    Only where that setting is missing (tests on one machine) a temporary folder is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back.
-
-    Cuts the lineage: later jobs start from the files, which outlive any executor.
-    """
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of the undirected links (a, b): rows (node, root), root the least node.
-
-    Alternates the large-star and small-star steps of Kiveris et al. until the links no
-    longer change. A hub's links are never gathered: the least neighbour is an aggregate
-    with partial sums, joined back by a sort-merge join whose skewed parts can be split.
-    Nodes without a link to another node are absent. Null ends are dropped.
-    """
-    links = (
-        edges.where("a is not null and b is not null and a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    links = saved(links)
-    before = None
-    for _ in range(rounds):
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (
-            both.where("b > a").hint("merge").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        )
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.hint("merge").join(down, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l"))
-            .select("l.a", "l.b").where("a <> b").distinct()
-        )
-        links = saved(small)
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if before == tuple(now):
-            break
-        before = tuple(now)
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).unionByName(
-        links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    )
-
-
-def join_checked(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner", limit: int = 200_000) -> DataFrame:
-    """Broadcasts right only if it has at most `limit` rows, counted beforehand; else a sort-merge join. right: saved, narrow."""
-    small = right.limit(limit + 1).count() <= limit
-    return left.join(F.broadcast(right), on, how) if small else left.hint("merge").join(right, on, how)
