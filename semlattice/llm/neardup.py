@@ -200,7 +200,7 @@ def _confirmed(members: DataFrame, spec: NearDup) -> DataFrame:
     """
     sizes = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
     n_blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    blocks = sizes.where("rows > 1").select("root", n_blocks.alias("n"))
+    blocks = saved(sizes.where("rows > 1").select("root", n_blocks.alias("n")))
     dealt = (
         members.hint("merge").join(blocks, "root")
         .withColumn("mine", F.pmod(F.xxhash64("node", "signature"), F.col("n")).cast("int"))
@@ -250,12 +250,17 @@ def near_duplicates(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
         .groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     )
     keyed = same.select("node", F.explode("keys").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("key", "b")
+    # aggregates are written before they are joined back, so that a hot key's part of the join can be split
+    least = saved(keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("key", "b"))
     coarse = saved(components(keyed.hint("merge").join(least, "key").select(F.col("node").alias("a"), "b").where("a <> b")))
     links = _confirmed(saved(_members(docs, coarse, spec)), spec)
+    repeated = saved(
+        prints.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most"))
+        .where("b < most").select("d1", "d2", "b")
+    )
     copies = (
-        prints.where("n_shingles > 0 and doc_id is not null").hint("merge")
-        .join(same.select("d1", "d2", "node"), ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+        prints.where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("a"), "d1", "d2").hint("merge")
+        .join(repeated, ["d1", "d2"]).where("a <> b").select("a", "b")
     )
     groups = components(links.unionByName(copies))
     return (
