@@ -43,7 +43,7 @@ BLOCK = 1024
 _SPACES = "[ \\t\\n\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 UNSAFE = f"{_SPACES} {_SPACES}"
 #: Most pieces that a Python worker remembers, about 250 bytes each; beyond it those go that came in one file only.
-MEMO = 1_500_000
+MEMO = 1_100_000
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,7 @@ class Tokens:
 
     tokenizer: str
     end: int = 2
-    file_bytes: int = 8 << 20
+    file_bytes: int = 6 << 20
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
