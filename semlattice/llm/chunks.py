@@ -2,8 +2,10 @@
 
 A text is cut after words at which the gear hash of the last 32 bytes (h = 2 h + G[byte]
 modulo 2^32) falls below a bound, so cuts depend on near content only: an insertion changes
-the chunks it touches and no others. There is no least or largest chunk, which would carry
-an insertion's effect further. Runs of `unit` consecutive chunks are deduplicated by digest;
+the chunks it touches and no others. A word whose gear hash is the least of all words at most
+`near` words away ends a chunk too: so the least of each period of a repeating stretch does,
+and long stretches without a hash below the bound are cut by their content as well. There is
+no least or largest chunk, which would carry an insertion's effect further. Runs of `unit` consecutive chunks are deduplicated by digest;
 in each document, units that other documents have too are merged into spans.
 """
 
@@ -22,15 +24,20 @@ from . import bytewords as bw
 from .common import saved, small_batches, table
 
 _GEAR = (bw.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
+_GEAR[0x41:0x5B] = _GEAR[0x61:0x7B]
 
 
 @dataclass(frozen=True)
 class Chunking:
-    """mean_words: of a chunk. unit: consecutive chunks that are compared as one. min_words: of a span that is reported."""
+    """mean_words: of a chunk. unit: consecutive chunks that are compared as one. min_words: of a span that is reported.
+
+    near: words on either side among which a least gear hash ends a chunk.
+    """
 
     mean_words: int = 4
     unit: int = 3
     min_words: int = 20
+    near: int = 3
 
 
 def gear(words: bw.Words) -> np.ndarray:
@@ -48,13 +55,25 @@ def gear(words: bw.Words) -> np.ndarray:
     return at
 
 
+def least_nearby(h: np.ndarray, words: bw.Words, near: int) -> np.ndarray:
+    """Whether no word of the same row at most `near` words away has a smaller hash; equal ones all count."""
+    least = np.ones(len(h), bool)
+    row = np.repeat(np.arange(len(words.counts)), words.counts)
+    for s in range(1, min(near, len(h) - 1) + 1):
+        same = row[s:] == row[:-s]
+        least[s:] &= ~same | (h[s:] <= h[:-s])
+        least[:-s] &= ~same | (h[:-s] <= h[s:])
+    return least
+
+
 def units(words: bw.Words, spec: Chunking) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, digest, first word and end word (counted in the row) of each unit. A row of fewer chunks is one unit."""
     n = len(words.start)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none, none
-    cut = gear(words) < np.uint32((1 << 32) // spec.mean_words)
+    h = gear(words)
+    cut = (h < np.uint32((1 << 32) // spec.mean_words)) | least_nearby(h, words, spec.near)
     cut[words.first[1:][words.counts > 0] - 1] = True
     last = np.flatnonzero(cut)
     first = np.concatenate([[0], last[:-1] + 1])

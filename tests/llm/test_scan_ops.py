@@ -68,6 +68,13 @@ def test_repeats_are_found_and_clean_texts_left_alone(make_docs, prose):
         assert part in shared and r["first_doc"] == 100 and r["is_first"] == (r["doc_id"] == 100) and r["n_words"] >= 20
 
 
+def test_repeating_passages_and_capitals(make_docs, prose):
+    passages = [" ".join((prose(w, 40 + 10 * w + j).split() * 80)[:80]) for w in (1, 2, 3, 5, 8) for j in range(4)]
+    docs = [d for i, p in enumerate(passages) for d in ((i, f"{prose(25, 2000 + i)} {p} {prose(25, 3000 + i)}"), (100 + i, f"{prose(31, 4000 + i)} {p.upper() if i % 2 else p} {prose(20, 5000 + i)}"))]
+    got = {(r["doc_id"], r["first_doc"]) for r in C.repeated_spans(make_docs(*docs)).collect()}
+    assert {(i + d, i) for i in range(len(passages)) for d in (0, 100)} <= got
+
+
 def test_chunk_edges(edge_docs, no_docs):
     rows = C.repeated_spans(edge_docs).collect()
     assert [(r["doc_id"], r["first_word"], r["end_word"], r["first_doc"]) for r in sorted(rows)] == [(6, 0, 30_000, 6), (7, 0, 30_000, 6)]
