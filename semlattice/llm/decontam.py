@@ -4,8 +4,9 @@ Numbers, units after numbers and names (capitalised words within a sentence) bec
 placeholders that keep their value aside: <d=12>, <u=km>, <n=alice>. Windows of five
 canonical words are hash-joined with those of the benchmark's items. A document has an item's
 template if it holds enough of the item's windows. Then the slots are compared: a value of
-the item must stand for one and the same value in the document everywhere, which also
-catches questions that were asked anew with other numbers or names.
+the item must stand for one and the same value everywhere in that instance, which also
+catches questions that were asked anew with other numbers or names. Each alignment of a
+document with an item is an instance of its own; one that passes is enough.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import join_checked, saved, table
@@ -23,11 +25,15 @@ UNITS = "kg|km|cm|mm|mg|lbs?|miles?|hours?|minutes?|seconds?|days?|weeks?|months
 
 @dataclass(frozen=True)
 class Decontam:
-    """k: words in a window. cover: least share of an item's windows. fixed: least number of words in a window that are no placeholders."""
+    """k: words in a window. cover: least share of an item's windows. fixed: least number of words in a window that are no placeholders.
+
+    drift: words put in or left out that an instance may have before its windows count as those of another.
+    """
 
     k: int = 5
     cover: float = 0.8
     fixed: int = 3
+    drift: int = 3
 
 
 def canonical_words(text: Column) -> Column:
@@ -81,34 +87,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: Decontam = Decontam()) ->
     windows: distinct windows of the item found in the document. Items of fewer than k words,
     or of placeholders only, take no part, nor do null item_ids and doc_ids. Null and empty
     texts hold nothing. Rows with one doc_id are one document; a repeated item_id is one item.
-    reparameterised: some value differs from the item's. Other columns are ignored.
+    reparameterised: some value differs from the item's, in the alignment of most first places
+    or, if that one is inconsistent, in all others that pass. Other columns are ignored.
     """
     items = saved(item_windows(benchmark, spec))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # a column of its own, as a window's hash refers to it k times
     shaped = rows.select("doc_id", templates(canonical_words(F.col("text"))).alias("t"))
     windows = shaped.select("doc_id", F.explode(window_hashes(F.col("t"), spec.k)).alias("x")).select("doc_id", "x.h", "x.place")
-    hits = join_checked(windows, items, "h")
+    hits = saved(join_checked(windows, items, "h").groupBy("doc_id", "item_id", "nr", (F.col("place") - F.col("nr")).alias("shift")).agg(F.first("n_windows").alias("n_windows")))
     found = saved(
-        hits.groupBy("doc_id", "item_id", "nr").agg(F.min("place").alias("place"), F.first("n_windows").alias("n_windows"))
-        .groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.first("n_windows").alias("n_windows"), F.mode(F.col("place") - F.col("nr"), True).alias("shift"))
+        hits.groupBy("doc_id", "item_id", "nr").agg(F.min("shift").alias("shift"), F.first("n_windows").alias("n_windows"))
+        .groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.first("n_windows").alias("n_windows"), F.mode("shift", True).alias("shift"))
         .where(F.col("windows") >= spec.cover * F.col("n_windows"))
     )
-    # slots of the found items and documents, laid over each other at the most frequent shift
+    # further alignments: those that hold enough windows by themselves, with what drifted
+    own = hits.hint("merge").join(found.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+    around = W.partitionBy("doc_id", "item_id").orderBy("shift").rangeBetween(-spec.drift, spec.drift)
+    by_shift = own.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("nr").alias("nrs"), F.count("*").alias("n"), F.first("n_windows").alias("n_windows"))
+    covered = F.size(F.array_distinct(F.flatten(F.collect_list("nrs").over(around))))
+    whole = by_shift.withColumn("covered", covered).withColumn("most", F.max("n").over(around)).where((F.col("n") == F.col("most")) & (F.col("covered") >= spec.cover * F.col("n_windows")))
+    first = found.select("doc_id", "item_id", "shift", F.lit(0).alias("later"))
+    aligned = saved(first.unionByName(whole.select("doc_id", "item_id", "shift", F.lit(1).alias("later"))).groupBy("doc_id", "item_id", "shift").agg(F.min("later").alias("later")))
+    # slots of the found items and documents, laid over each other at each alignment's shift
     item_slots = saved(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.explode(_slots(canonical_words(F.col("text")))).alias("s")).select("item_id", "s.*").distinct())
     wanted = saved(join_checked(found, item_slots.select("item_id").distinct(), "item_id", "left_semi").select("doc_id").distinct())
     doc_slots = join_checked(rows, wanted, "doc_id", "left_semi").select("doc_id", F.explode(_slots(canonical_words(F.col("text")))).alias("s")).select("doc_id", "s.*").distinct()
     laid = (
-        join_checked(found.select("doc_id", "item_id", "shift"), item_slots, "item_id")
-        .select("doc_id", "item_id", "kind", F.col("value").alias("asked"), (F.col("place") + F.col("shift")).alias("place"))
+        join_checked(aligned, item_slots, "item_id")
+        .select("doc_id", "item_id", "shift", "kind", F.col("value").alias("asked"), (F.col("place") + F.col("shift")).alias("place"))
         .hint("merge").join(doc_slots, ["doc_id", "kind", "place"])
     )
-    by_value = laid.groupBy("doc_id", "item_id", "kind", "asked").agg((F.min("value") != F.max("value")).alias("mixed"), F.max((F.col("value") != F.col("asked")).cast("int")).alias("other"))
-    checked = by_value.groupBy("doc_id", "item_id").agg(F.max(F.col("mixed").cast("int")).alias("mixed"), F.max("other").alias("other"))
-    return (
-        found.hint("merge").join(checked, ["doc_id", "item_id"], "left").where("coalesce(mixed, 0) = 0")
-        .select("doc_id", "item_id", "windows", "n_windows", (F.col("windows") / F.col("n_windows")).alias("cover"), (F.coalesce("other", F.lit(0)) > 0).alias("reparameterised"))
+    by_value = laid.groupBy("doc_id", "item_id", "shift", "kind", "asked").agg((F.min("value") != F.max("value")).alias("mixed"), F.max((F.col("value") != F.col("asked")).cast("int")).alias("other"))
+    checked = by_value.groupBy("doc_id", "item_id", "shift").agg(F.max(F.col("mixed").cast("int")).alias("mixed"), F.max("other").alias("other"))
+    passed = (
+        aligned.hint("merge").join(checked, ["doc_id", "item_id", "shift"], "left").where("coalesce(mixed, 0) = 0")
+        .groupBy("doc_id", "item_id").agg(F.min(F.struct("later", F.coalesce("other", F.lit(0)).alias("other")))["other"].alias("other"))
     )
+    return found.hint("merge").join(passed, ["doc_id", "item_id"]).select("doc_id", "item_id", "windows", "n_windows", (F.col("windows") / F.col("n_windows")).alias("cover"), (F.col("other") > 0).alias("reparameterised"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, spec: Decontam = Decontam()) -> DataFrame:

@@ -52,6 +52,19 @@ def test_leaks(spark, make_docs, prose):
     assert D.leaks(docs, bench.where("false")).count() == 0 and D.leaks(docs.where("false"), bench).count() == 0
 
 
+def test_a_later_instance_of_a_template_counts(spark, make_docs, prose):
+    boxes = "Each of the 5 boxes in the cellar holds exactly 5 small green bottles of wine"
+    bad, anew = boxes.replace("5 boxes", "3 boxes").replace("5 small", "4 small"), boxes.replace("5", "8")
+    longer = boxes.replace("small green", "small and green")
+    docs = make_docs(
+        (1, f"{bad}. {prose(20, 1)} {boxes}."), (2, f"{bad}. {prose(20, 2)}. {anew}. {bad}."), (3, f"{bad}. {prose(9, 3)}. {bad}."),
+        (4, f"{bad}. {bad}. {bad}. {longer}. {prose(5, 4)}"), (5, f"{anew}. {prose(9, 5)}. {bad}"),
+    )
+    bench = spark.createDataFrame([(1, boxes)], "item_id long, text string")
+    got = {r["doc_id"]: r["reparameterised"] for r in D.leaks(docs, bench, D.Decontam(cover=0.5)).collect()}
+    assert got == {1: False, 2: True, 4: False, 5: True}
+
+
 def test_decontam_edges(spark, edge_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "1 2 3 4 5 6 7 8")], "item_id long, text string")
     assert D.leaks(edge_docs, bench).count() == 0
