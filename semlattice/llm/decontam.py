@@ -7,6 +7,9 @@ template if it holds enough of the item's windows. Then the slots are compared:
 the item must stand for one and the same value everywhere in that instance, which also
 catches questions that were asked anew with other numbers or names. Each alignment of a
 document with an item is an instance of its own; one that passes is enough.
+
+Items without a window of enough plain words are joined on windows with the values kept, of
+k words or, for shorter items, of all their words.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from .common import join_checked, saved, table
 
 #: Units that become a placeholder when they follow a number.
 UNITS = "kg|km|cm|mm|mg|lbs?|miles?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|usd|eur|percent|m|g"
+#: Scripts written without spaces; each of their characters, with its marks, is a word.
+UNSPACED = "".join(rf"\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
 
 
 @dataclass(frozen=True)
@@ -43,7 +48,7 @@ def canonical_words(text: Column) -> Column:
     t = F.lower(F.regexp_replace(t, r"(> )(\p{Lu}\p{Ll}+)", "$1<n=$2>"))
     t = F.regexp_replace(t, r"[0-9]+(?:[.,][0-9]+)*", "<d=$0>")
     t = F.regexp_replace(t, rf"(<d=[0-9.,]+>) ?({UNITS})\b", "$1 <u=$2>")
-    return F.regexp_extract_all(t, F.lit(r"<[a-z]=[^<>]*>|[\p{L}\p{M}]+"), F.lit(0))
+    return F.regexp_extract_all(t, F.lit(rf"<[a-z]=[^<>]*>|[\p{{L}}&&[{UNSPACED}]]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+"), F.lit(0))
 
 
 def templates(words: Column) -> Column:
@@ -51,6 +56,11 @@ def templates(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.startswith("<"), F.substring(w, 1, 2)).otherwise(w))
 
 
+def plain_values(words: Column) -> Column:
+    """The words with the placeholders' values in their place."""
+    return F.transform(words, lambda w: F.when(w.startswith("<"), F.substring_index(F.substring(w, 4, 1_000_000), ">", 1)).otherwise(w))
+
+
 def window_hashes(template: Column, k: int) -> Column:
     """struct(place, h) for each run of k words; none for fewer words."""
     n = F.size(template)
@@ -75,6 +85,33 @@ def item_windows(benchmark: DataFrame, spec: Decontam) -> DataFrame:
     return own.unionByName(alias).distinct().hint("merge").join(counted, "item_id")
 
 
+def weak_windows(benchmark: DataFrame, items: DataFrame, spec: Decontam) -> DataFrame:
+    """Rows (item_id, n_words, h, nr, n_windows) of the items that item_windows() leaves out, over plain_values().
+
+    n_words: words of a window, k or all words of a shorter item. Items without any word are left out.
+    """
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain_values(canonical_words(F.col("text"))).alias("v")).where("item_id is not null and size(v) > 0")
+    weak = rows.hint("merge").join(items.select("item_id").distinct(), "item_id", "left_anti").withColumn("n_words", F.least(F.size("v"), F.lit(spec.k)))
+    hashes = F.coalesce(*[F.when(F.col("n_words") == n, window_hashes(F.col("v"), n)) for n in range(1, spec.k + 1)])
+    own = weak.select("item_id", "n_words", F.explode(hashes).alias("x")).groupBy("item_id", "n_words", F.col("x.h").alias("h")).agg(F.min("x.place").alias("nr"))
+    return own.hint("merge").join(own.groupBy("item_id").agg(F.count("*").alias("n_windows")), "item_id")
+
+
+def _weak_leaks(rows: DataFrame, weak: DataFrame, spec: Decontam) -> DataFrame:
+    """Rows (doc_id, item_id, windows, n_windows): weak items of which one alignment holds enough windows. rows: doc_id, text."""
+    shaped = rows.select("doc_id", plain_values(canonical_words(F.col("text"))).alias("v"))
+    hits = None
+    for n in sorted(r["n_words"] for r in weak.select("n_words").distinct().collect()):
+        windows = shaped.select("doc_id", F.explode(window_hashes(F.col("v"), n)).alias("x")).select("doc_id", "x.h", "x.place")
+        mine = join_checked(windows, weak.where(F.col("n_words") == n), "h").select("doc_id", "item_id", "nr", "place", "n_windows")
+        hits = mine if hits is None else hits.unionByName(mine)
+    aligned = hits.groupBy("doc_id", "item_id", F.col("place") - F.col("nr")).agg(F.count_distinct("nr").alias("windows"), F.first("n_windows").alias("n_windows"))
+    return (
+        aligned.groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.first("n_windows").alias("n_windows"))
+        .where(F.col("windows") >= spec.cover * F.col("n_windows"))
+    )
+
+
 def _slots(words: Column) -> Column:
     """struct(place, kind, value) of the placeholders."""
     placed = F.transform(words, lambda w, i: F.struct(i.alias("place"), F.substring(w, 1, 2).alias("kind"), F.when(w.startswith("<"), F.substring(w, 4, 1_000_000)).alias("value")))
@@ -85,8 +122,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: Decontam = Decontam()) ->
     """Rows (doc_id, item_id, windows, n_windows, cover, reparameterised): items that a document holds.
 
     windows: distinct windows of the item found in the document. Items of fewer than k words,
-    or of placeholders only, take no part, nor do null item_ids and doc_ids. Null and empty
-    texts hold nothing. Rows with one doc_id are one document; a repeated item_id is one item.
+    or whose windows all have fewer than `fixed` plain words, are held by documents with the
+    same words and values, in one alignment (a single word suffices for an item of one word).
+    Null item_ids and doc_ids and items without words take no part. Null and empty texts hold nothing. Rows with one doc_id are one document; a repeated item_id is one item.
     reparameterised: some value differs from the item's, in the alignment of most first places
     or, if that one is inconsistent, in all others that pass. Other columns are ignored.
     """
@@ -124,7 +162,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: Decontam = Decontam()) ->
         aligned.hint("merge").join(checked, ["doc_id", "item_id", "shift"], "left").where("coalesce(mixed, 0) = 0")
         .groupBy("doc_id", "item_id").agg(F.min(F.struct("later", F.coalesce("other", F.lit(0)).alias("other")))["other"].alias("other"))
     )
-    return found.hint("merge").join(passed, ["doc_id", "item_id"]).select("doc_id", "item_id", "windows", "n_windows", (F.col("windows") / F.col("n_windows")).alias("cover"), (F.col("other") > 0).alias("reparameterised"))
+    strong = found.hint("merge").join(passed, ["doc_id", "item_id"]).select("doc_id", "item_id", "windows", "n_windows", (F.col("windows") / F.col("n_windows")).alias("cover"), (F.col("other") > 0).alias("reparameterised"))
+    weak = saved(weak_windows(benchmark, items, spec))
+    if weak.isEmpty():
+        return strong
+    return strong.unionByName(_weak_leaks(rows, weak, spec).select("*", (F.col("windows") / F.col("n_windows")).alias("cover"), F.lit(False).alias("reparameterised")))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, spec: Decontam = Decontam()) -> DataFrame:

@@ -65,6 +65,14 @@ def test_a_later_instance_of_a_template_counts(spark, make_docs, prose):
     assert got == {1: False, 2: True, 4: False, 5: True}
 
 
+def test_short_and_placeholder_items_are_held_with_their_values(spark, make_docs, prose):
+    items = ["What is 12 + 7?", "1 2 3 4 5 6 7 8", "Alice met Bob, Carol, Dan and Tom", "小明有十二个苹果，他吃了三个，还剩几个苹果？", "Seldom"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = make_docs(*[(i, f"{prose(9, i)} {t} {prose(9, 50 + i)}") for i, t in enumerate(items)], (10, "What is 12 + 9? " + prose(9, 7)), (11, "8 7 6 5 4 3 2 1"), (12, "小明有三本书"), (13, "What is 12 + 7"))
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, bench).collect()}
+    assert got == {(i, i) for i in range(len(items))} | {(13, 0)}
+
+
 def test_decontam_edges(spark, edge_docs):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "1 2 3 4 5 6 7 8")], "item_id long, text string")
     assert D.leaks(edge_docs, bench).count() == 0
