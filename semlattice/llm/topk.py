@@ -50,7 +50,7 @@ def segment_statistics(v: np.ndarray, segments: int) -> np.ndarray:
 
 
 def best(queries: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, rows: np.ndarray, ids: np.ndarray, spec: Search) -> pd.DataFrame:
-    """The k best rows of a block for each query whose score may reach the query's floor, ties to smaller ids."""
+    """The k best ids of a block for each query whose score may reach the query's floor, each with its best score, ties to smaller ids."""
     q, r = queries.astype(np.float64), rows.astype(np.float64)
     left = np.ones((len(q), len(r)), bool)
     slack = 1e-9 * np.abs(q).sum(1)[:, None] * (np.abs(r).max(initial=0) + 1) + 1e-6
@@ -59,13 +59,17 @@ def best(queries: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, rows: np.nda
             bound = segment_statistics(q, segments) @ segment_statistics(r, segments).T
             left &= bound + slack >= floor[:, None]
     exact_in_float = np.abs(q).max(initial=0) * np.abs(r).max(initial=0) * q.shape[1] < 2**53
+    several = len(np.unique(ids)) < len(ids)
     out = []
     for i in np.flatnonzero(left.any(1)):
         near = np.flatnonzero(left[i] & (ids != q_ids[i]))
         score = (r[near] @ q[i]).astype(np.int64) if exact_in_float else rows[near] @ queries[i]
         keep = score >= floor[i]
         near, score = near[keep], score[keep]
-        first = np.lexsort((ids[near], -score))[: spec.k]
+        first = np.lexsort((ids[near], -score))
+        if several:
+            first = first[np.sort(np.unique(ids[near[first]], return_index=True)[1])]
+        first = first[: spec.k]
         out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[near[first]], "score": score[first]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
 
@@ -88,10 +92,11 @@ def top_k(queries: DataFrame, rows: DataFrame, spec: Search = Search()) -> DataF
 
     queries: query_id and v; rows: vec_id and v, as vectors() gives them. A row with the query's own
     id is no candidate. Ties go to smaller ids. Vectors of another length than the query's
-    are no candidates. Fewer candidates than k: all of them. No rows: no rows.
+    are no candidates. Equal rows count once. Several vectors with one id are one candidate, or one
+    query, whose score is the best of theirs, so a query's vec_ids are distinct. Fewer candidates than k: all of them. No rows: no rows.
     """
     # written apart, as the two sides of a cogroup must not share columns of one scan
-    rows, queries = saved(rows), saved(queries)
+    rows, queries = saved(rows.select("vec_id", "v").distinct()), saved(queries.select("query_id", "v").distinct())
     n_rows, n_queries = rows.count(), queries.count()
     r_blocks, q_blocks = max(1, -(-n_rows // spec.row_block)), max(1, -(-n_queries // spec.query_block))
     asked = queries.select("query_id", "v", F.size("v").alias("d"), F.pmod(F.xxhash64(F.lit(1), "query_id"), F.lit(q_blocks)).cast("int").alias("q"))
@@ -100,11 +105,11 @@ def top_k(queries: DataFrame, rows: DataFrame, spec: Search = Search()) -> DataF
     one = _score_blocks(
         asked.select("*", F.lit(0).alias("r"), F.lit(float("-inf")).alias("floor")), dealt.where("r = 0").select("*", every_q), spec
     )
-    floors = one.groupBy("query_id").agg(F.min("score").cast("double").alias("least"), F.count("*").alias("n")).where(F.col("n") >= spec.k)
+    floors = one.groupBy("query_id").agg(F.min("score").cast("double").alias("least"), F.count_distinct("vec_id").alias("n")).where(F.col("n") >= spec.k)
     known = saved(asked.hint("merge").join(floors, "query_id", "left").select("query_id", "v", "d", "q", F.coalesce("least", F.lit(float("-inf"))).alias("floor")))
     found = _score_blocks(known.select("*", F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).alias("r")), dealt.select("*", every_q), spec)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

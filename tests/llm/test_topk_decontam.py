@@ -23,6 +23,23 @@ def test_exact_top_k(spark):
     assert K.top_k(v.where("false").withColumnRenamed("vec_id", "query_id"), v).count() == 0
 
 
+def test_repeated_ids_are_one_candidate(spark):
+    r = random.Random(5)
+    rows = [(i, [r.randint(-9, 9) for _ in range(8)]) for i in range(60)]
+    rows += [(200, [9] * 8)] * 12 + [(201, [8 + j % 2] * 8) for j in range(12)] + [(0, [1] * 8), (0, [1] * 8), (0, [-3] * 8)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = K.top_k(v.where("vec_id in (0, 1)").withColumnRenamed("vec_id", "query_id"), v, K.Search(row_block=16)).collect()
+    want = []
+    for q in (0, 1):
+        score = {}
+        for i, x in rows:
+            for j, y in rows:
+                if i == q and j != q:
+                    score[j] = max(score.get(j, -(10**9)), sum(a * b for a, b in zip(x, y, strict=True)))
+        want += [(q, n + 1, c, s) for n, (c, s) in enumerate(sorted(score.items(), key=lambda e: (-e[1], e[0]))[:10])]
+    assert sorted(map(tuple, got)) == want
+
+
 def test_segment_bounds_hold():
     r = np.random.default_rng(0)
     a, b = r.integers(-2000, 2000, (30, 64)), r.integers(-2000, 2000, (40, 64))
