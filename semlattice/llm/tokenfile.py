@@ -48,11 +48,16 @@ MEMO = 1_100_000
 
 @dataclass(frozen=True)
 class Tokens:
-    """tokenizer: path of its file. end: id put after each document. file_bytes: of texts in one file, about."""
+    """tokenizer: path of its file. end: id put after each document. file_bytes: of texts in one file, about.
+
+    added: a literal of the tokenizer's added tokens, such as <|endoftext|>, gets that token's id, as in the
+    library by default; otherwise it is text like any other.
+    """
 
     tokenizer: str
     end: int = 2
     file_bytes: int = 6 << 20
+    added: bool = False
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -161,19 +166,21 @@ def from_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 class Encoder:
     """The tokenizer with a bounded memory of pieces; one for each Python worker and tokenizer."""
 
-    kept: dict[str, "Encoder"] = {}
+    kept: dict[tuple[str, bool], "Encoder"] = {}
 
     @classmethod
-    def of(cls, path: str) -> "Encoder":
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
+    def of(cls, path: str, added: bool = False) -> "Encoder":
+        if (path, added) not in cls.kept:
+            cls.kept[path, added] = cls(path, added)
+        return cls.kept[path, added]
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        #: texts that hold one of these are encoded whole
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         #: byte-level tokens have a character for each byte
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -226,6 +233,8 @@ class Encoder:
         if len(self.memo) > MEMO:
             self.forget_rare()
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False).astype(bool)
+        for literal in self.literals:
+            unsafe |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False).astype(bool)
         safe = np.flatnonzero(~unsafe)
         lists = pc.split_pattern(texts.take(pa.array(safe)), " ")
         per_text = np.diff(lists.offsets.to_numpy())
@@ -280,7 +289,7 @@ def token_files(docs: DataFrame, spec: Tokens) -> DataFrame:
     dealt = rows.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, nr = Encoder.of(spec.tokenizer), 0
+        encoder, nr = Encoder.of(spec.tokenizer, spec.added), 0
         for batch in batches:
             texts = batch.column(1)
             ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
@@ -324,8 +333,8 @@ def read_tokens(files: DataFrame) -> DataFrame:
 
 
 def op6_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte-level BPE of 50,257 ids; files are written to the shared folder and read back."""
+    """Byte-level BPE of 50,257 ids; literals of added tokens get their ids. Files are written to the shared folder and read back."""
     import public_tokenizers
 
-    files = saved(token_files(table(spark, sf_dir, "documents"), Tokens(public_tokenizers.path("byte_bpe_50k.json"))))
+    files = saved(token_files(table(spark, sf_dir, "documents"), Tokens(public_tokenizers.path("byte_bpe_50k.json"), added=True)))
     return read_tokens(files)

@@ -107,6 +107,22 @@ def test_pieces_give_the_tokenizers_ids(texts):
         assert ids[a:b].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_get_their_ids():
+    import pyarrow as pa
+
+    t = Tokenizer.from_file(SPEC.tokenizer)
+    texts = ["a<|endoftext|>b", "x y  <|endoftext|>  z", "<|endoftext|>", "<|endoftext| > a b", "plain words here", ""]
+    ids, at = T.Encoder.of(SPEC.tokenizer, added=True).encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert ids[: at[1]].tolist() == [64, 50256, 65]
+
+
+def test_the_query_takes_added_tokens(spark, tmp_path):
+    spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = T.op6_simple8b_token_files(spark, str(tmp_path)).collect()
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(4, zlib.crc32(np.array([64, 50256, 65, 2], "<u4").tobytes()))]
+
+
 def test_files(edge_docs, no_docs, rows):
     from semlattice.llm.common import saved
 
