@@ -112,7 +112,9 @@ class Automaton:
 class Scan:
     """min_match: shortest match that is chained. gap: unmatched template or file tokens between chained matches.
 
-    cover: share of a template's tokens that a chain must cover to give its label.
+    cover: share of a template's tokens that a chain must cover to give its label; short_cover: of templates
+    with fewer than `short` tokens. One of the chain's matches must stand in templates of that label only, or
+    be the whole template: words that notices have in common give no label.
     """
 
     templates: tuple[tuple[str, str], ...] = TEMPLATES
@@ -120,6 +122,8 @@ class Scan:
     min_match: int = 3
     gap: int = 8
     cover: float = 0.6
+    short: int = 10
+    short_cover: float = 0.8
 
 
 class Scanner:
@@ -150,6 +154,8 @@ class Scanner:
         for s in sorted(range(1, len(a.go)), key=a.length.__getitem__):
             self.phrase_at[s] = self.phrase_at[s] + self.phrase_at[a.link[s]]
         self.places: list[list[tuple[int, int]]] = [[(t, p) for t, p in e if t < first] for e in a.ends]
+        #: state -> whether its runs stand in templates of one label only
+        self.own = [len({spec.templates[t][0] for t, _ in places}) == 1 for places in self.places]
         self.shortest = min([spec.min_match, *(len(t) for t in self.texts[first:])])
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
@@ -171,23 +177,24 @@ class Scanner:
             matches.append((first + len(ids) - previous[1], first + len(ids), previous[0]))
         return found, matches
 
-    def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Covered template spans (template, first word, end word, tokens covered), the matches in file order."""
+    def chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, bool]]:
+        """Covered template spans (template, first word, end word, tokens covered, whether a match is the label's own), the matches in file order."""
         spans: dict[int, list[int]] = {}
         done = []
         for start, end, state in matches:
             for t, place in self.places[state]:
                 n, open_ = end - start, spans.get(t)
-                # [first word, end word, template end, covered]
+                own = self.own[state] or n == len(self.texts[t])
+                # [first word, end word, template end, covered, own]
                 if open_ and place > open_[2] and start - open_[1] <= self.spec.gap and place - n - open_[2] <= self.spec.gap:
                     fresh = min(n, place - open_[2], end - open_[1])
                     if fresh > 0:
-                        spans[t] = [open_[0], end, place, open_[3] + fresh]
+                        spans[t] = [open_[0], end, place, open_[3] + fresh, open_[4] or own]
                 elif not open_ or start - open_[1] > self.spec.gap or n > open_[3]:
                     if open_:
-                        done.append((t, open_[0], open_[1], open_[3]))
-                    spans[t] = [start, end, place, n]
-        return done + [(t, s[0], s[1], s[3]) for t, s in spans.items()]
+                        done.append((t, open_[0], open_[1], open_[3], open_[4]))
+                    spans[t] = [start, end, place, n, own]
+        return done + [(t, s[0], s[1], s[3], bool(s[4])) for t, s in spans.items()]
 
     def row(self, ids: np.ndarray) -> dict:
         """Places, spans and labels of one file, given its words' token ids."""
@@ -201,14 +208,15 @@ class Scanner:
                 matches += more
         spans = self.chains(matches)
         names = [label for label, _ in self.spec.templates]
-        share = [n / len(self.texts[t]) for t, _, _, n in spans]
+        share = [n / len(self.texts[t]) for t, _, _, n, _ in spans]
+        enough = [own and x >= (self.spec.cover if len(self.texts[t]) >= self.spec.short else self.spec.short_cover) for (t, _, _, _, own), x in zip(spans, share, strict=True)]
         base = sorted({self.spec.phrases[p][1] for p, _ in places})
         starts = [s for _, s in places]
         return {
             "n_base": len(places), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base": base,
-            "labels": sorted({*base, *(names[s[0]] for s, x in zip(spans, share, strict=True) if x >= self.spec.cover)}),
+            "labels": sorted({*base, *(names[s[0]] for s, e in zip(spans, enough, strict=True) if e)}),
             "score": 1.0 if places else float(min(1.0, max(share, default=0.0))),
-            "spans": [{"label": names[t], "template": t, "first_word": a, "end_word": b, "covered": n} for (t, a, b, n), x in zip(spans, share, strict=True) if x >= self.spec.cover],
+            "spans": [{"label": names[t], "template": t, "first_word": a, "end_word": b, "covered": n} for (t, a, b, n, _), e in zip(spans, enough, strict=True) if e],
         }
 
 

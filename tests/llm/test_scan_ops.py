@@ -54,6 +54,18 @@ def test_licence_edges(edge_docs, no_docs):
     assert L.licence_spans(no_docs).count() == 0
 
 
+def test_common_words_give_no_label(make_docs):
+    texts = {
+        "Licensed under the BSD license": "", "released under the name of its author": "", "licensed under the": "", "Licensed under CC BY SA 4.0": "",
+        "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License": "",
+        "Released under the MIT.": "mit", "licensed under the MIT license": "mit", "Licensed under CC BY 4.0": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa",
+        **{t: label for label, t in L.TEMPLATES if len(t.split()) >= 10},
+    }
+    got = {r["doc_id"]: r["labels"] for r in L.licence_spans(make_docs(*enumerate(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 # ---- chunks
 
 
