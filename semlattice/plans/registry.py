@@ -240,6 +240,20 @@ def entity_detail(spark, sf_dir):
     return query.entity_detail(t, query.no_merges(t), ids)
 
 
+@_query("""
+  SELECT 'cu_' || c_custkey AS uri, 'property' AS kind, 'name' AS p, c_name AS value, CAST(NULL AS VARCHAR) AS target FROM customer UNION ALL SELECT 'cu_' || c_custkey, 'property', 'revenue', CAST(c_acctbal AS VARCHAR), NULL FROM customer
+  UNION ALL SELECT 'cu_' || c_custkey, 'property', 'description', c_mktsegment, NULL FROM customer UNION ALL SELECT 'cu_' || c_custkey, 'relation', 'type', 'Scholar', 'Scholar' FROM customer
+  UNION ALL SELECT 'cu_' || c_custkey, 'relation', 'sourcedFrom', 'ds_customer', 'ds_customer' FROM customer
+  UNION ALL SELECT 'cu_' || c_custkey, 'relation', 'affiliatedWith', n_name, 'n_' || n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'n_' || n_nationkey, 'property', 'name', n_name, NULL FROM nation UNION ALL SELECT 'n_' || n_nationkey, 'property', 'level', CAST(n_regionkey AS VARCHAR), NULL FROM nation
+  UNION ALL SELECT 'n_' || n_nationkey, 'relation', 'type', 'Institution', 'Institution' FROM nation UNION ALL SELECT 'n_' || n_nationkey, 'relation', 'sourcedFrom', 'ds_nation', 'ds_nation' FROM nation
+""")
+def entity_detail_all(spark, sf_dir):
+    """Detail of all typed entities in one job."""
+    t = stored(triples(spark, sf_dir, "nation", "customer"))
+    return query.entity_detail(t, query.no_merges(t), graph.types(t).select(F.col("s").alias("uri")))
+
+
 @_query("""
   SELECT 'cu_' || c_custkey AS uri, 'name' AS label, c_name AS value FROM customer UNION ALL SELECT 'cu_' || c_custkey, 'revenue', CAST(c_acctbal AS VARCHAR) FROM customer
   UNION ALL SELECT 'cu_' || c_custkey, 'description', c_mktsegment FROM customer
