@@ -1,8 +1,9 @@
 """Token ids of a public tokenizer in files of Simple-8b words.
 
-Texts are encoded piece by piece: a piece is a run between single spaces, with its leading
-space. The tokenizer's own split never crosses such a place, so pieces can be encoded once
-and looked up; texts with white space around a space are encoded whole.
+Texts are cut at places which the tokenizer's own split never crosses, whatever stands around
+them, so each different piece is encoded once and looked up afterwards: before a space that
+no white space follows, between a letter and . , ; : ! or ?, and after a line feed between
+other characters. Texts that hold an added token are encoded whole.
 
 File format (one binary value for each file, little-endian):
   "S8B1", uint32 documents, uint64 ids, uint32 ids of a block, uint32 blocks
@@ -21,7 +22,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -39,16 +40,28 @@ _COUNT = np.array([c for c, _ in SELECTORS])
 _BITS = np.array([b for _, b in SELECTORS])
 MAGIC = b"S8B1"
 BLOCK = 1024
-#: A piece that ends or begins with white space beside a space is not safe to cut there.
-_SPACES = "[ \\t\\n\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
-UNSAFE = f"{_SPACES} {_SPACES}"
-#: Most pieces that a Python worker remembers, about 250 bytes each; beyond it those go that came in one file only.
-MEMO = 1_100_000
+
+
+def _bytes(*values: int | str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[v if isinstance(v, int) else ord(v) for v in values]] = True
+    return out
+
+
+_WHITE = _bytes(*range(0x09, 0x0E), *range(0x1C, 0x21))
+#: White space, or the first byte of characters some of which are white space.
+_MAYBE_WHITE = _WHITE | _bytes(0xC2, 0xE1, 0xE2, 0xE3)
+_LETTER = _bytes(*range(0x41, 0x5B), *range(0x61, 0x7B))
+_MARK = _bytes(*".,;:!?")
+#: Stands before a piece without a leading space when many pieces make up one string; the split cuts on both sides of it.
+_APART = " .\n"
+#: Most pieces that a Python worker remembers, about 200 bytes each; beyond it those go that came in one file only.
+MEMO = 800_000
 
 
 @dataclass(frozen=True)
 class Tokens:
-    """tokenizer: path of its file. end: id put after each document. file_bytes: of texts in one file, about.
+    """tokenizer: path of its file. end: id put after each document. file_bytes: of texts in one file, about; part_bytes: in one task.
 
     added: a literal of the tokenizer's added tokens, such as <|endoftext|>, gets that token's id, as in the
     library by default; otherwise it is text like any other.
@@ -57,6 +70,7 @@ class Tokens:
     tokenizer: str
     end: int = 2
     file_bytes: int = 6 << 20
+    part_bytes: int = 128 << 20
     added: bool = False
 
 
@@ -66,42 +80,48 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     blocks = -(-n // BLOCK)
     # each block is followed by room for one more word's zeros, so no word reaches into the next block
     pitch = BLOCK + 64
-    stored = np.zeros((blocks, pitch), np.uint64)
-    held = np.zeros(blocks * BLOCK, np.uint64)
-    held[:n] = ids
-    held[:n] += np.uint64(1)
-    high = held >= (1 << 20)
+    held = np.zeros(blocks * BLOCK, np.uint32)
+    high = np.zeros(blocks * BLOCK, bool)
+    high[:n] = ids >= (1 << 20) - 1
     escaped = ids[high[:n]].astype(np.uint32)
+    held[:n] = ids
+    held[:n] += np.uint32(1)
     held[high] = 0
+    stored = np.zeros((blocks, pitch), np.uint32)
     stored[:, :BLOCK] = held.reshape(blocks, BLOCK)
     stored = stored.reshape(-1)
     escape_at = np.concatenate([[0], np.cumsum(high.reshape(blocks, BLOCK).sum(1))])
-    # the most ids that a word may hold from each place on; each selector looks at the narrow ids only
+    # the most ids that a word may hold from each place on: runs of narrow ids, by doubling
     best = np.zeros(len(stored), np.int8)
-    narrow = np.arange(len(stored), dtype=np.int32)
     for s, (count, bits) in enumerate(SELECTORS[1:], 1):
-        narrow = narrow[stored[narrow] < (1 << bits)]
-        if len(narrow) >= count:
-            ahead = len(narrow) - count + 1
-            best[narrow[:ahead][narrow[count - 1 :] - narrow[:ahead] == count - 1]] = s
+        run = np.ones(len(stored), bool) if bits >= 20 else stored < (1 << bits)
+        have = 1
+        while have < count:
+            step = min(have, count - have)
+            run[:-step] &= run[step:]
+            have += step
+        run[len(run) - count + 1 :] = False
+        if not run.any():
+            break
+        best[run] = s
     # all blocks take their words in step
     place = np.arange(blocks) * pitch
     end = place + np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
-    live = np.arange(blocks)
-    starts = []
-    while len(live):
-        at = place[live]
-        starts.append(at)
-        place[live] = at + _COUNT[best[at]]
-        live = live[place[live] < end[live]]
-    start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-    start.sort()
+    taken = np.zeros(len(stored), bool)
+    while len(place):
+        taken[place] = True
+        place = place + _COUNT[best[place]]
+        live = place < end
+        place, end = place[live], end[live]
+    start = np.flatnonzero(taken)
     selector = best[start].astype(np.int64)
     words = selector.astype(np.uint64) << np.uint64(60)
     for s, (count, bits) in enumerate(SELECTORS):
         mine = np.flatnonzero(selector == s)
+        at, body = start[mine], np.zeros(len(mine), np.uint64)
         for j in range(count if len(mine) else 0):
-            words[mine] |= stored[start[mine] + j] << np.uint64(j * bits)
+            body |= stored[at + j].astype(np.uint64) << np.uint64(j * bits)
+        words[mine] |= body
     block_at = np.searchsorted(start, np.arange(blocks + 1) * pitch)
     return words, escaped, block_at, escape_at
 
@@ -163,6 +183,23 @@ def from_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(doc_ids, nulls, strict=True)], counts.astype(np.int64), unpack(words, escaped, block_at, escape_at, n_ids)
 
 
+def cuts(data: np.ndarray, row_at: np.ndarray) -> np.ndarray:
+    """Where the pieces of UTF-8 texts begin, and the end. row_at: where each text begins, and the end."""
+    n = len(data)
+    begins = np.zeros(n + 1, bool)
+    begins[row_at] = True
+    space = np.flatnonzero(data[:-1] == 0x20)
+    begins[space[~_MAYBE_WHITE[data[space + 1]]]] = True
+    mark = np.flatnonzero(_MARK[data[2:]]) + 2
+    before, older = data[mark - 1], data[mark - 2]
+    # U+00C0 to U+017F but two signs are letters of two bytes; a byte from 0x80 on follows its own first byte
+    accented = (older >= 0xC3) & (older <= 0xC5) & (before >= 0x80) & ~((older == 0xC3) & ((before == 0x97) | (before == 0xB7)))
+    begins[mark[_LETTER[before] | accented]] = True
+    line = np.flatnonzero(data[1:-1] == 0x0A) + 1
+    begins[line[(data[line - 1] < 0x80) & ~_WHITE[data[line - 1]] & ~_MAYBE_WHITE[data[line + 1]]] + 1] = True
+    return np.flatnonzero(begins)
+
+
 class Encoder:
     """The tokenizer with a bounded memory of pieces; one for each Python worker and tokenizer."""
 
@@ -185,96 +222,94 @@ class Encoder:
         self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes_of[i] = len(token)
-        self.forget()
-
-    def forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.ids, self.offset = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.memo: dict[bytes, int] = {}
+        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.again = np.zeros(0, bool)
 
     def forget_rare(self) -> None:
         """Keeps the pieces that were asked for again after they had been encoded, or none if even these are too many."""
         keep = np.flatnonzero(self.again)
-        pieces, ids, offset = list(self.memo), self.ids, self.offset
-        self.forget()
-        if len(keep) <= MEMO // 2:
-            size = offset[keep + 1] - offset[keep]
-            ends = np.cumsum(size)
-            self._keep([pieces[i] for i in keep], ids[np.repeat(offset[keep] - (ends - size), size) + np.arange(size.sum())], ends)
-
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def numbers(self, pieces: list[str], plain: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Each piece's number; unknown ones are encoded. Plain ones go many in one string, which the byte lengths of the ids cut again."""
-        out = np.array([self.memo.get(p, -1) for p in pieces], np.int32)
-        new = np.flatnonzero(out < 0)
-        self.again[out[out >= 0]] = True
-        for part, many in ((new[plain[new]], 256), (new[~plain[new]], 1)):
-            for i in range(0, len(part), 65_536):
-                some = part[i : i + 65_536]
-                texts = [pieces[j] for j in some]
-                lists = self.whole(["".join(texts[j : j + many]) for j in range(0, len(texts), many)] if many > 1 else texts)
-                ids = np.fromiter(chain.from_iterable(lists), np.uint32)
-                ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(size[some]), "left") + 1 if many > 1 else np.cumsum([len(x) for x in lists])
-                out[some] = np.arange(len(self.memo), len(self.memo) + len(some))
-                self._keep(texts, ids, ends)
-        return out
-
-    def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        n = len(self.memo)
-        self.memo.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        self.ids = np.concatenate([self.ids, ids])
+        keep = keep if len(keep) <= MEMO // 2 else keep[:0]
+        pieces = list(self.memo)
+        self.memo = {pieces[i]: nr for nr, i in enumerate(keep.tolist())}
+        size = np.diff(self.at)[keep]
+        self.ids = self.ids[_ranges(self.at[keep], size)]
+        self.at = np.concatenate([[0], np.cumsum(size)])
+        self.again = np.zeros(len(keep), bool)
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def joined(self, pieces: list[bytes], apart: str, many: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Likewise for pieces, many in one string with `apart` before each; the byte lengths of the ids tell which belong to a piece."""
+        gap = apart.encode()
+        ids, _ = self.whole([(gap + gap.join(pieces[i : i + many])).decode() for i in range(0, len(pieces), many)])
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        end = np.cumsum(size + len(gap))
+        byte_at = np.cumsum(self.bytes_of[ids])
+        first, last = (np.searchsorted(byte_at, x, "left") + 1 for x in (end - size, end))
+        first[(end - size) == 0] = 0
+        return ids[_ranges(first, last - first)], last - first
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encodes new pieces and remembers them."""
+        groups: tuple[list[bytes], list[bytes], list[bytes]] = ([], [], [])
+        for p in pieces:
+            spaced = p[0] == 0x20 and len(p) > 1
+            groups[2 if _MAYBE_WHITE[p[1 if spaced else 0]] else 0 if spaced else 1].append(p)
+        parts = [self.joined(groups[0], ""), self.joined(groups[1], _APART), self.whole([p.decode() for p in groups[2]])]
+        self.memo.update(zip(chain.from_iterable(groups), range(len(self.memo), len(self.memo) + len(pieces)), strict=True))
+        self.ids = np.concatenate([self.ids, *[ids for ids, _ in parts]])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate([n for _, n in parts]))])
         self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
-        self.offset = np.concatenate([self.offset, self.offset[-1] + ends])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts without added tokens, and where each text's begin."""
+        texts = texts.cast(pa.large_binary())
+        row_at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        if row_at[0] == row_at[-1]:
+            return np.zeros(0, np.uint32), np.zeros(len(row_at), np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[row_at[0] : row_at[-1]]
+        row_at = row_at - row_at[0]
+        cut = cuts(data, row_at)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.memo.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = number < 0
+        self.again[number[~new]] = True
+        if new.any():
+            fresh = [pieces[i] for i in np.flatnonzero(new)]
+            self.learn(fresh)
+            number[new] = np.fromiter(map(self.memo.__getitem__, fresh), np.int64, len(fresh))
+        which = number[coded.indices.to_numpy()]
+        size = np.diff(self.at)[which]
+        id_at = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[_ranges(self.at[which], size)], id_at[np.searchsorted(cut, row_at)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin."""
         if len(self.memo) > MEMO:
             self.forget_rare()
-        unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False).astype(bool)
+        held = np.zeros(len(texts), bool)
         for literal in self.literals:
-            unsafe |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False).astype(bool)
-        safe = np.flatnonzero(~unsafe)
-        lists = pc.split_pattern(texts.take(pa.array(safe)), " ")
-        per_text = np.diff(lists.offsets.to_numpy())
-        coded = lists.flatten().dictionary_encode()
-        code, words = coded.indices.to_numpy(), coded.dictionary
-        first = np.zeros(len(code), bool)
-        first[(np.cumsum(per_text) - per_text)[per_text > 0]] = True
-        # plain: not empty, no white space at either end
-        plain = pc.equal(pc.utf8_trim_whitespace(words), words).to_numpy(zero_copy_only=False) & (pc.binary_length(words).to_numpy(zero_copy_only=False) > 0)
-        number = np.zeros((2, len(words)), np.int32)
-        # a text's first piece has no space before it; such a piece isn't put into one string with others
-        for where, chosen, before in ((0, code[~first], " "), (1, code[first], "")):
-            used = np.zeros(len(words), bool)
-            used[chosen] = True
-            used = np.flatnonzero(used)
-            mine = words.take(pa.array(used))
-            mine = pc.binary_join_element_wise(before, mine, "") if before else mine
-            size = pc.binary_length(mine).to_numpy(zero_copy_only=False)
-            number[where, used] = self.numbers(mine.to_pylist(), plain[used] if before else np.zeros(len(used), bool), size)
-        offset = self.offset
-        which = number[first.astype(np.int8), code]
-        size = np.diff(offset)[which]
-        begin = np.cumsum(size) - size
-        total = int(size.sum())
-        at = np.repeat((offset[which] - begin).astype(np.int32), size)
-        at += np.arange(total, dtype=np.int32)
-        ids = self.ids[at]
-        piece_at = np.concatenate([[0], np.cumsum(per_text)])
-        id_at = np.concatenate([begin, [total]])[piece_at]
-        if not unsafe.any():
-            return ids, id_at
+            held |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False).astype(bool)
+        if not held.any():
+            return self._encode(texts)
+        own, own_at = self._encode(texts.filter(pa.array(~held)))
+        others, n_others = self.whole(texts.filter(pa.array(held)).to_pylist())
         counts = np.zeros(len(texts), np.int64)
-        counts[safe] = np.diff(id_at)
-        others = self.whole(texts.filter(pa.array(unsafe)).to_pylist())
-        counts[unsafe] = [len(x) for x in others]
-        at = np.concatenate([[0], np.cumsum(counts)])
-        out = np.empty(at[-1], np.uint32)
-        out[np.repeat(~unsafe, counts)] = ids
-        out[np.repeat(unsafe, counts)] = np.fromiter((i for x in others for i in x), np.uint32)
-        return out, at
+        counts[~held], counts[held] = np.diff(own_at), n_others
+        out = np.empty(counts.sum(), np.uint32)
+        out[np.repeat(~held, counts)], out[np.repeat(held, counts)] = own, others
+        return out, np.concatenate([[0], np.cumsum(counts)])
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one range after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def token_files(docs: DataFrame, spec: Tokens) -> DataFrame:
@@ -285,7 +320,8 @@ def token_files(docs: DataFrame, spec: Tokens) -> DataFrame:
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // spec.part_bytes))
     dealt = rows.repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,10 @@
+import os
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -108,15 +110,32 @@ def test_packing_holds_sixty_small_ids_in_a_word():
     assert T.pack(np.zeros(0, np.uint32))[0].size == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab \n\t.é' 数1", max_size=30), min_size=1, max_size=6))
-def test_pieces_give_the_tokenizers_ids(texts):
+PARTS = [*" \n\t\r\x0b\x0c\x1c\x85\xa0\u1680\u2003\u2028\u3000", " ", " ", "\n", "a", "Foo", "é", "ß", "×", "÷", "ſ", *".,;:!?'-()|<>", "'s", "'re", "1", "23", "数", "か", "\u0301", "🙂", "\x00", "<|endoftext|>"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=30).map("".join), min_size=1, max_size=20), st.booleans(), st.booleans())
+def test_pieces_give_the_tokenizers_ids(texts, added, forgetful):
     import pyarrow as pa
 
-    encoder = T.Encoder.of(SPEC.tokenizer)
+    plain = Tokenizer.from_file(SPEC.tokenizer)
+    plain.encode_special_tokens = not added
+    encoder, kept = T.Encoder.of(SPEC.tokenizer, added), T.MEMO
+    T.MEMO = 30 if forgetful else kept
     ids, at = encoder.encode(pa.array(texts, pa.string()))
-    for t, a, b in zip(texts, at, at[1:], strict=False):
-        assert ids[a:b].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    T.MEMO = kept
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_the_query_gives_the_plain_calls_ids(spark):
+    docs = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    plain, want, start = Tokenizer.from_file(SPEC.tokenizer), [], 0
+    for doc_id, text in docs:
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, T.op6_simple8b_token_files(spark, "/root/testdata/sf0.001").collect())) == want
 
 
 def test_added_tokens_get_their_ids():
