@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..plans.scratch import join_checked, saved
 
-__all__ = ["ARROW_ROWS", "components", "join_checked", "saved", "small_batches", "table"]
+__all__ = ["ARROW_ROWS", "components", "hashable", "join_checked", "row_key", "saved", "small_batches", "table"]
 
 #: Rows of one Arrow batch; a batch of the longest texts stays below some hundred MB.
 ARROW_ROWS = 1000
@@ -21,3 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small, as a text may have hundreds of KB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
+
+def hashable(docs: DataFrame) -> list[Column]:
+    """The columns, those that hold maps as text."""
+    return [F.to_json(F.struct(F.col(f"`{n}`"))) if "map<" in kind else F.col(f"`{n}`") for n, kind in docs.dtypes]
+
+
+def row_key() -> Column:
+    """A hash of doc_id and text, by which stages decide on rows."""
+    return F.xxhash64(F.lit(11), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_checked, saved, table
+from .common import join_checked, row_key, saved, table
 
 #: Units that become a placeholder when they follow a number.
 UNITS = "kg|km|cm|mm|mg|lbs?|miles?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|usd|eur|percent|m|g"
@@ -170,9 +170,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: Decontam = Decontam()) ->
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, spec: Decontam = Decontam()) -> DataFrame:
-    """The rows of docs that hold no item of the benchmark."""
-    gone = saved(leaks(docs, benchmark, spec).select("doc_id").distinct())
-    return join_checked(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that hold no item of the benchmark, each decided by its own text, whatever its doc_id."""
+    told = docs.withColumn("__row", row_key())
+    gone = saved(leaks(told.select(F.col("__row").alias("doc_id"), "text"), benchmark, spec).select(F.col("doc_id").alias("__row")).distinct())
+    return join_checked(told, gone, "__row", "left_anti").select(docs.columns)
 
 
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

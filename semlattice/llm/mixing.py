@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-1. Sizes (words) and row counts are summed for each source; targets follow from weights.
-2. A source's documents are dealt into blocks of nearly equal size by a hash. In each
+1. Equal rows are counted and cut into parts of bounded size. Sizes (words) and row counts
+   are summed for each source; targets follow from weights.
+2. A source's parts are dealt into blocks of nearly equal size by a hash. In each
    round the source's blocks come in another hash-permuted order; full rounds take every
    block, the last round takes leading blocks, its boundary block in part. So draws are
    disjoint within a round, and no document is drawn more than `cap` times.
@@ -20,13 +21,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import hashable, saved, table
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that one row is exploded to at a time; parts of equal rows that are joined with one copy of their row.
+STEP, SALT = 10_000, 64
 
 
 @dataclass(frozen=True)
@@ -64,18 +67,28 @@ def targets(sizes: list[int], spec: Mix) -> list[float]:
     return out
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of each row; null text: 0. uid tells rows with one doc_id apart."""
+def keyed(docs: DataFrame, whole: bool) -> DataFrame:
+    """doc_id, source, size (words; null text: 0), uid and vid, and docs's own columns as `row`.
+
+    uid: a hash of doc_id and text, by which rows are dealt. vid: another, of all columns if `whole`.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    mine = [F.col("doc_id").cast("long"), text]
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(1), "doc_id", text).alias("uid"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.lit(1), *mine).alias("uid"), F.xxhash64(F.lit(2), *(hashable(docs) if whole else mine)).alias("vid"),
+        F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"),
     )
 
 
-def source_plan(sizes: DataFrame, spec: Mix) -> pd.DataFrame:
-    """One row for each source: rank, source, total, rows, target, blocks, full rounds and the words of the last round."""
-    grouped = sizes.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("rows"))
+def units(rows: DataFrame) -> DataFrame:
+    """Equal rows of one source as one, with their number n. rows: as keyed() gives them."""
+    return rows.groupBy("doc_id", "source", "size", "uid", "vid").agg(F.count("*").alias("n"))
+
+
+def source_plan(known: DataFrame, spec: Mix) -> pd.DataFrame:
+    """One row for each source: rank, source, total, rows, target, blocks, full rounds and the words of the last round. known: units()."""
+    grouped = known.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("total"), F.sum("n").alias("rows"))
     plan = grouped.limit(spec.max_sources + 1).toPandas()
     if len(plan) > spec.max_sources:
         raise ValueError(f"more than {spec.max_sources} sources")
@@ -91,19 +104,28 @@ def source_plan(sizes: DataFrame, spec: Mix) -> pd.DataFrame:
 
 
 def _boundary(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a boundary block that fit, in hash order, into what is left of the last round.
+    """`extra` copies of the parts of a boundary block that fit, in hash order, into what is left of the last round.
 
-    One more row goes in if that brings the source nearer to its target.
+    One more copy goes in if that brings the source nearer to its target.
     """
-    rows = rows.sort_values(["order", "doc_id", "uid"], ignore_index=True)
-    room, taken = float(rows["room"].iloc[0]), []
-    for size in rows["size"]:
-        taken.append(size <= room)
-        room -= size if taken[-1] else 0
-    off = [float("inf") if t else abs(room - size) for t, size in zip(taken, rows["size"], strict=True)]
+    rows = rows.sort_values(["order", "doc_id", "uid", "vid", "part"], ignore_index=True)
+    room, extra = float(rows["room"].iloc[0]), []
+    for size, copies in zip(rows["size"], rows["copies"], strict=True):
+        extra.append(int(min(copies, room // size)))
+        room -= extra[-1] * size
+    off = [abs(room - size) if e < c else float("inf") for size, c, e in zip(rows["size"], rows["copies"], extra, strict=True)]
     if min(off) < room:
-        taken[off.index(min(off))] = True
-    return rows.assign(taken=taken)[["uid", "source_rank", "doc_id", "size", "block", "taken"]]
+        extra[off.index(min(off))] += 1
+    return rows.assign(extra=extra)[["source_rank", "doc_id", "uid", "vid", "size", "part", "copies", "shards", "extra", "extra_shard"]]
+
+
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """How many of `take` draws are good. NumPy's populations end below 1e9; larger ones by the normal limit, within the support."""
+    if good < 10**9 and bad < 10**9:
+        return int(rng.hypergeometric(good, bad, take))
+    total = good + bad
+    spread = (take * (good / total) * (bad / total) * ((total - take) / max(1, total - 1))) ** 0.5
+    return min(good, take, max(0, take - bad, round(take * good / total + spread * rng.standard_normal())))
 
 
 class Tree:
@@ -111,7 +133,8 @@ class Tree:
 
     def __init__(self, quotas: list[int], shards: int, seed: int):
         self.shards, self.seed = shards, seed
-        self.node = lru_cache(maxsize=4096)(self._node)
+        # about 64 MB of nodes; those that a walk meets first are asked for most
+        self.node = lru_cache(maxsize=max(64, (64 << 20) // (16 * len(quotas) + 1)))(self._node)
         self.quotas = np.array(quotas, np.int64)
 
     def _node(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +155,7 @@ class Tree:
         left, rest = np.zeros_like(mine), total
         for s, n in enumerate(mine):
             rest -= n
-            left[s] = rng.hypergeometric(n, rest, take) if take and n else 0
+            left[s] = _hypergeometric(rng, int(n), int(rest), int(take)) if take and n else 0
             take -= left[s]
         return mine, left
 
@@ -156,20 +179,43 @@ class Tree:
         return lo
 
 
-def draws(sizes: DataFrame, spec: Mix, plan: pd.DataFrame) -> DataFrame:
-    """Rows (doc_id, uid, source_rank, size, round, block, shard): one for each time that a document is drawn.
+def _each(spec: Mix) -> Column:
+    """Most equal rows in one part."""
+    return F.greatest(F.lit(1), F.least(F.lit(spec.block_rows), F.floor(F.lit(spec.block_words) / F.col("size")))).cast("long")
+
 
-    sizes: as sized() gives it, saved.
+def _parts(known: DataFrame, sources: DataFrame, spec: Mix) -> DataFrame:
+    """Units in parts of `copies` equal rows, none above a block's words or rows, each in a block of its source.
+
+    A unit of very many parts is exploded in two steps with an exchange between them.
     """
-    spark = sizes.sparkSession
-    columns = ["rank", "source", "blocks", "rounds", "rest"]
-    sources = spark.createDataFrame([tuple(x) for x in plan[columns].astype({"source": object}).where(plan[columns].notna(), None).itertuples(index=False)], "source_rank int, source string, blocks long, rounds int, rest double")
-    dealt = (
+    rows = (
         # one row for each source, at most max_sources of them
-        sizes.join(F.broadcast(sources), sizes["source"].eqNullSafe(sources["source"])).drop("source")
-        .withColumn("block", F.pmod(F.xxhash64(F.lit(spec.seed), "doc_id", "uid"), F.col("blocks")))
+        known.where("size > 0").join(F.broadcast(sources), known["source"].eqNullSafe(sources["source"])).drop("source")
+        .withColumn("each", _each(spec)).withColumn("parts", F.ceil(F.col("n") / F.col("each")).cast("long"))
+    )
+    few = rows.where(F.col("parts") <= STEP).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    many = (
+        rows.where(F.col("parts") > STEP).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("parts") - 1) / STEP)))).repartition("uid", "step")
+        .withColumn("part", F.explode(F.sequence(F.col("step") * STEP, F.least(F.col("parts"), (F.col("step") + 1) * STEP) - 1))).drop("step")
     )
-    blocks = dealt.where("size > 0").groupBy("source_rank", "block", "rounds", "rest").agg(F.sum("size").alias("words"))
+    return (
+        few.unionByName(many).withColumn("copies", F.least(F.col("each"), F.col("n") - F.col("part") * F.col("each"))).drop("each", "parts")
+        .withColumn("block", F.pmod(F.xxhash64(F.lit(spec.seed), "doc_id", "uid", "part"), F.col("blocks")))
+    )
+
+
+def draws(known: DataFrame, spec: Mix, plan: pd.DataFrame) -> DataFrame:
+    """Rows (source_rank, doc_id, uid, vid, size, part, copies, shards, extra, extra_shard) of the parts that are drawn.
+
+    shards: the shard of each whole draw of the part's copies. extra: of the copies how many
+    are drawn once more, by a boundary block, into extra_shard. known: units(), saved.
+    """
+    spark = known.sparkSession
+    columns = ["rank", "source", "blocks", "rounds", "rest"]
+    sources = spark.createDataFrame([tuple(x) for x in plan[columns].astype({"source": object}).where(plan[columns].notna(), None).itertuples(index=False)], "source_rank int, source string, blocks long, rounds int, rest double")
+    dealt = _parts(known, sources, spec)
+    blocks = saved(dealt.groupBy("source_rank", "block", "rounds", "rest").agg(F.sum(F.col("size") * F.col("copies")).alias("words")))
     order = lambda r: F.xxhash64(F.lit(spec.seed), r, "source_rank", "block")
     # blocks of the last round, leading ones in permuted order; a source's blocks are numbered by two levels of hash
     ranked = _cumulated(blocks.withColumn("order", order(F.col("rounds"))))
@@ -188,15 +234,26 @@ def draws(sizes: DataFrame, spec: Mix, plan: pd.DataFrame) -> DataFrame:
             yield f[["source_rank", "block", "round", "room", "shard"]]
 
     placed = numbered.mapInPandas(place, "source_rank int, block long, round int, room double, shard int")
-    rows = dealt.where("size > 0").select("doc_id", "uid", "source_rank", "size", "block").hint("merge").join(placed, ["source_rank", "block"])
+    # at most `cap` draws of a block
+    of_block = placed.groupBy("source_rank", "block").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("room").isNull(), F.struct("round", "shard")))), lambda x: x["shard"]).alias("shards"),
+        F.max("room").alias("room"), F.max(F.when(F.col("room").isNotNull(), F.col("shard"))).alias("extra_shard"),
+    )
+    rows = dealt.select("source_rank", "block", "doc_id", "uid", "vid", "size", "part", "copies").hint("merge").join(saved(of_block), ["source_rank", "block"])
+    names = ["source_rank", "doc_id", "uid", "vid", "size", "part", "copies", "shards", "extra", "extra_shard"]
     boundary = (
-        rows.where("room is not null").withColumn("order", F.xxhash64(F.lit(spec.seed + 2), "doc_id", "uid"))
-        .groupBy("source_rank", "block", "round", "shard").applyInPandas(lambda k, f: _boundary(f).assign(round=k[2], shard=k[3]).query("taken").drop(columns="taken"), "uid long, source_rank int, doc_id long, size long, block long, round int, shard int")
+        rows.where("room is not null").withColumn("order", F.xxhash64(F.lit(spec.seed + 2), "doc_id", "uid", "part"))
+        .groupBy("source_rank", "block").applyInPandas(_boundary, "source_rank int, doc_id long, uid long, vid long, size long, part long, copies long, shards array<int>, extra long, extra_shard int")
     )
-    whole = rows.where("room is null").drop("room")
+    whole = rows.where("room is null").withColumn("extra", F.lit(0).cast("long")).select(names)
     return whole.unionByName(boundary)
 
 
+def _shards_of(copy: Column) -> Column:
+    """Shards to which a part's copy of that number goes, one for each time it is drawn."""
+    return F.when(copy < F.col("extra"), F.array_append("shards", F.col("extra_shard"))).otherwise(F.col("shards"))
+
+
 def _cumulated(blocks: DataFrame) -> DataFrame:
     """blocks with `before`: words of the source's blocks that come earlier in the order; in two levels of 1024 ranges."""
     part = F.shiftrightunsigned(F.col("order") + F.lit(0), 54)
@@ -219,37 +276,64 @@ def _numbered(taken: DataFrame) -> DataFrame:
 
 
 def taken_words(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken, copies), one for each row of docs.
+    """Rows (doc_id, size, source_size, target, taken, copies, shards), one for each row of docs.
 
     taken: words of the document that the mix takes, repeats counted; at most cap times its
-    size. Null source: a source of its own. Null or empty text: size 0, never drawn. No rows:
-    no rows. Equal rows (one doc_id and text) are drawn together. Other columns are ignored.
+    size. shards: the output shard of each of its draws. Null source: a source of its own.
+    Null or empty text: size 0, never drawn. No rows: no rows. Equal rows (one doc_id, source
+    and text) are counted and dealt in parts, and drawn apart. Other columns are ignored.
     """
-    sizes = saved(sized(docs))
-    plan = source_plan(sizes, spec)
-    drawn = draws(sizes, spec, plan).select("uid", "source_rank", "doc_id", "round").distinct().groupBy("uid", "source_rank", "doc_id").agg(F.count("*").alias("copies"))
-    info = sizes.sparkSession.createDataFrame([(int(a), b if isinstance(b, str) else None, int(c), float(d)) for a, b, c, d in plan[["rank", "source", "total", "target"]].itertuples(index=False)], "source_rank int, source string, source_size long, target double")
-    return (
-        sizes.join(F.broadcast(info), sizes["source"].eqNullSafe(info["source"])).drop("source").withColumn("doc_key", F.coalesce("doc_id", F.lit(-1)))
-        .hint("merge").join(drawn.select("uid", "source_rank", F.coalesce("doc_id", F.lit(-1)).alias("doc_key"), "copies"), ["uid", "source_rank", "doc_key"], "left")
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.coalesce("copies", F.lit(0))).cast("long").alias("taken"), F.coalesce("copies", F.lit(0)).alias("copies"), "uid")
+    known = saved(units(keyed(docs, False).drop("row")))
+    plan = source_plan(known, spec)
+    info = known.sparkSession.createDataFrame([(int(a), b if isinstance(b, str) else None, int(c), float(d)) for a, b, c, d in plan[["rank", "source", "total", "target"]].itertuples(index=False)], "source_rank int, source string, source_size long, target double")
+    drawn = draws(known, spec, plan).select("source_rank", "uid", "vid", F.coalesce("doc_id", F.lit(-1)).alias("doc_key"), "part", "shards", "extra", "extra_shard")
+    parts = _parts(known, info.withColumn("blocks", F.lit(1).cast("long")), spec).select("source_rank", "uid", "vid", "doc_id", F.coalesce("doc_id", F.lit(-1)).alias("doc_key"), "part", "copies", "size", "source_size", "target")
+    shown = (
+        parts.hint("merge").join(drawn, ["source_rank", "uid", "vid", "doc_key", "part"], "left").withColumn("extra", F.coalesce("extra", F.lit(0).cast("long")))
+        .withColumn("shards", F.coalesce("shards", F.array().cast("array<int>")))
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .withColumn("shards", _shards_of(F.col("copy")))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"), F.size("shards").alias("copies"), "shards")
+    )
+    # rows without words are counted and written out again in steps, too
+    blank = (
+        known.where("size = 0").join(F.broadcast(info), known["source"].eqNullSafe(info["source"]))
+        .withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STEP)))).repartition("uid", "step")
+        .withColumn("copy", F.explode(F.sequence(F.col("step") * STEP, F.least(F.col("n"), (F.col("step") + 1) * STEP) - 1)))
+        .select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), F.array().cast("array<int>").alias("shards"))
     )
+    return shown.unionByName(blank)
 
 
 def mixed(docs: DataFrame, spec: Mix = Mix()) -> DataFrame:
     """The mix itself: rows of docs, each as often as drawn (at most cap times), with its columns only.
 
     Rows of an output shard are shuffled locally; shards follow each other as partitions.
+    Null and empty texts have no words, so no mix draws them. Rows that are equal in all
+    columns are one row with a number: one of them is sent to the shards of all.
     """
-    sizes = saved(sized(docs))
-    plan = source_plan(sizes, spec)
-    drawn = saved(draws(sizes, spec, plan).select(F.col("uid").alias("__uid"), F.col("round").alias("__round"), F.col("shard").alias("__shard")).distinct())
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("__uid", F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), text))
-    joined = keyed.hint("merge").join(drawn, "__uid")
-    return joined.withColumn("__order", F.xxhash64(F.lit(spec.seed + 3), "__uid", "__round", "__shard")).repartition("__shard").sortWithinPartitions("__shard", "__order").select(docs.columns)
+    rows = keyed(docs, True)
+    known = saved(units(rows.drop("row")))
+    drawn = saved(draws(known, spec, source_plan(known, spec)).select("uid", "vid", "part", "copies", "shards", "extra", "extra_shard"))
+    alone = known.where("n = 1 and size > 0").select("uid", "vid").hint("merge").join(drawn, ["uid", "vid"])
+    # one exchange of the rows, with a single row's draws or the number of its equals
+    told = saved(
+        alone.select("uid", "vid", F.lit(0).cast("long").alias("salts"), _shards_of(F.lit(0)).alias("shards"))
+        .unionByName(known.where("n > 1 and size > 0").select("uid", "vid", F.ceil(F.ceil(F.col("n") / _each(spec)) / SALT).cast("long").alias("salts"), F.array().cast("array<int>").alias("shards")))
+    )
+    joined = rows.select("uid", "vid", "row").hint("merge").join(told, ["uid", "vid"])
+    single = joined.where("salts = 0").select("uid", "vid", F.lit(0).cast("long").alias("copy"), "row", F.posexplode("shards").alias("nr", "shard"))
+    again = (
+        joined.where("salts > 0").groupBy("uid", "vid").agg(F.first("row").alias("row"), F.max("salts").alias("salts"))
+        .select("uid", "vid", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        .hint("merge").join(drawn.withColumn("salt", F.floor(F.col("part") / SALT)), ["uid", "vid", "salt"])
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .select("uid", "vid", (F.col("part") * spec.block_rows + F.col("copy")).alias("copy"), "row", F.posexplode(_shards_of(F.col("copy"))).alias("nr", "shard"))
+    )
+    both = single.unionByName(again).withColumn("order", F.xxhash64(F.lit(spec.seed + 3), "uid", "copy", "nr", "shard"))
+    return both.repartition("shard").sortWithinPartitions("shard", "order").select("row.*")
 
 
 def op1_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights 1, 2, 3, repeating; at most three times a source."""
-    return taken_words(table(spark, sf_dir, "documents"), Mix()).select("doc_id", "size", "source_size", "target", "taken")
+    return taken_words(table(spark, sf_dir, "documents"), Mix()).select("doc_id", "size", "source_size", "target", "taken", "shards")

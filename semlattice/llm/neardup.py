@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import components, saved, small_batches
+from .common import components, hashable, join_checked, row_key, saved, small_batches
 
 #: Largest number of members and of bytes of shingle sets in one block of a coarse group.
 BLOCK_ROWS, BLOCK_BYTES = 2048, 24 << 20
@@ -271,15 +271,24 @@ def near_duplicates(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
-    """The rows of docs that stay: of each group of near-duplicates the one with the least doc_id.
+    """The rows of docs that stay: one of each group of near-duplicates. Columns are those of docs.
 
-    Of several rows with one doc_id and one text only one stays. Columns are those of docs.
+    Rows are told apart by a hash of doc_id and text, so null and repeated doc_ids decide nothing:
+    the row of the least hash stays. Of rows with one doc_id and one text one stays, that
+    whose columns have the least hash. Rows without words all stay.
     """
-    found = saved(near_duplicates(docs, spec))
-    gone = found.where("not kept").select("doc_id").distinct()
-    rest = docs.hint("merge").join(gone, "doc_id", "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return (rest.dropDuplicates(["doc_id", "text"]) if repeated else rest).select(docs.columns)
+    told = docs.withColumn("__row", row_key())
+    found = saved(near_duplicates(told.select(F.col("__row").alias("doc_id"), "text"), spec).where("n_shingles > 0").groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("n")))
+    gone = found.where("not kept").select(F.col("doc_id").alias("__row"))
+    again = saved(found.where("kept and n > 1").select(F.col("doc_id").alias("__row")))
+    rest = join_checked(told, gone, "__row", "left_anti")
+    if again.isEmpty():
+        return rest.select(docs.columns)
+    once = join_checked(rest, again, "__row", "left_anti").select(docs.columns)
+    all_of = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    shown = F.xxhash64(*hashable(docs))
+    one = join_checked(told, again, "__row", "left_semi").groupBy("__row").agg(F.min_by(all_of, shown).alias("row")).select("row.*")
+    return once.unionByName(one)
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

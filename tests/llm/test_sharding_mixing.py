@@ -86,3 +86,84 @@ def test_mixing_edges(edge_docs, no_docs):
     assert {r["size"] for r in rows if r["doc_id"] in (1, 2, 3)} == {0}
     assert X.taken_words(no_docs).count() == 0 and X.mixed(no_docs).count() == 0
     assert X.mixed(edge_docs).columns == edge_docs.columns
+
+
+def test_repeated_rows_meet_targets(make_docs, prose):
+    """A third of all rows, and most of a source, are one row."""
+    docs = [(1, prose(30, 1), "a")] * 400 + [(10 + i, prose(25 + i % 11, 10 + i), "a") for i in range(50)] + [(1000 + i, prose(15, 1000 + i), "b") for i in range(250)] + [(5000 + i, prose(40, 5000 + i), "c") for i in range(300)]
+    for seed in (1, 2, 3):
+        spec = X.Mix(seed=seed, block_words=600, block_rows=40, shard_blocks=4)
+        rows = X.taken_words(make_docs(*docs), spec).collect()
+        assert len(rows) == len(docs)
+        taken, target = Counter(), {}
+        for r in rows:
+            taken[r["source_size"]] += r["taken"]
+            target[r["source_size"]] = r["target"]
+            assert r["copies"] == len(r["shards"]) <= 3 and r["taken"] == r["copies"] * r["size"]
+        assert all(abs(taken[k] - t) <= 20 for k, t in target.items()), (taken, target)
+        mixed = Counter((r["doc_id"], r["source"]) for r in X.mixed(make_docs(*docs), spec).collect())
+        want = Counter()
+        for r in rows:
+            want[r["doc_id"]] += r["copies"]
+        assert mixed == Counter({(d, s): want[d] for d, _, s in docs if want[d]})
+
+
+def test_steps_and_salts(make_docs, prose, monkeypatch):
+    monkeypatch.setattr(X, "STEP", 3)
+    monkeypatch.setattr(X, "SALT", 2)
+    docs = [(1, prose(10, 1), "a")] * 90 + [(2, None, "a")] * 20 + [(3 + i, prose(12, i), "b") for i in range(60)]
+    spec = X.Mix(block_words=50, block_rows=4, shard_blocks=2)
+    rows = X.taken_words(make_docs(*docs), spec).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(d[0] for d in docs)
+    want = Counter()
+    for r in rows:
+        want[r["doc_id"]] += r["copies"]
+    assert Counter(r["doc_id"] for r in X.mixed(make_docs(*docs), spec).collect()) == Counter({k: v for k, v in want.items() if v})
+
+
+def test_one_text_in_two_sources(make_docs, prose):
+    """Each source's draws are its own."""
+    docs = [(1, prose(20, 1), "a"), (1, prose(20, 1), "b"), (2, prose(300, 2), "b"), (3, prose(300, 3), "c")]
+    want = Counter({(r["doc_id"], r["source_size"]): r["copies"] for r in X.taken_words(make_docs(*docs)).collect() if r["copies"]})
+    sizes = {"a": 20, "b": 320, "c": 300}
+    got = Counter((r["doc_id"], sizes[r["source"]]) for r in X.mixed(make_docs(*docs)).collect())
+    assert got == want and max(got.values()) <= 3 and got[1, 20] == 3
+
+
+def test_other_columns_and_maps_come_along(spark, prose):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, prose(9, 1), "a", i % 2, {"k": i % 2}) for i in range(40)], "doc_id long, text string, source string, part int, m map<string,int>")
+    got = X.mixed(docs.withColumn("row", F.col("part")))
+    assert got.columns == ["doc_id", "text", "source", "part", "m", "row"] and Counter((r["part"], r["m"]["k"], r["row"]) for r in got.collect()) == {(0, 0, 0): 20, (1, 1, 1): 20}
+
+
+def test_shards_hold_the_trees_leaves(make_docs, prose):
+    """The draws of a shard that its rows show, counted by source, are the tree's leaf. Targets are whole rows, so no drawn block is empty."""
+    docs = [(i, prose(10, i), f"s{i % 3}") for i in range(198)]
+    spec = X.Mix(block_words=1, block_rows=1, shard_blocks=8)
+    rows = X.taken_words(make_docs(*docs), spec).collect()
+    known = X.units(X.keyed(make_docs(*docs), False).drop("row"))
+    plan = X.source_plan(known, spec)
+    parts = X._parts(known, make_docs().sparkSession.createDataFrame([(int(r), s, int(b)) for r, s, b in zip(plan["rank"], plan["source"], plan["blocks"])], "source_rank int, source string, blocks long"), spec)
+    block = {r["doc_id"]: (r["source_rank"], r["block"]) for r in parts.collect()}
+    drawn = {(block[r["doc_id"]], nr, s) for r in rows for nr, s in enumerate(r["shards"])}
+    quotas = Counter(b[0] for b, _, _ in drawn)
+    shards = -(-sum(quotas.values()) // spec.shard_blocks)
+    tree = X.Tree([quotas[i] for i in range(3)], shards, spec.seed)
+    leaves = Counter((b[0], s) for b, _, s in drawn)
+    for i in range(shards):
+        lo, hi = 0, shards
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (lo, mid) if i < mid else (mid, hi)
+        assert [leaves[s, i] for s in range(3)] == tree.node(i, i + 1)[0].tolist()
+
+
+def test_large_populations():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for good, bad, take in ((3 * 10**9, 10**9, 10**9), (10**12, 5, 10**12), (7, 10**11, 10**10)):
+        x = X._hypergeometric(rng, good, bad, take)
+        assert max(0, take - bad) <= x <= min(good, take) and abs(x - take * good / (good + bad)) <= 10 * (take * good / (good + bad)) ** 0.5 + 10
