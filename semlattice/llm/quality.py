@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .common import small_batches, table
-from .toxicity import SCHEMA, held_out, labelled
+from .toxicity import SCHEMA, held_out, labelled, one_row_each
 
 PASSAGE = 64
 PROJECTIONS = 8
@@ -167,7 +167,10 @@ def train(bags: list[tuple[np.ndarray, int]], spec: Mil) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, spec: Mil = Mil(), label: str = "quality") -> Model:
-    """Passages are encoded by many tasks; one task learns from the bounded sample and gives back a few thousand numbers."""
+    """Passages are encoded by many tasks; one task learns from the bounded sample and gives back a few thousand numbers.
+
+    Of rows that share a doc_id one is learnt from.
+    """
     small_batches(docs.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,12 +182,12 @@ def fit(docs: DataFrame, labels: DataFrame, spec: Mil = Mil(), label: str = "qua
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([x[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["doc_id", "y", "passages"])
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "passages"]).head(2 * spec.sample)
+        frame = frame.sort_values("doc_id")
         bags = [(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES), y) for x, y in zip(frame["passages"], frame["y"], strict=True)]
         return pd.DataFrame([(k, list(v.shape), v.reshape(-1).tolist()) for k, v in train(bags, spec).p.items()], columns=["name", "shape", "numbers"])
 
     rows = labelled(docs, labels, label, spec.sample).mapInArrow(extract, "doc_id long, y int, passages binary")
-    parts = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda f: learn(f), "name string, shape array<int>, numbers array<double>").collect()
+    parts = one_row_each(rows, "passages").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda f: learn(f), "name string, shape array<int>, numbers array<double>").collect()
     if not parts:
         return train([], spec)
     return Model({r["name"]: np.array(r["numbers"]).reshape(r["shape"]) for r in parts})

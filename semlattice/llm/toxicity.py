@@ -8,7 +8,7 @@ weights that are left are few and go to all tasks as a sparse vector.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ class Ftrl:
     """sample: most labelled rows that are learnt from, a bound on what one task trains on and on what weights can exist.
 
     bits: of the hash. alpha, beta, l2: as in McMahan et al. epochs: passes over the sample.
-    l1: largest L1 term; a small sample has 1 + its positives / 60. least_texts: of the sample that have a feature.
+    least_texts: of the sample that have a feature.
     """
 
     sample: int = 16_000
@@ -82,16 +82,20 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> Data
     return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 
 
+def one_row_each(rows: DataFrame, value: str) -> DataFrame:
+    """(doc_id, y, value): of several rows with one doc_id the one whose value has the least hash, so the sample's bound holds."""
+    return rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min_by(value, F.struct(F.xxhash64(value), value)).alias(value))
+
+
 def train(rows: list[tuple[np.ndarray, int]], spec: Ftrl) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of the weights that aren't zero. rows: distinct places of a text, and its label. The bias is place 2^bits."""
     size = (1 << spec.bits) + 1
     z, n = np.zeros(size), np.zeros(size)
-    l1 = min(spec.l1, 1 + sum(y for _, y in rows) / 60)
+    l1 = spec.l1
     texts = np.zeros(size, np.int64)
     for at, _ in rows:
         texts[at] += 1
-    least = min(spec.least_texts, 1 + len(rows) // 100)
-    rows = [(at[texts[at] >= least], y) for at, y in rows]
+    rows = [(at[texts[at] >= spec.least_texts], y) for at, y in rows]
 
     def weights(at: np.ndarray) -> np.ndarray:
         zi = z[at]
@@ -111,7 +115,10 @@ def train(rows: list[tuple[np.ndarray, int]], spec: Ftrl) -> tuple[np.ndarray, n
 
 
 def fit(docs: DataFrame, labels: DataFrame, spec: Ftrl = Ftrl(), label: str = "toxic") -> tuple[np.ndarray, np.ndarray]:
-    """The sparse weights, learnt in one task from the bounded sample; its features are extracted by many. Without labels: a bias only."""
+    """The sparse weights, learnt in one task from the bounded sample; its features are extracted by many.
+
+    Of rows that share a doc_id one is learnt from. Without labels: a bias only.
+    """
     small_batches(docs.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,41 +131,56 @@ def fit(docs: DataFrame, labels: DataFrame, spec: Ftrl = Ftrl(), label: str = "t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), y.slice(part.start, part.stop - part.start), pa.array(distinct, pa.binary())], ["doc_id", "y", "places"])
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "places"]).head(2 * spec.sample)
+        frame = frame.sort_values("doc_id")
         place, value = train([(np.frombuffer(p, np.int32), y) for p, y in zip(frame["places"], frame["y"], strict=True)], spec)
         return pd.DataFrame({"place": place, "value": value})
 
     rows = labelled(docs, labels, label, spec.sample).mapInArrow(extract, "doc_id long, y int, places binary")
-    learnt = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda f: learn(f), "place long, value double").toPandas()
+    learnt = one_row_each(rows, "places").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda f: learn(f), "place long, value double").toPandas()
     return learnt["place"].to_numpy(np.int64), learnt["value"].to_numpy(np.float64)
 
 
-def scores(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], spec: Ftrl = Ftrl()) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted), one for each row of docs, from whole texts.
-
-    Null or empty text: the score of a text without features. Null doc_id: scored likewise. Other columns are ignored.
-    """
-    small_batches(docs.sparkSession)
+def _scorer(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], spec: Ftrl) -> Callable[[], Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]]]:
+    """For a task: a function that gives the scores of an Arrow column's texts in slices, each with its first row."""
     size = 1 << spec.bits
     place, value = weights
     bias = float(value[place == size].sum())
     sparse = docs.sparkSession.sparkContext.broadcast((place[place < size], value[place < size]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def weigh() -> Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]]:
         dense = np.zeros(size, np.float32)
         dense[sparse.value[0]] = sparse.value[1]
-        for batch in batches:
-            for words in bw.slices(batch.column(1), bw.NON_SPACE):
+
+        def each(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+            for words in bw.slices(texts, bw.NON_SPACE):
                 at_place, at = features(words, spec.bits)
                 w = dense[at_place]
                 live = np.flatnonzero(w)  # few, as most weights are zero
                 owner = np.searchsorted(at, live, "right") - 1
                 key = np.unique(owner.astype(np.int64) << (spec.bits + 1) | at_place[live])
                 total = np.bincount(key >> (spec.bits + 1), dense[key & (size - 1)], minlength=len(words.counts)) + bias
-                score = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+                yield words.rows.start, 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+        return each
+
+    return weigh
+
+
+def scores(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], spec: Ftrl = Ftrl()) -> DataFrame:
+    """Rows (doc_id, held_out, score, predicted), one for each row of docs, from whole texts.
+
+    Null or empty text: the score of a text without features. Null doc_id: scored likewise. Other columns are ignored.
+    """
+    small_batches(docs.sparkSession)
+    weigh = _scorer(docs, weights, spec)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = weigh()
+        for batch in batches:
+            for first, score in each(batch.column(1)):
                 n = len(score)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(words.rows.start, n), batch.column(2).slice(words.rows.start, n), pa.array(score), pa.array((score >= spec.threshold).astype(np.int32))],
+                    [batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(score), pa.array((score >= spec.threshold).astype(np.int32))],
                     ["doc_id", "held_out", "score", "predicted"],
                 )
 
@@ -167,11 +189,18 @@ def scores(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], spec: Ftrl =
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, spec: Ftrl = Ftrl()) -> DataFrame:
-    """The rows of docs that aren't predicted toxic. Rows with one doc_id go if one of them is; a null doc_id stays."""
-    from .common import join_checked
+    """The rows of docs that aren't predicted toxic, each decided by its own text, whatever its doc_id. One narrow pass."""
+    small_batches(docs.sparkSession)
+    weigh, nr = _scorer(docs, fit(docs, labels, spec), spec), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = weigh()
+        for batch in batches:
+            clean = np.concatenate([s < spec.threshold for _, s in score(batch.column(nr))]) if len(batch) else np.zeros(0, bool)
+            yield batch.select(range(nr)).filter(pa.array(clean))
 
-    gone = saved(scores(docs, fit(docs, labels, spec), spec).where("predicted = 1 and doc_id is not null").select("doc_id").distinct())
-    return join_checked(docs, gone, "doc_id", "left_anti").select(docs.columns)
+    # the text once more under a name of its own, as a string
+    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
 
 
 def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
