@@ -5,26 +5,40 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most bytes of text in the smaller side of a broadcast join.
+BROADCAST_BYTES = 64 << 20
 
-def saved(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Writes the rows under spark.checkpoint.dir and reads them back; a temporary folder only where that is unset.
 
-    The files stay until the folder is cleared, so that later reads survive any executor.
+def folder(spark: SparkSession) -> str:
+    """Where a session's tables go: spark.checkpoint.dir/tables-<application id>.
+
+    It can be deleted as a whole once the application's results are written. If the setting is
+    absent, a local session gets a temporary folder; any other is an error, as executors would
+    write to disks of their own.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
+def saved(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """Writes the rows to the session's folder and reads them back, so that later reads survive any executor."""
+    path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", limit: int = 200_000) -> DataFrame:
-    """Broadcasts right only if it has at most `limit` narrow rows, counted beforehand; else a sort-merge join."""
-    small = right.limit(limit + 1).count() <= limit
+    """Broadcasts right only if it has at most `limit` rows and BROADCAST_BYTES of text, counted beforehand; else a sort-merge join."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in right.dtypes if kind in ("string", "binary")), F.lit(0).cast("long"))
+    wide = any(kind.startswith(("array", "map", "struct")) for _, kind in right.dtypes)
+    n, size = right.select(width.alias("w")).limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
+    small = n <= limit and size <= BROADCAST_BYTES and not wide
     return left.join(F.broadcast(right), on, how) if small else left.hint("merge").join(right, on, how)
