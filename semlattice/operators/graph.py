@@ -31,15 +31,22 @@ def tail(c: str = "s") -> Column:
 
 
 def names(t: DataFrame) -> DataFrame:
-    """(s, name) of every subject: least name, else least cnLabel, else the end of its id."""
-    return t.groupBy("s").agg(
+    """(s, name) of the subjects that have one: the least name, else the least cnLabel. Reads these two predicates only."""
+    known = t.where(F.col("p").isin("name", "cnLabel"))
+    return known.groupBy("s").agg(
         F.min(F.when(F.col("p") == "name", F.col("o"))).alias("n"), F.min(F.when(F.col("p") == "cnLabel", F.col("o"))).alias("c")
-    ).select("s", F.coalesce("n", "c", tail()).alias("name"))
+    ).select("s", F.coalesce("n", "c").alias("name"))
+
+
+def called(rows: DataFrame, t: DataFrame, column: str = "s", name: str = "name") -> DataFrame:
+    """rows with the name of the column's ids: names()'s, else the end of the id."""
+    known = names(t).select(F.col("s").alias(column), F.col("name").alias(name))
+    return rows.join(known, column, "left").withColumn(name, F.coalesce(name, tail(column)))
 
 
 def least_class(t: DataFrame) -> DataFrame:
-    """(s, class): the least class of each subject, 'Unknown' without one."""
-    return t.groupBy("s").agg(F.coalesce(F.min(F.when(F.col("p") == "type", F.col("o"))), F.lit("Unknown")).alias("class"))
+    """(s, class): the least class of each typed subject."""
+    return of(t, "type").groupBy("s").agg(F.min("o").alias("class"))
 
 
 def canonical_of(nodes: DataFrame, canonical: DataFrame, column: str) -> DataFrame:
@@ -86,27 +93,55 @@ def scan(t: DataFrame, pattern: Pattern) -> DataFrame:
     return rows.select([F.col(c).alias(v) for v, c in out.items()] or [F.lit(1).alias("__any")]).distinct()
 
 
-def _joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    shared = [c for c in left.columns if c in right.columns]
-    return left.join(right, shared, how) if shared else left.join(right, how="cross") if how == "inner" else left.join(right, F.lit(True), how)
+def _variables(pattern: Pattern) -> set[str]:
+    return {v for v in map(_variable, pattern) if v is not None}
+
+
+def _in_order(patterns: Sequence[Pattern], bound: set[str]) -> list[Pattern]:
+    """The patterns so that each shares a variable with those before it, those with more fixed terms first."""
+    left, out = list(patterns), []
+    while left:
+        fixed = [p for p in left if not _variables(p)]
+        linked = fixed or [p for p in left if not bound or _variables(p) & bound]
+        if not linked:
+            raise ValueError(f"patterns share no variable with the others: {left}")
+        best = min(linked, key=lambda p: len(_variables(p)))
+        left.remove(best)
+        out.append(best)
+        bound = bound | _variables(best)
+    return out
 
 
-def match(t: DataFrame, patterns: Sequence[Pattern], optional: Sequence[Sequence[Pattern]] = (), where: Column | str | None = None) -> DataFrame:
+def match(t: DataFrame, patterns: Sequence[Pattern], optional: Sequence[Sequence[Pattern]] = (), where: Column | str | None = None, order: Sequence[str | Column] = (), limit: int | None = None) -> DataFrame:
     """Bindings of all patterns, one column for each variable, distinct.
 
-    Patterns join on the variables they share and should be connected. optional: groups of
-    patterns that may be missing, whose variables are then null.
+    Patterns join on the variables they share, in an order in which each shares one with those
+    before it; patterns that can't be connected are an error. optional: groups of patterns
+    that may be missing, whose variables are then null. order, limit: of the bindings.
     """
-    out = None
-    for p in patterns:
-        one = scan(t, p)
-        out = one if out is None else _joined(out, one, "inner")
-    if out is None:
+    if not patterns:
         raise ValueError("no pattern")
+    out, bound = None, set()
+    for p in _in_order(patterns, bound):
+        one = scan(t, p)
+        if out is None:
+            out = one
+        elif "__any" in one.columns or "__any" in out.columns and len(out.columns) == 1:
+            out = out.drop("__any").join(F.broadcast(one.drop("__any") if "__any" not in one.columns else one.limit(1)), how="cross")  # one of the sides: one row
+        else:
+            out = out.join(one, [c for c in out.columns if c in one.columns])
+        bound |= _variables(p)
     for group in optional:
-        out = _joined(out, match(t, group), "left")
+        some = match(t, group)
+        shared = [c for c in out.columns if c in some.columns]
+        if not shared:
+            raise ValueError(f"optional patterns share no variable with the others: {group}")
+        out = out.join(some, shared, "left")
     out = out.where(where) if where is not None else out
-    return out.select([c for c in out.columns if c != "__any"] or [F.lit(True).alias("matched")]).distinct()
+    wanted = list(dict.fromkeys(v for p in [*patterns, *[p for g in optional for p in g]] for v in map(_variable, p) if v is not None))
+    out = out.select(wanted or [F.lit(True).alias("matched")]).distinct()
+    out = out.orderBy(*order) if order else out
+    return out if limit is None else out.limit(limit)
 
 
 def ask(t: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:

@@ -120,7 +120,7 @@ def mentions(texts: DataFrame, t: DataFrame, aliases: DataFrame | None = None, n
 
 def canonical_mentions(found: DataFrame, t: DataFrame, canonical: DataFrame) -> DataFrame:
     """(text_id, s, label): canonical ids with a known class, each once for a text, under its longest label."""
-    known = found.join(least_class(t).where("class <> 'Unknown'"), "s", "left_semi")
+    known = found.join(least_class(t), "s", "left_semi")
     return canonical_of(known, canonical, "s").groupBy("text_id", "s").agg(F.min_by("label", F.struct(-F.length("label"), "label")).alias("label"))
 
 
@@ -150,4 +150,4 @@ def residual(texts: DataFrame, found: DataFrame) -> DataFrame:
 def keyword(text: Column) -> Column:
     """First part of two characters or more once stop phrases are taken out; null if none."""
     bare = F.regexp_replace(text, _any_of(STOP_PHRASES), " ")
-    return F.get(F.filter(F.transform(F.split(bare, r"[\s,，、]+"), F.trim), lambda w: F.length(w) >= 2), 0)
+    return F.get(F.filter(F.transform(F.split(bare, r"[\s,，、]+"), lambda w: F.trim(w)), lambda w: F.length(w) >= 2), 0)

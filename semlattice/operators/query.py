@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import holds, unslug
 from ..plans.scratch import saved
-from .graph import canonical_of, labels, least_class, names, of, tail, types
+from .graph import called, canonical_of, labels, least_class, names, of, tail, types
 
 # Relations that an entity's page shows, and the display names of properties.
 SHOWN_RELATIONS = ("authorOf", "affiliatedWith", "publishedIn", "belongsToField", "belongsToIndustry", "fundedBy", "coAuthorWith", "cites")
@@ -86,6 +86,12 @@ def find_entity(t: DataFrame, canonical: DataFrame, cls: str, keyword: str, limi
     return page(search(t, canonical, keyword, cls), ["s"], limit, offset)
 
 
+def zero_hit_hint(total: DataFrame, keyword: str) -> DataFrame:
+    """One row (total, hint) from the rows of a search: how many there are, and advice if there is none."""
+    hint = F.when(F.col("total") == 0, F.lit(f"no entity's name holds '{keyword}'; try a shorter part of it, or list a class"))
+    return total.agg(F.count("*").alias("total")).withColumn("hint", hint)
+
+
 def search_cross_class(t: DataFrame, canonical: DataFrame, keyword: str, limit: int = 20) -> DataFrame:
     return page(search(t, canonical, keyword), ["s"], limit)
 
@@ -98,12 +104,10 @@ def entity_detail(t: DataFrame, canonical: DataFrame, ids: DataFrame) -> DataFra
     """(uri, kind, p, value, target): properties and relations over all aliases of the ids (column uri)."""
     asked = canonical_of(ids.withColumn("asked", F.col("uri")), canonical, "uri").select("asked", F.col("uri").alias("s"))
     facts = canonical_of(t, canonical, "s").join(asked, "s").select("asked", "p", "o", "o_kind").distinct()
-    named = names(t).select(F.col("s").alias("o"), "name")
     relation = F.col("o_kind") == "uri"
-    return facts.join(named, "o", "left").select(
-        F.col("asked").alias("uri"), F.when(relation, F.lit("relation")).otherwise(F.lit("property")).alias("kind"), "p",
-        F.when(relation, F.coalesce("name", F.col("o"))).otherwise(F.col("o")).alias("value"), F.when(relation, F.col("o")).alias("target"),
-    )
+    # literals need no name: only relations are shuffled by their target
+    named = called(facts.where(relation), t, "o").select(F.col("asked").alias("uri"), F.lit("relation").alias("kind"), "p", F.col("name").alias("value"), F.col("o").alias("target"))
+    return named.unionByName(facts.where(~relation).select(F.col("asked").alias("uri"), F.lit("property").alias("kind"), "p", F.col("o").alias("value"), F.lit(None).cast("string").alias("target")))
 
 
 def properties_of(t: DataFrame, canonical: DataFrame, ids: DataFrame) -> DataFrame:
@@ -116,7 +120,7 @@ def properties_of(t: DataFrame, canonical: DataFrame, ids: DataFrame) -> DataFra
 def related_to(t: DataFrame, ids: DataFrame) -> DataFrame:
     """(uri, p, target, name, class): outgoing edges of the shown relations."""
     edges = t.where(F.col("p").isin(*SHOWN_RELATIONS) & (F.col("o_kind") == "uri")).join(ids.select(F.col("uri").alias("s")), "s", "left_semi").select(F.col("s").alias("uri"), "p", F.col("o").alias("s"))
-    return edges.join(names(t), "s", "left").join(least_class(t), "s", "left").select("uri", "p", F.col("s").alias("target"), F.coalesce("name", "s").alias("name"), F.coalesce("class", F.lit("Unknown")).alias("class")).distinct()
+    return called(edges.distinct(), t).join(least_class(t), "s", "left").select("uri", "p", F.col("s").alias("target"), "name", F.coalesce("class", F.lit("Unknown")).alias("class"))
 
 
 def reverse_related(t: DataFrame, canonical: DataFrame, relation: str) -> DataFrame:
@@ -137,8 +141,13 @@ def query_relation(t: DataFrame, canonical: DataFrame, subject_class: str, relat
     pairs = reverse_related(t, canonical, relation).select("s", F.col("target").alias("o"))
     ends = lambda cls, c: members(t, canonical, cls).select(F.col("s").alias(c)).distinct()
     kept = pairs.join(ends(subject_class, "s"), "s", "left_semi").join(ends(object_class, "o"), "o", "left_semi")
-    named = names(canonical_of(t, canonical, "s"))
-    return kept.join(named.withColumnRenamed("name", "s_name"), "s", "left").join(named.select(F.col("s").alias("o"), F.col("name").alias("o_name")), "o", "left").select("s", F.coalesce("s_name", "s").alias("s_name"), "o", F.coalesce("o_name", "o").alias("o_name"))
+    merged = canonical_of(t, canonical, "s")
+    return called(called(kept, merged, "s", "s_name"), merged, "o", "o_name").select("s", "s_name", "o", "o_name")
+
+
+def relation_page(t: DataFrame, canonical: DataFrame, subject_class: str, relation: str, object_class: str, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of query_relation() by the ends' ids, with the total before the limit."""
+    return page(saved(query_relation(t, canonical, subject_class, relation, object_class)), ["s", "o"], limit, offset)
 
 
 # ---- traversals
@@ -171,12 +180,21 @@ def scholars_of(t: DataFrame, canonical: DataFrame, institution: str, field: str
     return at.join(in_field.unionByName(by_work).distinct(), "s", "left_semi").distinct()
 
 
-def coauthor_edges(t: DataFrame, relation: str = "authorOf", max_authors: int | None = None) -> DataFrame:
-    """(a, b) in both directions of different authors of one work. max_authors: leaves out works with more, if given."""
-    wrote = of(t, relation).select(F.col("o").alias("pub"), F.col("s").alias("a")).distinct()
+def coauthor_edges(t: DataFrame, relation: str = "authorOf", max_authors: int | None = None, block: int = 1000) -> DataFrame:
+    """(a, b) in both directions of different authors of one work.
+
+    The authors of a work are cut into blocks by a hash, as many as its number of authors asks
+    for, and each pair of blocks is joined on its own, so that no key holds all of a large work's pairs.
+    max_authors: leaves out works with more, if given.
+    """
+    wrote = saved(of(t, relation).select(F.col("o").alias("pub"), F.col("s").alias("a")).distinct())
     if max_authors is not None:
         wrote = wrote.join(wrote.groupBy("pub").count().where(F.col("count") <= max_authors).select("pub"), "pub", "left_semi")
-    pairs = wrote.join(wrote.withColumnRenamed("a", "b"), "pub").where("a < b").select("a", "b").distinct()
+    large = saved(wrote.groupBy("pub").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).where("n > 1"))
+    cut = wrote.hint("merge").join(large, "pub", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("a"), F.col("n")).cast("int"))
+    left = cut.select("pub", "a", F.col("mine").alias("x"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("y"))
+    right = cut.select("pub", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"), F.col("mine").alias("y"))
+    pairs = left.hint("merge").join(right, ["pub", "x", "y"]).where("a < b").select("a", "b").distinct()
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
@@ -242,7 +260,7 @@ def scholar_ranking(t: DataFrame, top: int = 30, **classes: str) -> DataFrame:
 
 def papers_per_field(t: DataFrame, relation: str = "belongsToField") -> DataFrame:
     """(name, n): distinct subjects of each field, by the field's name."""
-    return of(t, relation).join(names(t).select(F.col("s").alias("o"), "name"), "o").groupBy("name").agg(F.countDistinct("s").alias("n")).orderBy(F.desc("n"), "name")
+    return called(of(t, relation), t, "o").groupBy("name").agg(F.countDistinct("s").alias("n")).orderBy(F.desc("n"), "name")
 
 
 def companies_in_industry(t: DataFrame, term: str, top: int = 20) -> DataFrame:
@@ -250,7 +268,7 @@ def companies_in_industry(t: DataFrame, term: str, top: int = 20) -> DataFrame:
     industries = labels(t).where(holds(F.col("label"), F.lit(term))).join(types(t).where("class = 'Industry'").select("s"), "s", "left_semi").select(F.col("s").alias("o")).distinct()
     companies = of(t, "belongsToIndustry").join(industries, "o", "left_semi").select("s").distinct()
     largest = lambda p: of(t, p).groupBy("s").agg(F.max(F.col("o").try_cast("double")).alias(p))
-    return companies.join(names(t), "s", "left").join(largest("revenue"), "s", "left").join(largest("employees"), "s", "left").select("s", "name", "revenue", "employees").orderBy(F.desc_nulls_last("revenue"), "s").limit(top)
+    return called(companies, t).join(largest("revenue"), "s", "left").join(largest("employees"), "s", "left").select("s", "name", "revenue", "employees").orderBy(F.desc_nulls_last("revenue"), "s").limit(top)
 
 
 def industry_members(t: DataFrame, canonical: DataFrame, industry: str) -> DataFrame:
@@ -260,7 +278,7 @@ def industry_members(t: DataFrame, canonical: DataFrame, industry: str) -> DataF
     total = mine.agg(F.countDistinct("s").alias("n"), F.countDistinct("raw").alias("raw_n"))
     merged = canonical_of(t, canonical, "s")
     last = lambda p: of(merged, p).groupBy("s").agg(F.max("o").alias(p))  # noqa: E731  of several values the last as text
-    rows = mine.select("s").distinct().join(names(merged), "s", "left").join(last("revenue"), "s", "left").join(last("employees"), "s", "left")
+    rows = called(mine.select("s").distinct(), merged).join(last("revenue"), "s", "left").join(last("employees"), "s", "left")
     return rows.join(F.broadcast(total), how="cross").select("s", "name", F.round(F.col("revenue").try_cast("double"), 2).alias("revenue"), F.col("employees").try_cast("bigint").alias("employees"), "n", "raw_n").orderBy(F.desc_nulls_last("revenue"), "s")  # total: one row
 
 
@@ -268,7 +286,7 @@ def field_members(t: DataFrame, canonical: DataFrame, field: str, classes: Seque
     """(s, class, name): what belongs to a field, of the asked classes if any, first by id."""
     mine = reverse_related(t, canonical, "belongsToField").where(F.col("target") == field).join(members(t, canonical).select("s", "class").distinct(), "s")
     mine = mine.where(F.col("class").isin(*classes)) if classes else mine
-    return mine.join(names(canonical_of(t, canonical, "s")), "s", "left").select("s", "class", "name").orderBy("s", "class").limit(shown)
+    return called(mine, canonical_of(t, canonical, "s")).select("s", "class", "name").orderBy("s", "class").limit(shown)
 
 
 def scholars_query(t: DataFrame, institution: str | None = None, field: str | None = None, limit: int = 15) -> DataFrame:
@@ -278,11 +296,11 @@ def scholars_query(t: DataFrame, institution: str | None = None, field: str | No
         if term is not None:
             ends = labels(t).where(holds(F.col("label"), F.lit(term))).select(F.col("s").alias("o")).distinct()
             out = out.join(of(t, relation).join(ends, "o", "left_semi").select("s").distinct(), "s", "left_semi")
-    return out.distinct().join(names(t), "s", "left").orderBy("s").limit(limit)
+    return called(out.distinct(), t).orderBy("s").limit(limit)
 
 
 def class_names(t: DataFrame, cls: str = "Industry") -> DataFrame:
-    return types(t).where(F.col("class") == cls).select("s").join(names(t), "s").select("name").distinct().orderBy("name")
+    return called(types(t).where(F.col("class") == cls).select("s"), t).select("name").distinct().orderBy("name")
 
 
 def resolve_by_label(t: DataFrame, term: str, cls: str = "Field") -> DataFrame:

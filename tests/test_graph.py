@@ -107,6 +107,56 @@ def test_patterns(spark, rows):
     assert tuple(G.stats(t).first()) == (5, 1)
 
 
+def test_patterns_in_any_order(spark, rows):
+    t = graph(spark, ("a", "affiliatedWith", "i"), ("b", "affiliatedWith", "j"), ("a", "name", "A"), ("i", "name", "I"), ("j", "name", "J"))
+    # the first two share no variable
+    got = G.match(t, [("?s", "name", "?n"), ("?i", "name", "?place"), ("?s", "affiliatedWith", "?i")])
+    assert got.columns == ["s", "n", "i", "place"] and rows(got) == [("a", "A", "i", "I")]
+    assert rows(G.match(t, [("?s", "affiliatedWith", "?i"), ("a", "name", "A")])) == [("a", "i"), ("b", "j")]
+    assert G.match(t, [("?s", "affiliatedWith", "?i"), ("a", "name", "other")]).count() == 0
+    assert [tuple(r) for r in G.match(t, [("?s", "affiliatedWith", "?i")], order=["i"], limit=1).collect()] == [("a", "i")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
+    for patterns, optional in (([("?a", "name", "?n"), ("?b", "affiliatedWith", "?i")], []), ([("?a", "name", "?n")], [[("?b", "affiliatedWith", "?i")]])):
+        with pytest.raises(ValueError):
+            G.match(t, patterns, optional)
+
+
+def test_authors_in_blocks(spark, rows):
+    t = graph(spark, *[(f"s{i}", "authorOf", "p") for i in range(40)], ("s0", "authorOf", "q"), ("s99", "authorOf", "q"))
+    want = sorted((f"s{i}", f"s{j}") for i in range(40) for j in range(40) if i != j) + [("s0", "s99"), ("s99", "s0")]
+    assert rows(Q.coauthor_edges(t, block=7)) == sorted(want) == rows(Q.coauthor_edges(t))
+
+
+def test_names_and_classes_read_their_predicates_only(spark, tmp_path):
+    t = graph(spark, ("a", "type", "Scholar"), ("a", "name", "A"), ("a", "year", 1))
+    t.write.partitionBy("p").parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for df in (G.names(stored), G.least_class(stored), G.called(G.types(stored).select("s"), stored)):
+        assert "PartitionFilters: [isnotnull(p" in df._jdf.queryExecution().executedPlan().toString() or "PartitionFilters: [p" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from semlattice.plans.scratch import folder
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError):
+        folder(spark)
+
+
+def test_broadcast_is_checked_by_bytes(spark):
+    from semlattice.plans import scratch
+
+    left, right = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1, "x" * 100)], "k int, v string")
+    kind = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in kind(scratch.join_checked(left, right, "k"))
+    kept, scratch.BROADCAST_BYTES = scratch.BROADCAST_BYTES, 50
+    assert "SortMergeJoin" in kind(scratch.join_checked(left, right, "k"))
+    scratch.BROADCAST_BYTES = kept
+
+
 def test_pages(spark):
     df = spark.range(35)
     p = Q.page(df, ["id"], 10, 30)
