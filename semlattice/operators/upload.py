@@ -36,7 +36,7 @@ def usable(mappings: Sequence[Mapping], ontology: Ontology) -> tuple[list[Mappin
 def upload_tables(tables: Sequence[tuple[str, DataFrame]], file: str, source_id: str, options: Upload = Upload(), ontology: Ontology = Ontology(), owner: str | None = None, partition_id: str | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Contributions, a report with a row for each table, and warnings.
 
-    tables: (name, rows); rows have row_idx, which orders them, besides their columns. Filters
+    tables: (name, rows); rows have row_idx (a number, or what with_row_order() gives), which orders them, besides their columns. Filters
     come in this order: empty rows, tables of no known class, rows without a key, the quota
     over all tables. Keys are made unique among the rows that are used.
     """
@@ -57,7 +57,7 @@ def upload_tables(tables: Sequence[tuple[str, DataFrame]], file: str, source_id:
         kept.append((i, name, drop_blank_keys(rows, summary["id_column"]) if options.skip_empty else rows, summary["id_column"]))
     parts, used = [source_triples(spark, source_id, file)], {}
     if kept:
-        rows = sheets([(str(i), df) for i, _, df, _ in kept]).withColumn("row_idx", F.col("row_idx").cast("bigint"))
+        rows = sheets([(str(i), df) for i, _, df, _ in kept])
         within = saved(within_quota(rows, options.max_rows))
         used = {r["sheet"]: r["n"] for r in within.groupBy("sheet").agg(F.count("*").alias("n")).collect()}  # one row a table
         for i, _, df, key in kept:

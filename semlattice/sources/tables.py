@@ -56,10 +56,17 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def sheets(named: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """Several tables of one source as one, with sheet_idx and sheet; columns that a table lacks are null."""
+    """Several tables of one source as one, with sheet_idx and sheet; columns that a table lacks are null.
+
+    A column keeps its type if all tables that have it agree; otherwise it is text.
+    """
+    kinds: dict[str, set[str]] = {}
+    for _, df in named:
+        for c, kind in df.dtypes:
+            kinds.setdefault(c, set()).add(kind)
     out = None
     for i, (name, df) in enumerate(named):
-        one = df.select(F.lit(i).alias("sheet_idx"), F.lit(name).alias("sheet"), *[F.col(c).cast("string").alias(c) for c in df.columns])
+        one = df.select(F.lit(i).alias("sheet_idx"), F.lit(name).alias("sheet"), *[F.col(f"`{c}`") if len(kinds[c]) == 1 else F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     if out is None:
         raise ValueError("no tables")

@@ -48,3 +48,17 @@ def test_texts_and_warnings(spark):
     assert L.entity_count(L.graph(c)).first()[0] == 3
     good, bad = usable([EntityMapping("Company", "a", "c_{id}"), EntityMapping("Nope", "a", "c_{id}")], Ontology())
     assert len(good) == 1 and bad == ["unknown class Nope"]
+
+
+def test_rows_of_a_file_in_their_order(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from semlattice.sources import tables as S
+
+    (tmp_path / "c.csv").write_text("company_id,company_name,tags\nC9,z,a\nC1,y,b\nC5,x,c\n", encoding="utf-8")
+    frame = S.with_row_order(S.read(spark, str(tmp_path / "c.csv"))).withColumn("tags", F.array("tags"))
+    c, report, _ = upload_tables([("A", frame)], "f", "upload_1", Upload(max_rows=2))
+    assert _ids(c) == ["c_C1", "c_C9"] and _report(report) == [(3, 2, 0, 1)]
+    both = S.sheets([("a", frame), ("b", spark.createDataFrame([(1, "q")], "company_id int, company_name string"))])
+    kinds = dict(both.dtypes)
+    assert kinds["tags"] == "array<string>" and kinds["row_idx"].startswith("struct") and kinds["company_id"] == "string"
