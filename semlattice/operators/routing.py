@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .mentions import ambiguous, class_mentions, keyword, residual
+from ..plans.scratch import saved
+from . import query
+from .graph import called, canonical_of, labels, types
+from .mentions import ambiguous, candidate_spans, class_mentions, keyword, residual
 
 # Words that lead to an intent.
 GREETING = r"(?i)^(你好|您好|嗨|hello|hi|谢谢|感谢)[！!。？?\s]*$"
@@ -16,6 +20,8 @@ TREND_STRICT = ("趋势", "逐年", "每年", "按年")
 RANKING = ("排名", "最多", "最高", "排行", "最大", "top", "Top")
 TITLE = ("论文", "文献", "研究")
 METRICS = ((("营收", "收入"), "revenue"), (("员工", "人数"), "employees"), (("引用", "被引"), "cited_by_count"), (("h指数", "h_index"), "hIndex"))
+#: What the results of an intent are called.
+WHAT = {"publications": "publications", "scholars": "scholars", "entity_detail": "facts", "field_members": "members", "industry_companies": "companies", "list_class": "entities", "search_entities": "entities", "search_publications": "publications"}
 
 
 def _has(words: tuple[str, ...], c: str = "text") -> Column:
@@ -64,9 +70,56 @@ def route(questions: DataFrame, mentions: DataFrame) -> DataFrame:
     return q.withColumn("metric", metric).withColumn("intent", intent).select("text_id", "text", "intent", "scopes", "classes", "metric", "keyword")
 
 
-def summaries(results: DataFrame, shown: int = 15) -> DataFrame:
-    """(text_id, intent, summary) from result rows (text_id, intent, name): total, and up to `shown` distinct least names."""
-    listed = results.groupBy("text_id", "intent").agg(F.array_sort(F.collect_set("name")).alias("all"), F.countDistinct("name").alias("n"))
-    some = F.array_join(F.slice("all", 1, shown), "、")
-    text = F.when(F.col("n") == 0, F.lit("nothing found")).when(F.col("n") > shown, F.format_string("%d found, %d shown: %s", "n", F.lit(shown), some)).otherwise(F.format_string("%d found: %s", "n", some))
-    return listed.select("text_id", "intent", text.alias("summary"))
+def results(routed: DataFrame, t: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(text_id, intent, name): what the routed questions ask for, all questions of an intent at once.
+
+    publications, scholars: of all the question's scopes; entity_detail, field_members,
+    industry_companies: the scopes' values or members; list_class, search_entities and
+    search_publications: by the question's classes or keyword. Other intents have no rows.
+    """
+    of_kind = lambda *kinds: routed.where(F.col("intent").isin(*kinds))
+    scoped = lambda q: q.select(F.col("text_id").alias("question"), "intent", F.explode("scopes").alias("entity"))
+    shaped = lambda df: df.select(F.col("question").alias("text_id"), "intent", "name")
+    merged = canonical_of(t, canonical, "s")
+    asked = saved(scoped(of_kind("publications", "scholars")))
+    works = query.in_all_scopes(query.publications_for(t), asked.where("intent = 'publications'").select("question", "entity"))
+    by_work = called(works.withColumn("intent", F.lit("publications")), merged, "pub")
+    ends = query.reverse_related(t, canonical, "affiliatedWith").unionByName(query.reverse_related(t, canonical, "belongsToField")).select(F.col("target").alias("entity"), F.col("s").alias("pub")).distinct()
+    people = query.in_all_scopes(ends, asked.where("intent = 'scholars'").select("question", "entity")).join(types(t).where("class = 'Scholar'").select(F.col("s").alias("pub")), "pub", "left_semi")
+    by_person = called(people.withColumn("intent", F.lit("scholars")), merged, "pub")
+    detail = saved(scoped(of_kind("entity_detail")))
+    facts = query.entity_detail(t, canonical, detail.select(F.col("entity").alias("uri")).distinct())
+    by_fact = detail.join(facts.withColumnRenamed("uri", "entity"), "entity").select("question", "intent", F.concat_ws(": ", "p", "value").alias("name"))
+    inside = saved(scoped(of_kind("field_members", "industry_companies")))
+    members = query.reverse_related(t, canonical, "belongsToField").unionByName(query.reverse_related(t, canonical, "belongsToIndustry"))
+    by_member = called(inside.join(members.withColumnRenamed("target", "entity"), "entity"), merged)
+    listed = saved(of_kind("list_class").select(F.col("text_id").alias("question"), "intent", F.explode("classes").alias("class")))
+    by_class = called(listed.join(query.members(t, canonical).select("s", "class").distinct(), "class"), merged)
+    words = saved(of_kind("search_entities", "search_publications").select(F.col("text_id").alias("question"), "intent", F.lower("keyword").alias("key")))
+    # keywords are found in names as mentions are found in texts: by pieces of their lengths
+    all_names = query.members(t, canonical).select("s", "class").distinct().join(canonical_of(labels(t), canonical, "s").select("s", "label").distinct(), "s")
+    held = candidate_spans(all_names.select(F.col("label").alias("text_id"), F.col("label").alias("text")).distinct(), words.select("key").where(F.length("key") >= 2).distinct())
+    hits = held.select(F.col("text_id").alias("label"), "key").distinct().join(all_names, "label").join(words, "key").where((F.col("intent") == "search_entities") | (F.col("class") == "Publication"))
+    by_word = called(hits.select("question", "intent", "s").distinct(), merged)
+    out = shaped(by_work)
+    for df in (by_person, by_fact, by_member, by_class, by_word):
+        out = out.unionByName(shaped(df))
+    return out.distinct()
+
+
+def summaries(results: DataFrame, shown: int = 15, called_by: dict[str, str] | None = None) -> DataFrame:
+    """(text_id, intent, summary) from result rows (text_id, intent, name): total, and up to `shown` distinct least names.
+
+    called_by: what the results of an intent are called, such as WHAT; 'found' where it says nothing.
+    Names are ranked before they are listed, so a question of very many results holds `shown` of them in one row.
+    """
+    some_of = results.where("name is not null").select("text_id", "intent", "name").distinct()
+    first = some_of.withColumn("nr", F.row_number().over(W.partitionBy("text_id", "intent").orderBy("name"))).where(F.col("nr") <= shown)
+    listed = first.groupBy("text_id", "intent").agg(F.array_sort(F.collect_list("name")).alias("some"))
+    counted = results.groupBy("text_id", "intent").agg(F.countDistinct("name").alias("n")).join(listed, ["text_id", "intent"], "left")
+    what = F.lit("found")
+    for intent, name in (called_by or {}).items():
+        what = F.when(F.col("intent") == intent, name).otherwise(what)
+    some = F.array_join("some", "、")
+    text = F.when(F.col("n") == 0, F.when(what == "found", "nothing found").otherwise(F.concat(F.lit("no "), what))).when(F.col("n") > shown, F.format_string("%d %s, %d shown: %s", "n", what, F.lit(shown), some)).otherwise(F.format_string("%d %s: %s", "n", what, some))
+    return counted.select("text_id", "intent", text.alias("summary"))
