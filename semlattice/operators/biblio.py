@@ -110,8 +110,18 @@ def reshaped(works: DataFrame, other: str = "其他", key_prefix: str = "") -> D
 
 
 def rejected(works: DataFrame) -> DataFrame:
-    """Records without an id: left out of all tables, counted here."""
-    return works.where("id is null").agg(F.count("*").alias("rejected"))
+    """Records without an id or with a blank one: see sound(), counted here."""
+    return works.where("id is null or trim(id) = ''").agg(F.count("*").alias("rejected"))
+
+
+def sound(works: DataFrame) -> DataFrame:
+    """The records that the tables are made of: a bad one is left out, the others go on."""
+    return works.where("id is not null and trim(id) <> ''")
+
+
+def known_institutions(rows: DataFrame) -> DataFrame:
+    """Institutions under the prepared names."""
+    return rows.where("openalex_id is not null").select(F.col("openalex_id").alias("inst_id"), "name", F.col("country").alias("country_code"), "works_count", "cited_by_count", "h_index")
 
 
 def known_concepts(concepts: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ supplier: Company; supplier's nation: Industry; documents: Dataset.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def rows(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     if part == "orders":
         return t("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"))
     if part == "brand":
-        return t("lineitem").select("l_orderkey", "l_partkey").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select("l_orderkey", "p_brand").distinct()
+        return t("lineitem").select("l_orderkey", "l_partkey").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select("l_orderkey", "p_brand")
     if part == "supplier":
         return t("supplier").join(t("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
     return t("customer" if part == "segment" else part)
@@ -48,6 +50,6 @@ def rows(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
 PARTS = {"nation": NATION, "customer": CUSTOMER, "segment": SEGMENT, "orders": ORDERS, "brand": BRAND, "supplier": SUPPLIER}
 
 
-def triples(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
-    """Distinct triples of the parts: one union, one shuffle."""
-    return union([apply_mapping(rows(spark, sf_dir, p), m, p) for p in parts for m in PARTS[p]]).dropDuplicates()
+def triples(spark: SparkSession, sf_dir: str, *parts: str, only: Collection[str] | None = None) -> DataFrame:
+    """Distinct triples of the parts, of the predicates in `only` if given: one union, one shuffle."""
+    return union([apply_mapping(rows(spark, sf_dir, p), m, p, only=only) for p in parts for m in PARTS[p]]).dropDuplicates()

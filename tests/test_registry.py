@@ -37,3 +37,13 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_the_corpus_queries_are_there_or_their_files_are_not():
+    """A fault inside the corpus operators must not hide behind the entry file's guard."""
+    import __spark_entry__ as e
+
+    root = Path(e.__file__).parent
+    there = (root / "semlattice" / "llm").is_dir() and (root / "corpus_pipeline.py").is_file()
+    assert sum(n.startswith("op") and "_" in n and n[2:].split("_")[0].isdigit() for n in e.queries()) == (10 if there else 0)
+    assert ("pipeline" in e.queries()) == there
