@@ -10,17 +10,18 @@ looked up once for every symbol that may be the unlike one, with that symbol lef
 so that all pairs within t share a key. Pairs that share a key are then confirmed on
 their full shingle sets.
 
-Large groups: equal word sequences are first folded into one. Keys only link their
-members to the key's least member (an aggregate with partial results), which gives
-coarse groups that no similar pair leaves. Pairs are compared inside coarse groups, in
-blocks of bounded size, and only where they are not connected yet; a block gives back a
-spanning forest of confirmed links, never all of its pairs.
+Large groups: equal word sequences are first folded into one, and of keys with the same
+members one is looked at. The members of a key are compared by their signatures, and those
+within t of each other make up coarse groups, which no similar pair leaves; a key that texts
+share by chance joins nothing. Pairs are confirmed inside coarse groups. Both steps work in
+blocks of bounded size, only on what is not connected yet, and a block gives back a spanning
+forest of links, never all of its pairs.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from . import bytewords as bw
 from .common import components, hashable, join_checked, row_key, saved, small_batches
 
-#: Largest number of members and of bytes of shingle sets in one block of a coarse group.
-BLOCK_ROWS, BLOCK_BYTES = 2048, 24 << 20
+#: Largest number of members and of bytes of shingle sets in one block of a coarse group, and of members of a key.
+BLOCK_ROWS, BLOCK_BYTES, KEY_ROWS = 1024, 24 << 20, 2048
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,7 @@ def _list_column(values: np.ndarray, at: np.ndarray) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, spec: NearDup) -> DataFrame:
-    """Rows (doc_id, d1, d2, n_shingles, keys), one for each row of docs; no keys for an empty set."""
+    """Rows (doc_id, d1, d2, n_shingles, keys, signature), one for each row of docs; no keys and no signature for an empty set."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,15 +111,18 @@ def fingerprints(docs: DataFrame, spec: NearDup) -> DataFrame:
                 sets, at = bw.shingles(words, spec.k)
                 d1, d2 = _sequence_digests(words)
                 n = np.diff(at)
-                keys = spec.keys(spec.signatures(sets, at))
-                key_at = np.concatenate([[0], np.cumsum(np.where(n > 0, spec.symbols, 0))])
+                signatures = spec.signatures(sets, at)
+                keys = spec.keys(signatures)
+                filled = np.where(n > 0, spec.symbols, 0)
+                key_at = np.concatenate([[0], np.cumsum(filled)])
+                raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * key_at).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(signatures))])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(words.rows.start, len(n)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n.astype(np.int64)), _list_column(keys.reshape(-1), key_at)],
-                    ["doc_id", "d1", "d2", "n_shingles", "keys"],
+                    [batch.column(0).slice(words.rows.start, len(n)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(n.astype(np.int64)), _list_column(keys.reshape(-1), key_at), raw],
+                    ["doc_id", "d1", "d2", "n_shingles", "keys", "signature"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, d1 long, d2 long, n_shingles long, keys array<long>"
+        run, "doc_id long, d1 long, d2 long, n_shingles long, keys array<long>, signature binary"
     )
 
 
@@ -193,48 +197,92 @@ def block_links(nodes: np.ndarray, side: np.ndarray, signatures: np.ndarray, set
     return links
 
 
-def _confirmed(members: DataFrame, spec: NearDup) -> DataFrame:
-    """Links (a, b) between members of a coarse group, each confirmed on the full sets.
+def close_links(nodes: np.ndarray, side: np.ndarray, signatures: np.ndarray, spec: NearDup) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within the distance limit: of the rows of side 0 with all rows, or with side 1, if there is one."""
+    if len(nodes) == 2:
+        return [(nodes[0], nodes[1])] if (signatures[0] != signatures[1]).sum() <= spec.distance else []
+    forest, links = _Forest(len(nodes)), []
+    across = side.any()
+    for a in np.flatnonzero(side == 0):
+        others = forest.label != forest.label[a]
+        if across:
+            others &= side == 1
+        else:
+            others[: a + 1] = False
+        near = np.flatnonzero(others)
+        for b in near[(signatures[near] != signatures[a]).sum(1) <= spec.distance]:
+            if forest.label[a] != forest.label[b]:
+                forest.join(a, b)
+                links.append((nodes[a], nodes[b]))
+    return links
+
+
+def _in_blocks(rows: DataFrame, group: str, columns: list[str], work: Callable[..., list[tuple[int, int]]]) -> DataFrame:
+    """Links (a, b) that work(nodes, side, *columns) finds in each pair of blocks of each group. rows: group, node, n (blocks of the group) and the columns.
 
     A group is cut into blocks by a hash of the node; each pair of blocks is one piece of work.
     """
-    sizes = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
-    n_blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    blocks = saved(sizes.where("rows > 1").select("root", n_blocks.alias("n")))
     dealt = (
-        members.hint("merge").join(blocks, "root")
-        .withColumn("mine", F.pmod(F.xxhash64("node", "signature"), F.col("n")).cast("int"))
+        rows.withColumn("mine", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("n")).cast("int"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-        .select("root", "node", "signature", "shingles", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-        .repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+        .select(group, "node", *columns, F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+        .repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
     )
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def work(rows: pd.DataFrame) -> pd.DataFrame:
-            out: list[tuple[int, int]] = []
-            keys = rows[["root", "lo", "hi"]].to_numpy()
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            nodes, side = rows["node"].to_numpy(), rows["side"].to_numpy()
-            signature, shingle = rows["signature"].tolist(), rows["shingles"].tolist()
-            for i, j in zip([0, *cut], [*cut, len(rows)], strict=True):
-                if j - i > 1:
-                    out += block_links(nodes[i:j], side[i:j], np.stack([np.frombuffer(x, np.uint16) for x in signature[i:j]]), [np.frombuffer(x, np.uint64) for x in shingle[i:j]], spec)
-            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        keys = rows[[group, "lo", "hi"]].to_numpy()
+        ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        held = [rows[c].to_numpy() for c in ("node", "side", *columns)]
+        for i, j in zip([0, *ends], [*ends, len(rows)], strict=True):
+            if j - i > 1:
+                out += work(*[c[i:j] for c in held])
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # of the last key, which the next frame may go on with
         for frame in frames:
             whole = pd.concat([*held, frame], ignore_index=True) if held else frame
             last = whole.iloc[-1]
-            tail = (whole["root"] == last["root"]) & (whole["lo"] == last["lo"]) & (whole["hi"] == last["hi"])
+            tail = (whole[group] == last[group]) & (whole["lo"] == last["lo"]) & (whole["hi"] == last["hi"])
             if not tail.all():
-                yield work(whole[~tail])
+                yield cut(whole[~tail])
             held = [whole[tail]]
         if held:
-            yield work(held[0])
+            yield cut(held[0])
 
     return dealt.mapInPandas(run, "a long, b long")
 
 
+def _symbols(raw: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint16).reshape(len(raw), -1)
+
+
+def _coarse(same: DataFrame, spec: NearDup) -> DataFrame:
+    """(node, root): groups of texts that share a key and are within the distance limit, directly or over others. same: node, keys, signature; saved."""
+    keyed = same.select("node", F.explode("keys").alias("key"))
+    # aggregates are written before they are joined back, so that a hot key's part of the join can be split
+    shared = saved(
+        keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(2), "node")).alias("h2"))
+        .where("least < most")
+    )
+    one = saved(shared.groupBy("least", "most", "n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / KEY_ROWS).cast("int").alias("n")))
+    members = keyed.hint("merge").join(one, "key").hint("merge").join(same.select("node", "signature"), "node")
+    return components(_in_blocks(members, "key", ["signature"], lambda nodes, side, raw: close_links(nodes, side, _symbols(raw), spec)))
+
+
+def _confirmed(members: DataFrame, spec: NearDup) -> DataFrame:
+    """Links (a, b) between members of a coarse group, each confirmed on the full sets."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("rows"), F.sum(F.length("shingles")).alias("bytes"))
+    n_blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    blocks = saved(sizes.where("rows > 1").select("root", n_blocks.alias("n")))
+
+    def work(nodes: np.ndarray, side: np.ndarray, raw: np.ndarray, shingles: np.ndarray) -> list[tuple[int, int]]:
+        return block_links(nodes, side, _symbols(raw), [np.frombuffer(x, np.uint64) for x in shingles], spec)
+
+    return _in_blocks(members.hint("merge").join(blocks, "root"), "root", ["signature", "shingles"], work)
+
+
 def near_duplicates(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of docs.
 
@@ -245,14 +293,11 @@ def near_duplicates(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
     linked with nothing, component_id null, kept true. Other columns of docs are ignored.
     """
     prints = saved(fingerprints(docs, spec))
-    same = (
+    same = saved(
         prints.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
+        .groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("signature").alias("signature")).drop("d1", "d2")
     )
-    keyed = same.select("node", F.explode("keys").alias("key"))
-    # aggregates are written before they are joined back, so that a hot key's part of the join can be split
-    least = saved(keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("key", "b"))
-    coarse = saved(components(keyed.hint("merge").join(least, "key").select(F.col("node").alias("a"), "b").where("a <> b")))
+    coarse = saved(_coarse(same, spec))
     links = _confirmed(saved(_members(docs, coarse, spec)), spec)
     repeated = saved(
         prints.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("most"))
