@@ -18,6 +18,8 @@ from .common import table
 MULTIPLIER, MODULUS = 2862933555777941757, 1 << 64
 #: Hash buckets of a shard within which slots are counted; a slot is its bucket's offset plus its place there.
 BUCKETS = 4096
+#: Copies of one row that a task writes out at a time.
+STEP = 10_000
 
 
 def jump_shard(key: Column, shards: int) -> Column:
@@ -47,7 +49,7 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def with_shards(docs: DataFrame, shards: int, key: str = "doc_id", column: str = "shard") -> DataFrame:
-    """docs with the shard of each row; a column of that name is replaced. A narrow step: nothing is shuffled."""
+    """docs with the shard of each row; a column of that name is replaced. A null key is placed as -1. A narrow step: nothing is shuffled."""
     return docs.withColumn(column, jump_shard(F.col(key), shards)["shard"])
 
 
@@ -76,12 +78,15 @@ def placed(docs: DataFrame, shards: int) -> DataFrame:
         .select("shard", "bucket", F.coalesce("offset", F.lit(0)).alias("offset"))
     )
     before = F.sum("n").over(W.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1))
-    million = 1_000_000
+    numbered = counted.withColumn("before", F.coalesce(before, F.lit(0))).hint("merge").join(offsets, ["shard", "bucket"])
+    # very many copies of one row are written out by many tasks
+    few = numbered.where(F.col("n") <= STEP).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    many = (
+        numbered.where(F.col("n") > STEP).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STEP)))).repartition("doc_id", "text_crc32", "part")
+        .withColumn("copy", F.explode(F.sequence(F.col("part") * STEP, F.least(F.col("n"), (F.col("part") + 1) * STEP) - 1))).drop("part")
+    )
     return (
-        counted.withColumn("before", F.coalesce(before, F.lit(0)))
-        .hint("merge").join(offsets, ["shard", "bucket"])
-        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / million))))
-        .withColumn("copy", F.explode(F.sequence(F.col("part") * million, F.least(F.col("n"), (F.col("part") + 1) * million) - 1)))
+        few.unionByName(many)
         .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("before") + F.col("copy")).cast("long").alias("slot"), F.col("to.grown").alias("grown_shard"))
     )
 
