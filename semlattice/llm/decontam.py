@@ -58,7 +58,7 @@ def templates(words: Column) -> Column:
 
 def plain_values(words: Column) -> Column:
     """The words with the placeholders' values in their place."""
-    return F.transform(words, lambda w: F.when(w.startswith("<"), F.substring_index(F.substring(w, 4, 1_000_000), ">", 1)).otherwise(w))
+    return F.transform(words, lambda w: F.when(w.startswith("<"), F.substring_index(F.substr(w, F.lit(4)), ">", 1)).otherwise(w))
 
 
 def window_hashes(template: Column, k: int) -> Column:
@@ -114,7 +114,7 @@ def _weak_leaks(rows: DataFrame, weak: DataFrame, spec: Decontam) -> DataFrame:
 
 def _slots(words: Column) -> Column:
     """struct(place, kind, value) of the placeholders."""
-    placed = F.transform(words, lambda w, i: F.struct(i.alias("place"), F.substring(w, 1, 2).alias("kind"), F.when(w.startswith("<"), F.substring(w, 4, 1_000_000)).alias("value")))
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("place"), F.substring(w, 1, 2).alias("kind"), F.when(w.startswith("<"), F.substr(w, F.lit(4))).alias("value")))
     return F.filter(placed, lambda s: s["value"].isNotNull())
 
 

@@ -316,23 +316,29 @@ def near_duplicates(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
-    """The rows of docs that stay: one of each group of near-duplicates. Columns are those of docs.
+    """The rows of docs that stay: of each group of near-duplicates that of the least doc_id (null last). Columns are those of docs.
 
-    Rows are told apart by a hash of doc_id and text, so null and repeated doc_ids decide nothing:
-    the row of the least hash stays. Of rows with one doc_id and one text one stays, that
-    whose columns have the least hash. Rows without words all stay.
+    Rows are told apart by a hash of doc_id and text, so rows of null or of one doc_id are compared
+    like others. Of rows with one doc_id and one text one stays, that whose columns have the
+    least hash. Rows without words all stay.
     """
     told = docs.withColumn("__row", row_key())
-    found = saved(near_duplicates(told.select(F.col("__row").alias("doc_id"), "text"), spec).where("n_shingles > 0").groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("n")))
-    gone = found.where("not kept").select(F.col("doc_id").alias("__row"))
-    again = saved(found.where("kept and n > 1").select(F.col("doc_id").alias("__row")))
+    found = saved(
+        near_duplicates(told.select(F.col("__row").alias("doc_id"), "text"), spec).where("n_shingles > 0")
+        .groupBy(F.col("doc_id").alias("__row")).agg(F.first("component_id").alias("root"), F.count("*").alias("n"))
+    )
+    several = saved(found.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root"))
+    members = saved(found.select("__row", "root").hint("merge").join(several, "root"))
+    ids = join_checked(told.select("__row", F.col("doc_id").cast("long").alias("id")), members, "__row")
+    stays = ids.groupBy("root").agg(F.min_by("__row", F.struct(F.col("id").isNull(), "id", "__row")).alias("__row"))
+    gone = saved(members.select("__row").hint("merge").join(stays.select("__row"), "__row", "left_anti"))
+    again = saved(found.where("n > 1").select("__row").hint("merge").join(gone, "__row", "left_anti"))
     rest = join_checked(told, gone, "__row", "left_anti")
     if again.isEmpty():
         return rest.select(docs.columns)
     once = join_checked(rest, again, "__row", "left_anti").select(docs.columns)
     all_of = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    shown = F.xxhash64(*hashable(docs))
-    one = join_checked(told, again, "__row", "left_semi").groupBy("__row").agg(F.min_by(all_of, shown).alias("row")).select("row.*")
+    one = join_checked(told, again, "__row", "left_semi").groupBy("__row").agg(F.min_by(all_of, F.xxhash64(*hashable(docs))).alias("row")).select("row.*")
     return once.unionByName(one)
 
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from semlattice.llm import quality as Q
 from semlattice.llm import toxicity as T
@@ -57,6 +58,25 @@ def test_classifier_edges(m, corpus, edge_docs, no_docs):
     assert m.scores(edge_docs, untaught).count() == edge_docs.count()
 
 
+def test_toxic_rows_go_whatever_their_id(corpus, spark, prose):
+    docs, labels = corpus[:2]
+    bad, columns = " ".join(BAD * 3), ["doc_id", "text", "source", "extra"]
+    rows = [(None, f"{prose(30, 1)} {bad}", "a", 1), (None, prose(30, 2), "a", 2), (7, f"{bad} {prose(30, 3)}", None, 3), (7, prose(30, 4), None, 4), (8, None, None, 5)]
+    kept = T.without_toxic(spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").unionByName(docs.select("doc_id", "text", "source", "n_chars").toDF(*columns).withColumn("extra", F.lit(0))), labels)
+    assert kept.columns == columns and sorted(r["extra"] for r in kept.where("extra > 0").collect()) == [2, 4, 5]
+    scored = {r["doc_id"]: r["predicted"] for r in T.scores(docs, T.fit(docs, labels)).collect()}
+    assert {r["doc_id"] for r in kept.where("extra = 0").collect()} == {d for d, p in scored.items() if not p}
+
+
+def test_a_repeated_id_is_learnt_from_once(corpus, spark):
+    docs, labels = corpus[:2]
+    again = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    for a, b in zip(T.fit(docs, labels), T.fit(again, labels), strict=True):
+        assert (a == b).all()
+    one, two = Q.fit(docs, labels), Q.fit(again, labels)
+    assert all(np.allclose(one.p[k], two.p[k], rtol=0.02, atol=0.02) for k in ("mean", "scale"))
+
+
 def test_gradients_are_those_of_the_loss():
     r = np.random.default_rng(0)
     x, counts, y = r.normal(size=(9, Q.N_FEATURES)), np.array([4, 1, 4]), np.array([1.0, 0.0, 1.0])

@@ -82,3 +82,30 @@ def test_edges(edge_docs, no_docs):
     kept = N.keep_one(edge_docs, N.NearDup(3, 85, 64))
     assert kept.columns == edge_docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "8", "8", "9", "None"]
     assert N.keep_one(no_docs).count() == 0
+
+
+def test_keep_one_decides_by_rows(spark, prose):
+    """Null and repeated ids, equal rows with other columns: one rule for all."""
+    a, b = prose(60, 1), prose(60, 2)
+    rows = [(None, a, 1), (None, a, 2), (5, a, 3), (9, a + " tail", 4), (7, b, 5), (7, b, 6), (7, prose(60, 3), 7), (None, prose(60, 4), 8), (None, None, 9), (None, None, 10), (3, "", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, nr int")
+    for part in (docs, docs.where("nr <> 6")):
+        kept = sorted(r["nr"] for r in N.keep_one(part).collect())
+        assert [n for n in kept if n not in (5, 6)] == [3, 7, 8, 9, 10, 11] and len([n for n in kept if n in (5, 6)]) == 1
+    two = docs.where("nr in (1, 2, 8)")
+    assert len([r for r in N.keep_one(two).collect() if r["nr"] < 8]) == 1
+
+
+def test_a_shared_key_alone_joins_no_group(make_docs, prose, monkeypatch):
+    """Texts of middling likeness share keys by chance; groups hold those within the distance limit only."""
+    base = prose(200, 1).split()
+    docs = [(i, " ".join(base[:110] + prose(90, 10 + i).split())) for i in range(60)]
+    spec = N.NearDup(3, 85, 64)
+    prints = N.fingerprints(make_docs(*docs), spec)
+    same = N.saved(prints.select(N.F.col("doc_id").alias("node"), "keys", "signature"))
+    assert same.select("node", N.F.explode("keys").alias("k")).groupBy("k").count().where("count > 1").count() > 0
+    assert N._coarse(same, spec).count() == 0
+    monkeypatch.setattr(N, "KEY_ROWS", 4)
+    near = list(enumerate(family(prose, 50, 100, 6, 9)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(make_docs(*near), spec).collect()}
+    assert got == brute(near, 3, 85)
