@@ -8,6 +8,7 @@ are folded per text, longest first.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.config import Namespaces
@@ -84,23 +85,31 @@ def candidate_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """(text_id, key, start, end): every place of a key in a text, upper and lower case alike.
 
     The first two characters of the keys, with the lengths that follow them, lead to the
-    possible places: only there a piece is cut, from a window no longer than the longest key,
-    and equi-joined with the keys. That table is broadcast only if it is small.
+    possible places, before any longer piece is cut: only there pieces of these lengths are
+    cut from the text and equi-joined with the keys. Tables are broadcast only if they are small.
     """
     starts = keys.select(F.substring("key", 1, 2).alias("lead"), F.length("key").alias("n")).distinct()
-    longest = keys.agg(F.max(F.length("key"))).first()[0] or 2
-    text = texts.select("text_id", F.lower("text").alias("text")).where(F.length("text") >= 2)
-    cut = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.struct(i.alias("i"), F.substr("text", i, F.lit(longest)).alias("ahead")))
-    places = text.select("text_id", F.explode(cut).alias("x")).select("text_id", "x.i", "x.ahead", F.substring("x.ahead", 1, 2).alias("lead"))
-    led = join_checked(places, starts, "lead").where(F.length("ahead") >= F.col("n"))
-    pieces = led.select("text_id", F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end"), F.substr("ahead", F.lit(1), F.col("n")).alias("key"))
+    text = texts.select("text_id", F.lower("text").alias("text")).where(F.length("text") >= 2).withColumn("h", F.xxhash64("text"))
+    leads = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.struct(i.alias("i"), F.substr("text", i, F.lit(2)).alias("lead")))
+    places = text.select("text_id", "h", F.length("text").alias("size"), F.explode(leads).alias("x")).select("text_id", "h", "size", "x.i", "x.lead")
+    led = join_checked(places, starts, "lead").where(F.col("i") + F.col("n") <= F.col("size") + 1).select("text_id", "h", "i", "n").distinct()
+    pieces = led.hint("merge").join(text, ["text_id", "h"]).select("text_id", F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end"), F.substr("text", F.col("i"), F.col("n")).alias("key"))
     return join_checked(pieces, keys.select("key").distinct(), "key", "left_semi").select("text_id", "key", "start", "end")
 
 
 def accepted_spans(spans: DataFrame) -> DataFrame:
-    """(text_id, key, start, end): longest first, then by key and place, without overlaps; one fold for each text."""
+    """(text_id, key, start, end): longest first, then by key and place, without overlaps.
+
+    Only spans that overlap, directly or over others, are folded together, so a long text isn't one row.
+    """
     kind = "array<struct<rank:int,key:string,start:int,end:int>>"
-    listed = spans.groupBy("text_id").agg(F.array_sort(F.collect_set(F.struct((-F.length("key")).alias("rank"), "key", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("all"))
+    order = W.partitionBy("text_id").orderBy("start", "end", "key")
+    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
+    grouped = (
+        spans.distinct().withColumn("new", (F.coalesce(reach, F.col("start")) <= F.col("start")).cast("int"))
+        .withColumn("cluster", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    )
+    listed = grouped.groupBy("text_id", "cluster").agg(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("rank"), "key", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("all"))
 
     def take(kept: Column, span: Column) -> Column:
         free = ~F.exists(kept, lambda k: (span["start"] < k["end"]) & (span["end"] > k["start"]))
