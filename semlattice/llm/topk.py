@@ -57,6 +57,11 @@ def segment_statistics(v: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean, deviation], 1)
 
 
+def _products(rows: np.ndarray, some: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of some rows; where these are most of the rows, all are cheaper than a copy of them."""
+    return (rows @ q)[some] if 2 * len(some) > len(rows) else rows[some] @ q
+
+
 def best(queries: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, rows: np.ndarray, ids: np.ndarray, spec: Search) -> pd.DataFrame:
     """The k best ids of a block for each query whose score may reach the query's floor, each with its best score, ties to smaller ids."""
     q, r = queries.astype(np.float64), rows.astype(np.float64)
@@ -68,8 +73,8 @@ def best(queries: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, rows: np.nda
     for i in range(len(q)):
         near = np.flatnonzero(ids != q_ids[i])
         for of_q, of_r in levels if np.isfinite(floor[i]) else []:
-            near = near[of_r[near] @ of_q[i] + slack[i] >= floor[i]]
-        score = (r[near] @ q[i]).astype(np.int64) if exact_in_float else rows[near] @ queries[i]
+            near = near[_products(of_r, near, of_q[i]) + slack[i] >= floor[i]]
+        score = _products(r, near, q[i]).astype(np.int64) if exact_in_float else rows[near] @ queries[i]
         keep = score >= floor[i]
         near, score = near[keep], score[keep]
         if len(near) > 4 * spec.k and not several:
