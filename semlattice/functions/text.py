@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 NUMBER = r"^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
+#: The characters with the Unicode property White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end, Unicode spaces included."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def not_blank(c: Column) -> Column:
@@ -40,10 +44,14 @@ def as_list(c: Column, kind: str, split: bool = True) -> Column:
     if kind.startswith("array"):
         return F.filter(F.transform(F.coalesce(c.cast("array<string>"), F.array().cast("array<string>")), strip), not_blank)
     text = strip(c.cast("string"))
-    json = F.when(text.startswith("[") & text.endswith("]"), F.from_json(text, "array<string>"))
+    none = F.array().cast("array<string>")
+    listed = text.startswith("[") & text.endswith("]")
+    json = F.when(listed, F.from_json(text, "array<string>"))
     parts = F.split(text, ";") if split else F.array(text)
-    items = F.coalesce(json, parts, F.array().cast("array<string>"))
-    return F.filter(F.transform(items, strip), not_blank)
+    items = F.filter(F.transform(F.coalesce(json, parts, none), strip), not_blank)
+    # most values are plain: no list is parsed or walked for them
+    plain = ~listed & ~F.contains(text, F.lit(";")) if split else ~listed
+    return F.when(text.isNull() | (text == ""), none).when(plain, F.array(text)).otherwise(items)
 
 
 def integer_form(c: Column) -> Column:
