@@ -329,3 +329,47 @@ def test_mixing_takes(make_docs, prose, seed):
         got[r["doc_id"], texts[r["doc_id"]], sources[r["doc_id"]]][r["taken"]] += 1
         assert abs(r["target"] - target[sources[r["doc_id"]]]) < 1e-6
     assert dict(got) == {k: +v for k, v in taken.items()}
+
+
+# ---- the pipeline
+
+
+def plain_pipeline(docs, labels, items, weights):
+    """Rows (doc_id, shard) of the five stages, each in plain Python. docs: (doc_id, text, source) of lower-case words."""
+    from test_neardup import brute
+    from test_sharding_mixing import jump
+
+    by_place = dict(zip(weights[0].tolist(), weights[1].tolist()))
+    bias = by_place.get(1 << 20, 0.0)
+    docs = [d for d in docs if sum(by_place.get(p, 0) for p in plain_features(d[1])) + bias < 0]
+    groups = brute([(d, t) for d, t, _ in docs], 5, 80)
+    docs = [d for d in docs if not d[1].split() or groups[d[0]][1] == d[0]]
+    windows = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    docs = [d for d in docs if not any(len(windows(i) & windows(d[1])) >= 0.8 * len(windows(i)) for i in items)]
+    taken, _ = plain_mix(docs, X.Mix())
+    return Counter({(d, jump(d, 40)): sum(n for n in [k // max(1, len(t.split())) * v for k, v in taken[d, t, s].items()]) for d, t, s in docs})
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path, prose):
+    import corpus_pipeline as P
+
+    r, docs, labels = random.Random(6), [], []
+    items = [prose(20, 900), prose(18, 901)]
+    for i in range(260):
+        words = prose(r.randint(8, 60), 3000 + i).split()
+        toxic = i % 5 == 0
+        for _ in range(3 if toxic else 0):
+            words.insert(r.randrange(len(words)), r.choice(["idiot", "vermin", "scumbag"]))
+        docs.append((i, " ".join(words), f"s{i % 3}" if i % 7 else None))
+        labels.append((i, int(toxic)))
+    near = prose(80, 950).split()
+    docs += [(300, " ".join(near), "s1"), (301, " ".join([*near, "more"]), "s1"), (302, " ".join(near), "s2"), (303, f"{prose(20, 5)} {items[0]} {prose(20, 7)}", "s0"), (304, items[1], None), (305, "", "s2")]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'en' as lang", "source", "1L as n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, y in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    weights = T.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    want = plain_pipeline(docs, labels, items, weights)
+    got = Counter((x["doc_id"], x["shard"]) for x in P.run(spark, str(tmp_path)).collect())
+    assert got == +want and len(got) > 150 and max(got.values()) <= 3
+    kept = {d for d, _ in got}
+    assert not kept & {301, 302, 303, 304, 305}
