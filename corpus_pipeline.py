@@ -48,5 +48,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Scores and signatures can't be expressed in SQL; the tests compare each stage with a brute-force version.
+#: Scores and signatures can't be expressed in SQL; the tests compare the rows with those of five stages in plain Python.
 ORACLE_SQL = None
