@@ -48,7 +48,9 @@ def canonical_words(text: Column) -> Column:
     t = F.lower(F.regexp_replace(t, r"(> )(\p{Lu}\p{Ll}+)", "$1<n=$2>"))
     t = F.regexp_replace(t, r"[0-9]+(?:[.,][0-9]+)*", "<d=$0>")
     t = F.regexp_replace(t, rf"(<d=[0-9.,]+>) ?({UNITS})\b", "$1 <u=$2>")
-    return F.regexp_extract_all(t, F.lit(rf"<[a-z]=[^<>]*>|[\p{{L}}&&[{UNSPACED}]]\p{{M}}*|[\p{{L}}\p{{M}}&&[^{UNSPACED}]]+"), F.lit(0))
+    # most words begin with a-z, which the first alternative takes without a look at scripts
+    letters = rf"[\p{{L}}\p{{M}}&&[^{UNSPACED}]]"
+    return F.regexp_extract_all(t, F.lit(rf"[a-z]+{letters}*|<[a-z]=[^<>]*>|[\p{{L}}&&[{UNSPACED}]]\p{{M}}*|{letters}+"), F.lit(0))
 
 
 def templates(words: Column) -> Column:
@@ -61,11 +63,16 @@ def plain_values(words: Column) -> Column:
     return F.transform(words, lambda w: F.when(w.startswith("<"), F.substring_index(F.substr(w, F.lit(4)), ">", 1)).otherwise(w))
 
 
-def window_hashes(template: Column, k: int) -> Column:
-    """struct(place, h) for each run of k words; none for fewer words."""
-    n = F.size(template)
+def word_hashes(words: Column) -> Column:
+    """A hash of each word, so that a window's hash is one of k numbers."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def window_hashes(hashes: Column, k: int) -> Column:
+    """struct(place, h) for each run of k words, given their hashes; none for fewer words. hashes: a column of its own, as it is referred to k times."""
+    n = F.size(hashes)
     places = F.when(n >= k, F.sequence(F.lit(0), n - k)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(*[F.get(template, i + j) for j in range(k)]).alias("h")))
+    return F.transform(places, lambda i: F.struct(i.alias("place"), F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]).alias("h")))
 
 
 def item_windows(benchmark: DataFrame, spec: Decontam) -> DataFrame:
@@ -77,7 +84,7 @@ def item_windows(benchmark: DataFrame, spec: Decontam) -> DataFrame:
     rows = rows.withColumn("t", templates(F.col("w")))
     named = F.when(F.size("w") > 0, F.concat(F.array(F.lit("<n")), F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0)))))
     all_windows = rows.select("item_id", F.explode(F.array(F.struct(F.lit(False).alias("alias"), F.col("t").alias("t")), F.struct(F.lit(True).alias("alias"), F.coalesce(named, F.col("t")).alias("t")))).alias("x")).select("item_id", "x.alias", "x.t")
-    windows = all_windows.select("item_id", "alias", "t", F.explode(window_hashes(F.col("t"), spec.k)).alias("x")).select("item_id", "alias", "t", "x.place", "x.h")
+    windows = all_windows.withColumn("hashes", word_hashes(F.col("t"))).select("item_id", "alias", "t", F.explode(window_hashes(F.col("hashes"), spec.k)).alias("x")).select("item_id", "alias", "t", "x.place", "x.h")
     strong = F.size(F.filter(F.slice("t", F.col("place") + 1, spec.k), lambda w: ~w.startswith("<"))) >= spec.fixed
     own = windows.where(strong & ~F.col("alias")).groupBy("item_id", "h").agg(F.min("place").alias("nr"))
     alias = windows.where(F.col("alias") & (F.col("place") == 0)).join(own.where("nr = 0").select("item_id").distinct().hint("merge"), "item_id", "left_semi").select("item_id", "h", F.lit(0).alias("nr"))
@@ -91,15 +98,15 @@ def weak_windows(benchmark: DataFrame, items: DataFrame, spec: Decontam) -> Data
     n_words: words of a window, k or all words of a shorter item. Items without any word are left out.
     """
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain_values(canonical_words(F.col("text"))).alias("v")).where("item_id is not null and size(v) > 0")
-    weak = rows.hint("merge").join(items.select("item_id").distinct(), "item_id", "left_anti").withColumn("n_words", F.least(F.size("v"), F.lit(spec.k)))
-    hashes = F.coalesce(*[F.when(F.col("n_words") == n, window_hashes(F.col("v"), n)) for n in range(1, spec.k + 1)])
+    weak = rows.hint("merge").join(items.select("item_id").distinct(), "item_id", "left_anti").withColumn("n_words", F.least(F.size("v"), F.lit(spec.k))).withColumn("hashes", word_hashes(F.col("v")))
+    hashes = F.coalesce(*[F.when(F.col("n_words") == n, window_hashes(F.col("hashes"), n)) for n in range(1, spec.k + 1)])
     own = weak.select("item_id", "n_words", F.explode(hashes).alias("x")).groupBy("item_id", "n_words", F.col("x.h").alias("h")).agg(F.min("x.place").alias("nr"))
     return own.hint("merge").join(own.groupBy("item_id").agg(F.count("*").alias("n_windows")), "item_id")
 
 
 def _weak_leaks(rows: DataFrame, weak: DataFrame, spec: Decontam) -> DataFrame:
     """Rows (doc_id, item_id, windows, n_windows): weak items of which one alignment holds enough windows. rows: doc_id, text."""
-    shaped = rows.select("doc_id", plain_values(canonical_words(F.col("text"))).alias("v"))
+    shaped = rows.select("doc_id", word_hashes(plain_values(canonical_words(F.col("text")))).alias("v"))
     hits = None
     for n in sorted(r["n_words"] for r in weak.select("n_words").distinct().collect()):
         windows = shaped.select("doc_id", F.explode(window_hashes(F.col("v"), n)).alias("x")).select("doc_id", "x.h", "x.place")
@@ -130,8 +137,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: Decontam = Decontam()) ->
     """
     items = saved(item_windows(benchmark, spec))
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # a column of its own, as a window's hash refers to it k times
-    shaped = rows.select("doc_id", templates(canonical_words(F.col("text"))).alias("t"))
+    shaped = rows.select("doc_id", word_hashes(templates(canonical_words(F.col("text")))).alias("t"))
     windows = shaped.select("doc_id", F.explode(window_hashes(F.col("t"), spec.k)).alias("x")).select("doc_id", "x.h", "x.place")
     hits = saved(join_checked(windows, items, "h").groupBy("doc_id", "item_id", "nr", (F.col("place") - F.col("nr")).alias("shift")).agg(F.first("n_windows").alias("n_windows")))
     found = saved(
