@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Most bytes of text in the smaller side of a broadcast join.
@@ -42,3 +44,40 @@ def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: st
     n, size = right.select(width.alias("w")).limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0))).first()
     small = n <= limit and size <= BROADCAST_BYTES and not wide
     return left.join(F.broadcast(right), on, how) if small else left.hint("merge").join(right, on, how)
+
+
+def numbered(df: DataFrame, column: str = "id") -> DataFrame:
+    """The rows with dense numbers from 0, written first so that they never change.
+
+    A row's number is its place in its partition plus the rows of the partitions before, so no
+    task sees more than its own rows and the table of partitions, which is broadcast.
+    """
+    part, place = f"{column}_part", f"{column}_place"
+    kept = saved(df.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = kept.groupBy(part).agg(F.count("*").alias("n"))
+    before = sizes.select(part, F.coalesce(F.sum("n").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("n"))
+    return kept.join(F.broadcast(before), part).withColumn(column, F.col(place) + F.col("n")).select(*df.columns, column)
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], column: str = "rank", keep: Sequence[str] | None = None) -> DataFrame:
+    """Ranks from 1 among the rows of equal keys (null is a key), of which one key may have any share of all rows.
+
+    Rows go to ranges of (keys, order) and are ranked within each range; a key that spans several
+    ranges gets the counts of the ranges before as an offset. At most one key spans two neighbouring
+    ranges, so the table of offsets has at most two rows for each range and is broadcast. Rows that
+    agree in keys and order stand in one range; give the order a last column that parts them.
+    keep: the columns that the result needs, by default all.
+    """
+    part, place, of_key = f"{column}_part", f"{column}_place", f"{column}_key"
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k) for k in keys], *order]
+    dealt = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    rows = dealt.select(*(keep or df.columns), F.struct(*keys).alias(of_key), F.spark_partition_id().alias(part), F.monotonically_increasing_id().alias(place))
+    rows = saved(rows)
+    edges = rows.groupBy(part).agg(F.min(of_key).alias("low"), F.max(of_key).alias("high")).select(part, F.explode(F.array("low", "high")).alias(of_key))
+    spanning = edges.groupBy(of_key).agg(F.count_distinct(part).alias("n")).where("n > 1").select(F.col(of_key).alias("spanning"))
+    counts = rows.join(F.broadcast(spanning), F.col(of_key).eqNullSafe(F.col("spanning"))).groupBy("spanning", part).agg(F.count("*").alias("n"))
+    before = counts.select("spanning", F.col(part).alias("in_part"), F.sum("n").over(W.partitionBy("spanning").orderBy(part).rowsBetween(W.unboundedPreceding, -1)).alias("before"))
+    local = rows.withColumn(column, F.row_number().over(W.partitionBy(part, of_key).orderBy(place)).cast("long"))
+    joined = local.join(F.broadcast(before), F.col(of_key).eqNullSafe(F.col("spanning")) & (F.col(part) == F.col("in_part")), "left")
+    return joined.withColumn(column, F.col(column) + F.coalesce("before", F.lit(0))).select(*(keep or df.columns), column)
