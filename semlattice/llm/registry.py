@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontam, licences, mixing, neardup, quality, sharding, tokenfile, topk, toxicity
+from . import chunks, decontam, licences, mixing, neardup, prefixtrie, quality, sharding, tokenfile, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_chunk_substring_dedup": chunks.op8_chunk_substring_dedup,
         "op9_template_decontamination": decontam.op9_template_decontamination,
         "op10_jump_hash_sharding": sharding.op10_jump_hash_sharding,
+        "op13_conversation_prefix_trie": prefixtrie.op13_conversation_prefix_trie,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_minhash_near_dedup": neardup.ORACLE_SQL,
         "op9_template_decontamination": decontam.ORACLE_SQL,
         "op10_jump_hash_sharding": sharding.ORACLE_SQL,
+        "op13_conversation_prefix_trie": prefixtrie.ORACLE_SQL,
     }
