@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from ..plans.scratch import join_checked, saved
 
-__all__ = ["ARROW_ROWS", "components", "hashable", "join_checked", "row_key", "saved", "small_batches", "table"]
+__all__ = ["ARROW_ROWS", "batches_of", "components", "hashable", "join_checked", "row_key", "saved", "small_batches", "table"]
 
 #: Rows of one Arrow batch; a batch of the longest texts stays below some hundred MB.
 ARROW_ROWS = 1000
@@ -24,6 +27,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside; the session's setting is put back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hashable(docs: DataFrame) -> list[Column]:
     """The columns, those that hold maps as text."""
     return [F.to_json(F.struct(F.col(f"`{n}`"))) if "map<" in kind else F.col(f"`{n}`") for n, kind in docs.dtypes]

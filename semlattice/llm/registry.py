@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontam, licences, mixing, neardup, prefixtrie, quality, sharding, tokenfile, topk, toxicity
+from . import chunks, decontam, lexicon, licences, mixing, neardup, phrases, prefixtrie, quality, sharding, tokenfile, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_chunk_substring_dedup": chunks.op8_chunk_substring_dedup,
         "op9_template_decontamination": decontam.op9_template_decontamination,
         "op10_jump_hash_sharding": sharding.op10_jump_hash_sharding,
+        "op11_transducer_bpe": lexicon.op11_transducer_bpe,
+        "op12_setm_phrases": phrases.op12_setm_phrases,
         "op13_conversation_prefix_trie": prefixtrie.op13_conversation_prefix_trie,
     }
 
@@ -27,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_minhash_near_dedup": neardup.ORACLE_SQL,
         "op9_template_decontamination": decontam.ORACLE_SQL,
         "op10_jump_hash_sharding": sharding.ORACLE_SQL,
+        "op12_setm_phrases": phrases.ORACLE_SQL,
         "op13_conversation_prefix_trie": prefixtrie.ORACLE_SQL,
     }
