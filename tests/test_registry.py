@@ -45,5 +45,5 @@ def test_the_corpus_queries_are_there_or_their_files_are_not():
 
     root = Path(e.__file__).parent
     there = (root / "semlattice" / "llm").is_dir() and (root / "corpus_pipeline.py").is_file()
-    assert sum(n.startswith("op") and "_" in n and n[2:].split("_")[0].isdigit() for n in e.queries()) == (10 if there else 0)
+    assert sum(n.startswith("op") and "_" in n and n[2:].split("_")[0].isdigit() for n in e.queries()) == (13 if there else 0)
     assert ("pipeline" in e.queries()) == there
