@@ -33,3 +33,35 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     members = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return members.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def with_edges(current: DataFrame, added: DataFrame) -> DataFrame:
+    """(node, root) after edges (a, b) were added to a graph of the components `current`.
+
+    Each old component is contracted to its root, so the new edges meet between roots only and the
+    rounds see no more than the added edges; an old component is then renamed as a whole.
+    """
+    at = lambda c: current.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    edges = added.where("a is not null and b is not null and a <> b").select("a", "b").distinct()
+    rooted = saved(
+        edges.hint("merge").join(at("a"), "a", "left").hint("merge").join(at("b"), "b", "left")
+        .select("a", "b", F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y")))
+    moved = saved(components(rooted.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("old"), F.col("root").alias("new")))
+    renamed = lambda df: df.hint("merge").join(moved.withColumnRenamed("old", "root"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    ends = rooted.select(F.col("a").alias("node"), F.col("x").alias("root")).unionByName(rooted.select(F.col("b").alias("node"), F.col("y").alias("root"))).distinct()
+    fresh = ends.hint("merge").join(current.select("node"), "node", "left_anti")
+    return saved(renamed(current.select("node", "root")).unionByName(renamed(fresh)))
+
+
+def without_edges(current: DataFrame, removed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) after edges were removed. current: the components before; edges: all that are left.
+
+    Only components that hold a removed edge are computed again, from their own edges; nodes left without one are absent.
+    """
+    ends = removed.select(F.col("a").alias("node")).unionByName(removed.select(F.col("b").alias("node"))).distinct()
+    touched = saved(current.hint("merge").join(ends, "node", "left_semi").select("root").distinct())
+    members = saved(current.hint("merge").join(touched, "root", "left_semi").select("node"))
+    # both ends of an edge are in one component
+    mine = edges.where("a <> b").select("a", "b").hint("merge").join(members.withColumnRenamed("node", "a"), "a", "left_semi")
+    kept = current.hint("merge").join(touched, "root", "left_anti").select("node", "root")
+    return saved(kept.unionByName(components(mine)))

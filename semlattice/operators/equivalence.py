@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..plans.config import TRIPLE_COLUMNS
-from .components import components
+from ..plans.scratch import saved
+from .components import components, with_edges, without_edges
 from .graph import of, types
 
 
@@ -52,6 +53,21 @@ def canonical(pairs: DataFrame) -> DataFrame:
     return components(pairs).select(F.col("node").alias("uri"), F.col("root").alias("canonical_uri"))
 
 
+def canonical_after(current: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """The canonical table (uri, canonical_uri) of the pairs `after`, from that of the pairs `before`.
+
+    Pairs (a, b) that came contract components, pairs that went cause those that held them to be computed again;
+    all other rows stay as they are.
+    """
+    both = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    old, new = saved(both(before)), saved(both(after))
+    rooted = current.select(F.col("uri").alias("node"), F.col("canonical_uri").alias("root"))
+    stayed = old.hint("merge").join(new, ["a", "b"], "left_semi")
+    rooted = without_edges(rooted, old.hint("merge").join(new, ["a", "b"], "left_anti"), stayed)
+    rooted = with_edges(rooted, new.hint("merge").join(old, ["a", "b"], "left_anti"))
+    return rooted.select(F.col("node").alias("uri"), F.col("root").alias("canonical_uri"))
+
+
 def new_links(t: DataFrame, pairs: DataFrame, predicate: str = "sameAs") -> DataFrame:
     """sameAs triples of the pairs that aren't stated in either direction yet; none when run again on the result."""
     stated = of(t, predicate).select(F.col("s").alias("a"), F.col("o").alias("b"))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import TRIPLE_COLUMNS
+from ..plans.scratch import join_checked, saved
 
 Pattern = tuple[str, str, str]
 
@@ -39,13 +42,16 @@ def names(t: DataFrame) -> DataFrame:
 
 
 def called(rows: DataFrame, t: DataFrame, column: str = "s", name: str = "name") -> DataFrame:
-    """rows with the name of the column's ids: names()'s, else the end of the id."""
-    known = names(t).select(F.col("s").alias(column), F.col("name").alias(name))
-    return rows.join(known, column, "left").withColumn(name, F.coalesce(name, tail(column)))
+    """rows with the name of the column's ids: names()'s, else the end of the id.
+
+    Names are written before they are joined, so that an id which very many rows share can be split.
+    """
+    known = saved(names(t)).select(F.col("s").alias(column), F.col("name").alias(name))
+    return rows.hint("merge").join(known, column, "left").withColumn(name, F.coalesce(name, tail(column)))
 
 
 def least_class(t: DataFrame) -> DataFrame:
-    """(s, class): the least class of each typed subject."""
+    """(s, class): the least class of each typed subject. Write it before a join with rows that share subjects."""
     return of(t, "type").groupBy("s").agg(F.min("o").alias("class"))
 
 
@@ -80,7 +86,7 @@ def _variable(term: str) -> str | None:
 
 
 def scan(t: DataFrame, pattern: Pattern) -> DataFrame:
-    """Bindings of one pattern; terms that begin with ? are variables, others are fixed."""
+    """Bindings of one pattern with a variable at least; terms that begin with ? are variables, others are fixed."""
     rows, out = t, {}
     for column, term in zip(("s", "p", "o"), pattern, strict=True):
         v = _variable(term)
@@ -90,47 +96,137 @@ def scan(t: DataFrame, pattern: Pattern) -> DataFrame:
             rows = rows.where(F.col(column) == F.col(out[v]))
         else:
             out[v] = column
-    return rows.select([F.col(c).alias(v) for v, c in out.items()] or [F.lit(1).alias("__any")]).distinct()
+    return rows.select([F.col(c).alias(v) for v, c in out.items()]).distinct()
 
 
 def _variables(pattern: Pattern) -> set[str]:
     return {v for v in map(_variable, pattern) if v is not None}
 
 
-def _in_order(patterns: Sequence[Pattern], bound: set[str]) -> list[Pattern]:
-    """The patterns so that each shares a variable with those before it, those with more fixed terms first."""
+@dataclass(frozen=True)
+class Sizes:
+    """What estimates rest on: rows (p, triples, subjects, objects), and (p, o, n) of the objects of predicates that have few.
+
+    They are looked up for the predicates of a question only, so the driver holds a few rows for each pattern.
+    """
+
+    predicates: DataFrame
+    objects: DataFrame
+
+
+#: A predicate with at most so many objects has them counted one by one.
+FEW_OBJECTS = 1000
+#: A pattern of fewer estimated rows reduces larger ones before they are shuffled.
+REDUCING = 200_000
+
+
+def statistics(t: DataFrame, exact: bool = False) -> Sizes:
+    """Triples, subjects and objects of each predicate, estimated to some percent unless exact. Written, so that later questions share them."""
+    distinct = F.count_distinct if exact else F.approx_count_distinct
+    predicates = saved(t.groupBy("p").agg(F.count("*").alias("triples"), distinct("s").alias("subjects"), distinct("o").alias("objects")))
+    few = predicates.where(F.col("objects") <= FEW_OBJECTS).select("p")
+    return Sizes(predicates, saved(t.join(F.broadcast(few), "p", "left_semi").groupBy("p", "o").agg(F.count("*").alias("n"))))  # few: one row a predicate
+
+
+class _Estimates:
+    """Rows of patterns and of their joins, in doubles."""
+
+    def __init__(self, sizes: Sizes, patterns: Sequence[Pattern]):
+        fixed = sorted({p for _, p, _ in patterns if not _variable(p)})
+        own = sizes.predicates.where(F.col("p").isin(fixed)).unionByName(
+            sizes.predicates.agg(F.lit(None).cast("string").alias("p"), *[F.sum(c).alias(c) for c in ("triples", "subjects", "objects")]))
+        self.of = {r["p"]: tuple(float(r[c] or 0) for c in ("triples", "subjects", "objects")) for r in own.collect()}
+        pairs = [(F.col("p") == p) & (F.col("o") == o) for _, p, o in patterns if not _variable(p) and not _variable(o)]
+        known = sizes.objects.where(reduce(Column.__or__, pairs)).collect() if pairs else []
+        self.objects = {(r["p"], r["o"]): float(r["n"]) for r in known}
+
+    def rows(self, pattern: Pattern) -> float:
+        s, p, o = pattern
+        triples, subjects, objects = self.of.get(None if _variable(p) else p, (0.0, 0.0, 0.0))
+        n = triples if _variable(s) else triples / max(subjects, 1.0)
+        return n if _variable(o) else min(n, self.objects.get((p, o), n / max(objects, 1.0)))
+
+    def values(self, pattern: Pattern, variable: str) -> float:
+        """Different values of a variable in a pattern's rows."""
+        _, subjects, objects = self.of.get(None if _variable(pattern[1]) else pattern[1], (0.0, 0.0, 0.0))
+        most = subjects if _variable(pattern[0]) == variable else objects
+        return max(1.0, min(most, self.rows(pattern)))
+
+
+def _in_order(patterns: Sequence[Pattern], estimates: _Estimates | None = None) -> list[Pattern]:
+    """The patterns so that each shares a variable with those before it, those that keep the bindings fewest first.
+
+    Without estimates those with more fixed terms come first.
+    """
     left, out = list(patterns), []
+    values: dict[str, float] = {}
+    rows = 1.0
     while left:
-        fixed = [p for p in left if not _variables(p)]
-        linked = fixed or [p for p in left if not bound or _variables(p) & bound]
+        linked = [p for p in left if not values or _variables(p) & values.keys()]
         if not linked:
             raise ValueError(f"patterns share no variable with the others: {left}")
-        best = min(linked, key=lambda p: len(_variables(p)))
+
+        def cost(p: Pattern) -> tuple[float, int]:
+            if estimates is None:
+                return 0.0, len(_variables(p))
+            return rows * estimates.rows(p) / max([max(values[v], estimates.values(p, v)) for v in _variables(p) & values.keys()], default=1.0), len(_variables(p))
+
+        best = min(linked, key=cost)
         left.remove(best)
         out.append(best)
-        bound = bound | _variables(best)
+        rows = max(cost(best)[0], 1.0)
+        for v in _variables(best):
+            here = estimates.values(best, v) if estimates else 1.0
+            values[v] = min(values.get(v, here), here)
     return out
 
 
-def match(t: DataFrame, patterns: Sequence[Pattern], optional: Sequence[Sequence[Pattern]] = (), where: Column | str | None = None, order: Sequence[str | Column] = (), limit: int | None = None) -> DataFrame:
+def _reduced(t: DataFrame, pattern: Pattern, others: dict[Pattern, DataFrame]) -> DataFrame:
+    """A pattern's bindings that every one of the small patterns (with their written bindings) has a partner for."""
+    out = scan(t, pattern)
+    for small, bindings in others.items():
+        shared = sorted(_variables(small) & _variables(pattern))
+        if small != pattern and shared:
+            out = join_checked(out, bindings.select(*shared).distinct(), shared, "left_semi")
+    return out
+
+
+def _present(t: DataFrame, fixed: Sequence[Pattern]) -> bool:
+    """Whether all patterns without a variable are triples."""
+    one = lambda s, p, o: (F.col("s") == s) & (F.col("p") == p) & (F.col("o") == o)
+    return not fixed or t.where(reduce(Column.__or__, [one(*p) for p in fixed])).select("s", "p", "o").distinct().limit(len(set(fixed))).count() == len(set(fixed))
+
+
+def match(t: DataFrame, patterns: Sequence[Pattern], optional: Sequence[Sequence[Pattern]] = (), where: Column | str | None = None, order: Sequence[str | Column] = (), limit: int | None = None, sizes: Sizes | None = None) -> DataFrame:
     """Bindings of all patterns, one column for each variable, distinct.
 
     Patterns join on the variables they share, in an order in which each shares one with those
-    before it; patterns that can't be connected are an error. optional: groups of patterns
+    before it; patterns that can't be connected are an error. Those without a variable are looked up
+    first, and without one of them there is no binding. optional: groups of patterns
     that may be missing, whose variables are then null. order, limit: of the bindings.
+    sizes: statistics of t; with them the order follows estimates, and patterns of few rows
+    first thin out the larger ones that share a variable with them.
     """
     if not patterns:
         raise ValueError("no pattern")
-    out, bound = None, set()
-    for p in _in_order(patterns, bound):
-        one = scan(t, p)
+    wanted = list(dict.fromkeys(v for p in [*patterns, *[p for g in optional for p in g]] for v in map(_variable, p) if v is not None))
+    fixed, free = [p for p in patterns if not _variables(p)], [p for p in patterns if _variables(p)]
+    there = _present(t, fixed)
+    if not free:
+        if optional:
+            raise ValueError(f"optional patterns share no variable with the others: {list(optional[0])}")
+        return t.sparkSession.range(1 if there else 0).select(F.lit(True).alias("matched"))
+    estimates = _Estimates(sizes, free) if sizes is not None else None
+    small = {p: saved(scan(t, p)) for p in free if estimates.rows(p) <= REDUCING and any(estimates.rows(q) > 4 * estimates.rows(p) for q in free)} if estimates else {}
+    out = None
+    for p in _in_order(free, estimates):
+        one = small[p] if p in small else _reduced(t, p, small)
         if out is None:
             out = one
-        elif "__any" in one.columns or "__any" in out.columns and len(out.columns) == 1:
-            out = out.drop("__any").join(F.broadcast(one.drop("__any") if "__any" not in one.columns else one.limit(1)), how="cross")  # one of the sides: one row
         else:
-            out = out.join(one, [c for c in out.columns if c in one.columns])
-        bound |= _variables(p)
+            shared = [c for c in out.columns if c in one.columns]
+            out = join_checked(out, one, shared) if p in small else out.join(one, shared)
+    out = out if there else out.where("false")
     for group in optional:
         some = match(t, group)
         shared = [c for c in out.columns if c in some.columns]
@@ -138,8 +234,7 @@ def match(t: DataFrame, patterns: Sequence[Pattern], optional: Sequence[Sequence
             raise ValueError(f"optional patterns share no variable with the others: {group}")
         out = out.join(some, shared, "left")
     out = out.where(where) if where is not None else out
-    wanted = list(dict.fromkeys(v for p in [*patterns, *[p for g in optional for p in g]] for v in map(_variable, p) if v is not None))
-    out = out.select(wanted or [F.lit(True).alias("matched")]).distinct()
+    out = out.select(wanted).distinct()
     out = out.orderBy(*order) if order else out
     return out if limit is None else out.limit(limit)
 

@@ -61,7 +61,7 @@ def uri_mentions(texts: DataFrame, t: DataFrame, ns: Namespaces = Namespaces())
     """(text_id, s, label): full addresses of typed entities in the texts."""
     found = texts.select("text_id", F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z][A-Za-z0-9+.\-]*://[^\s<>\"，。？！]+)"), F.lit(1))).alias("label"))
     local = F.when(F.col("label").startswith(ns.resource), F.substr("label", F.lit(len(ns.resource) + 1))).otherwise(F.col("label"))
-    return found.withColumn("s", local).join(types(t).select("s").distinct(), "s", "left_semi").select("text_id", "s", "label").distinct()
+    return found.withColumn("s", local).hint("merge").join(types(t).select("s").distinct(), "s", "left_semi").select("text_id", "s", "label").distinct()
 
 
 def dictionary(t: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def with_aliases(entries: DataFrame, t: DataFrame, aliases: DataFrame, cls: str
 
 
 def candidate_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(text_id, key, start, end): every place of a key in a text, upper and lower case alike.
+    """(text_id, h, key, start, end): every place of a key in a text, upper and lower case alike. h: a hash that parts texts of one text_id.
 
     The first two characters of the keys, with the lengths that follow them, lead to the
     possible places, before any longer piece is cut: only there pieces of these lengths are
@@ -93,43 +93,43 @@ def candidate_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
     leads = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.struct(i.alias("i"), F.substr("text", i, F.lit(2)).alias("lead")))
     places = text.select("text_id", "h", F.length("text").alias("size"), F.explode(leads).alias("x")).select("text_id", "h", "size", "x.i", "x.lead")
     led = join_checked(places, starts, "lead").where(F.col("i") + F.col("n") <= F.col("size") + 1).select("text_id", "h", "i", "n").distinct()
-    pieces = led.hint("merge").join(text, ["text_id", "h"]).select("text_id", F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end"), F.substr("text", F.col("i"), F.col("n")).alias("key"))
-    return join_checked(pieces, keys.select("key").distinct(), "key", "left_semi").select("text_id", "key", "start", "end")
+    pieces = led.hint("merge").join(text, ["text_id", "h"]).select("text_id", "h", F.col("i").alias("start"), (F.col("i") + F.col("n")).alias("end"), F.substr("text", F.col("i"), F.col("n")).alias("key"))
+    return join_checked(pieces, keys.select("key").distinct(), "key", "left_semi").select("text_id", "h", "key", "start", "end")
 
 
 def accepted_spans(spans: DataFrame) -> DataFrame:
-    """(text_id, key, start, end): longest first, then by key and place, without overlaps.
+    """(text_id, h, key, start, end): longest first, then by key and place, without overlaps in a text.
 
     Only spans that overlap, directly or over others, are folded together, so a long text isn't one row.
     """
     kind = "array<struct<rank:int,key:string,start:int,end:int>>"
-    order = W.partitionBy("text_id").orderBy("start", "end", "key")
+    order = W.partitionBy("text_id", "h").orderBy("start", "end", "key")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     grouped = (
         spans.distinct().withColumn("new", (F.coalesce(reach, F.col("start")) <= F.col("start")).cast("int"))
         .withColumn("cluster", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     )
-    listed = grouped.groupBy("text_id", "cluster").agg(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("rank"), "key", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("all"))
+    listed = grouped.groupBy("text_id", "h", "cluster").agg(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("rank"), "key", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("all"))
 
     def take(kept: Column, span: Column) -> Column:
         free = ~F.exists(kept, lambda k: (span["start"] < k["end"]) & (span["end"] > k["start"]))
         return F.when(free, F.concat(kept, F.array(span))).otherwise(kept)
 
-    return listed.select("text_id", F.explode(F.aggregate("all", F.array().cast(kind), take)).alias("k")).select("text_id", "k.key", "k.start", "k.end")
+    return listed.select("text_id", "h", F.explode(F.aggregate("all", F.array().cast(kind), take)).alias("k")).select("text_id", "h", "k.key", "k.start", "k.end")
 
 
 def mentions(texts: DataFrame, t: DataFrame, aliases: DataFrame | None = None, ns: Namespaces = Namespaces()) -> DataFrame:
     """(text_id, s, label): entities that the texts (text_id, text) mention. Texts with full addresses have those only."""
     by_uri = uri_mentions(texts, t, ns)
     entries = dictionary(t) if aliases is None else with_aliases(dictionary(t), t, aliases)
-    rest = texts.join(by_uri.select("text_id").distinct(), "text_id", "left_anti")
+    rest = texts.hint("merge").join(by_uri.select("text_id").distinct(), "text_id", "left_anti")
     spans = accepted_spans(candidate_spans(rest, entries))
-    return spans.select("text_id", "key").distinct().join(entries, "key").select("text_id", "s", F.col("key").alias("label")).unionByName(by_uri)
+    return spans.select("text_id", "key").distinct().hint("merge").join(entries, "key").select("text_id", "s", F.col("key").alias("label")).unionByName(by_uri)
 
 
 def canonical_mentions(found: DataFrame, t: DataFrame, canonical: DataFrame) -> DataFrame:
     """(text_id, s, label): canonical ids with a known class, each once for a text, under its longest label."""
-    known = found.join(least_class(t), "s", "left_semi")
+    known = found.hint("merge").join(least_class(t), "s", "left_semi")
     return canonical_of(known, canonical, "s").groupBy("text_id", "s").agg(F.min_by("label", F.struct(-F.length("label"), "label")).alias("label"))
 
 

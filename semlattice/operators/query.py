@@ -6,14 +6,15 @@ All listings have a total order, ties by id.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import holds, unslug
-from ..plans.scratch import saved
+from ..plans.scratch import ranked, saved
 from .graph import called, canonical_of, labels, least_class, names, of, tail, types
 
 # Relations that an entity's page shows, and the display names of properties.
@@ -47,6 +48,7 @@ def page(df: DataFrame, order: Sequence[str | Column], limit: int, offset: int =
     """One page in a stable order, with the total and whether more follow."""
     if limit < 1 or offset < 0:
         raise ValueError("limit must be 1 or more, offset 0 or more")
+    df = saved(df)  # read twice
     total = df.agg(F.count("*").alias("total"))
     return df.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total), how="cross").withColumn("has_more", F.col("total") > offset + limit)  # total: one row
 
@@ -105,8 +107,10 @@ def entity_detail(t: DataFrame, canonical: DataFrame, ids: DataFrame) -> DataFra
     asked = canonical_of(ids.withColumn("asked", F.col("uri")), canonical, "uri").select("asked", F.col("uri").alias("s"))
     facts = canonical_of(t, canonical, "s").join(asked, "s").select("asked", "p", "o", "o_kind").distinct()
     relation = F.col("o_kind") == "uri"
-    # literals need no name: only relations are shuffled by their target
-    named = called(facts.where(relation), t, "o").select(F.col("asked").alias("uri"), F.lit("relation").alias("kind"), "p", F.col("name").alias("value"), F.col("o").alias("target"))
+    # literals and classes need no name: only the other relations are shuffled by their target
+    columns = lambda name: [F.col("asked").alias("uri"), F.lit("relation").alias("kind"), "p", name.alias("value"), F.col("o").alias("target")]
+    named = called(facts.where(relation & (F.col("p") != "type")), t, "o").select(columns(F.col("name")))
+    named = named.unionByName(facts.where(relation & (F.col("p") == "type")).select(columns(tail("o"))))
     return named.unionByName(facts.where(~relation).select(F.col("asked").alias("uri"), F.lit("property").alias("kind"), "p", F.col("o").alias("value"), F.lit(None).cast("string").alias("target")))
 
 
@@ -120,7 +124,7 @@ def properties_of(t: DataFrame, canonical: DataFrame, ids: DataFrame) -> DataFra
 def related_to(t: DataFrame, ids: DataFrame) -> DataFrame:
     """(uri, p, target, name, class): outgoing edges of the shown relations."""
     edges = t.where(F.col("p").isin(*SHOWN_RELATIONS) & (F.col("o_kind") == "uri")).join(ids.select(F.col("uri").alias("s")), "s", "left_semi").select(F.col("s").alias("uri"), "p", F.col("o").alias("s"))
-    return called(edges.distinct(), t).join(least_class(t), "s", "left").select("uri", "p", F.col("s").alias("target"), "name", F.coalesce("class", F.lit("Unknown")).alias("class"))
+    return called(edges.distinct(), t).hint("merge").join(saved(least_class(t)), "s", "left").select("uri", "p", F.col("s").alias("target"), "name", F.coalesce("class", F.lit("Unknown")).alias("class"))
 
 
 def reverse_related(t: DataFrame, canonical: DataFrame, relation: str) -> DataFrame:
@@ -147,22 +151,27 @@ def query_relation(t: DataFrame, canonical: DataFrame, subject_class: str, relat
 
 def relation_page(t: DataFrame, canonical: DataFrame, subject_class: str, relation: str, object_class: str, limit: int = 20, offset: int = 0) -> DataFrame:
     """A page of query_relation() by the ends' ids, with the total before the limit."""
-    return page(saved(query_relation(t, canonical, subject_class, relation, object_class)), ["s", "o"], limit, offset)
+    return page(query_relation(t, canonical, subject_class, relation, object_class), ["s", "o"], limit, offset)
 
 
 # ---- traversals
 
 
-def publications_for(t: DataFrame, scholar: str = "Scholar", institution: str = "Institution", field: str = "Field", publication: str = "Publication") -> DataFrame:
-    """(entity, class, pub) of all scholars, institutions (over their scholars) and fields at once."""
+def publications_for(t: DataFrame, scholar: str = "Scholar", institution: str = "Institution", field: str = "Field", publication: str = "Publication", only: Collection[str] = ("scholar", "institution", "field")) -> DataFrame:
+    """(entity, class, pub), distinct, of all scholars, institutions (over their scholars) and fields at once, or of some of these roles only."""
     typed = types(t)
-    only = lambda cls, c: typed.where(F.col("class") == cls).select(F.col("s").alias(c))
-    wrote = of(t, "authorOf").select(F.col("s").alias("a"), F.col("o").alias("pub")).join(only(publication, "pub"), "pub", "left_semi")
-    by_scholar = wrote.join(only(scholar, "a"), "a", "left_semi").select(F.col("a").alias("entity"), F.lit(scholar).alias("class"), "pub")
-    at = of(t, "affiliatedWith").select(F.col("s").alias("a"), F.col("o").alias("entity")).join(only(scholar, "a"), "a", "left_semi").join(only(institution, "entity"), "entity", "left_semi")
-    by_institution = at.join(wrote, "a").select("entity", F.lit(institution).alias("class"), "pub")
-    by_field = of(t, "belongsToField").select(F.col("o").alias("entity"), F.col("s").alias("pub")).join(only(field, "entity"), "entity", "left_semi").join(only(publication, "pub"), "pub", "left_semi").select("entity", F.lit(field).alias("class"), "pub")
-    return by_scholar.unionByName(by_institution).unionByName(by_field).distinct()
+    of_class = lambda cls, c: typed.where(F.col("class") == cls).select(F.col("s").alias(c))
+    wrote = of(t, "authorOf").select(F.col("s").alias("a"), F.col("o").alias("pub")).join(of_class(publication, "pub"), "pub", "left_semi")
+    parts = []
+    if "scholar" in only:
+        parts.append(wrote.join(of_class(scholar, "a"), "a", "left_semi").select(F.col("a").alias("entity"), F.lit(scholar).alias("class"), "pub"))
+    if "institution" in only:
+        at = of(t, "affiliatedWith").select(F.col("s").alias("a"), F.col("o").alias("entity")).join(of_class(scholar, "a"), "a", "left_semi").join(of_class(institution, "entity"), "entity", "left_semi")
+        parts.append(at.join(wrote, "a").select("entity", F.lit(institution).alias("class"), "pub"))
+    if "field" in only:
+        by_field = of(t, "belongsToField").select(F.col("o").alias("entity"), F.col("s").alias("pub")).join(of_class(field, "entity"), "entity", "left_semi")
+        parts.append(by_field.join(of_class(publication, "pub"), "pub", "left_semi").select("entity", F.lit(field).alias("class"), "pub"))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def in_all_scopes(pubs: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -238,24 +247,30 @@ def year_distribution(t: DataFrame, cls: str = "Publication", field: str | None
     return mine.join(year, "s").groupBy("year").agg(F.count("*").alias("n")).orderBy("year")
 
 
+def most_published(t: DataFrame, role: str, top: int, within: str | None = None, **classes: str) -> DataFrame:
+    """(entity, n): entities of a role (institution or scholar) by distinct publications, those without any included; of one field only if given.
+
+    Works on terms and on ids alike; classes: what stands for the four classes of publications_for().
+    """
+    roles = {"scholar": "Scholar", "institution": "Institution", "field": "Field", "publication": "Publication"} | classes
+    mine = publications_for(t, **roles, only=(role,)).select("entity", "pub")
+    if within is not None:
+        in_field = publications_for(t.where((F.col("p") != "belongsToField") | (F.col("o") == within)), **roles, only=("field",))
+        mine = mine.join(in_field.select("pub"), "pub", "left_semi")
+    everyone = types(t).where(F.col("class") == roles[role]).select(F.col("s").alias("entity"))
+    counted = mine.groupBy("entity").agg(F.count("*").alias("n"))
+    return everyone.join(counted, "entity", "left").select("entity", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")).orderBy(F.desc("n"), "entity").limit(top)
+
+
 def institution_ranking(t: DataFrame, top: int = 30, field: str | None = None, **classes: str) -> DataFrame:
     """(entity, name, n): institutions by distinct publications, those without any included; of one field only if given."""
-    institution = classes.get("institution", "Institution")
-    pubs = publications_for(t, **classes)
-    mine = pubs.where(F.col("class") == institution).select("entity", "pub")
-    if field is not None:
-        mine = mine.join(pubs.where(F.col("entity") == field).select("pub"), "pub", "left_semi")
-    everyone = types(t).where(F.col("class") == institution).select(F.col("s").alias("entity"))
-    counted = mine.groupBy("entity").agg(F.count("*").alias("n"))
-    ranked = everyone.join(counted, "entity", "left").select("entity", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")).orderBy(F.desc("n"), "entity").limit(top)
-    return named(t, ranked, "entity").select("entity", "name", "n").orderBy(F.desc("n"), "entity")
+    return named(t, most_published(t, "institution", top, field, **classes), "entity").select("entity", "name", "n").orderBy(F.desc("n"), "entity")
 
 
 def scholar_ranking(t: DataFrame, top: int = 30, **classes: str) -> DataFrame:
     """(entity, name, n): scholars by distinct publications."""
-    scholar = classes.get("scholar", "Scholar")
-    counted = publications_for(t, **classes).where(F.col("class") == scholar).groupBy("entity").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(top)
-    return named(t, counted, "entity").select("entity", "name", "n").orderBy(F.desc("n"), "entity")
+    first = most_published(t, "scholar", top, **classes).where("n > 0")
+    return named(t, first, "entity").select("entity", "name", "n").orderBy(F.desc("n"), "entity")
 
 
 def papers_per_field(t: DataFrame, relation: str = "belongsToField") -> DataFrame:
@@ -312,7 +327,10 @@ def resolve_by_label(t: DataFrame, term: str, cls: str = "Field") -> DataFrame:
 
 
 def daily_quota(log: DataFrame, limits: dict[str, int], client: str = "client", cls: str = "cls", ts: str = "ts", tie: str = "id") -> DataFrame:
-    """log with `admitted`: the first N requests of a client and day, N by the client's class; an unknown class has none."""
-    order = W.partitionBy(client, F.to_date(ts)).orderBy(ts, tie)
+    """log with `admitted`: the first N requests of a client and day, N by the request's class; an unknown class has none.
+
+    Ranks come from ranges of (client, day, time), so one client's requests may be any share of the log.
+    """
     allowed = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col(cls)), F.lit(0)) if limits else F.lit(0)
-    return log.withColumn("admitted", F.row_number().over(order) <= allowed)
+    counted = ranked(log.withColumn("admitted_day", F.to_date(ts)), [client, "admitted_day"], [F.col(ts), F.col(tie)], "admitted_rank")
+    return counted.withColumn("admitted", F.col("admitted_rank") <= allowed).select(*log.columns, "admitted")

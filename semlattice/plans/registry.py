@@ -12,7 +12,7 @@ from ..operators import biblio, equivalence, graph, lifecycle, mapping, mentions
 from ..operators.components import components
 from ..sources.tables import decode_nodes, encode_nodes, parse_ntriples, to_ntriples
 from .config import EntityMapping, Property
-from . import intake, merged  # noqa: F401  they register their queries
+from . import intake, merged, stored as stored_forms  # noqa: F401  they register their queries
 from .register import QUERIES, SQL, Query, registered
 from .scratch import saved
 from .tables import CUSTOMER, NATION, rows, table, triples

@@ -37,6 +37,16 @@ def saved(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that saved() wrote, once nothing will read it again, not even after an executor is lost."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if f"/tables-{spark.sparkContext.applicationId}/" not in path + "/":
+            raise ValueError(f"{path} is not a table of this session")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner", limit: int = 200_000) -> DataFrame:
     """Broadcasts right only if it has at most `limit` rows and BROADCAST_BYTES of text, counted beforehand; else a sort-merge join."""
     width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in right.dtypes if kind in ("string", "binary")), F.lit(0).cast("long"))

@@ -14,6 +14,12 @@ def test_longest_match_and_overlaps(spark, rows):
     assert rows(M.mentions(_texts(spark, "see nation_12 and Nation_1", "nothing", "", None), t)) == [(0, "n1", "nation_1"), (0, "n12", "nation_12")]
 
 
+def test_texts_of_one_id_are_apart(spark, rows):
+    t = graph(spark, ("a", "name", "alpha"), ("b", "name", "alphabet"), ("c", "name", "bet"))
+    texts = spark.createDataFrame([(1, "alpha"), (1, "alphabet"), (1, "alphabet")], "text_id int, text string")
+    assert rows(M.mentions(texts, t)) == [(1, "a", "alpha"), (1, "b", "alphabet")]
+
+
 def test_uri_comes_first(spark, rows):
     t = graph(spark, ("c_1", "type", "Company"), ("c_1", "name", "ACME"), ("c_2", "name", "Other"))
     got = M.mentions(_texts(spark, "https://example.org/resource/c_1 or Other"), t)

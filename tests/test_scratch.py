@@ -1,3 +1,6 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from semlattice.plans import scratch
@@ -17,3 +20,13 @@ def test_ranks_of_a_key_that_spans_ranges(spark):
         seen[r["k"]] = want[r["id"]] = seen.get(r["k"], 0) + 1
     assert {r["id"]: r["rank"] for r in got} == want and max(r["rank"] for r in got if r["k"] == "hot") == 4000 and any(r["k"] is None for r in got)
     assert scratch.ranked(rows.limit(0), ["k"], [F.col("v")], keep=["k", "id"]).columns == ["k", "id", "rank"]
+
+
+def test_discarded_tables_are_gone_and_others_stay(spark, tmp_path):
+    one, two = scratch.saved(spark.range(5)), scratch.saved(spark.range(7))
+    files = [f.removeprefix("file://") for f in one.inputFiles()]
+    scratch.discard(one)
+    assert not any(os.path.exists(f) for f in files) and two.count() == 7
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    with pytest.raises(ValueError, match="not a table"):
+        scratch.discard(spark.read.parquet(f"{tmp_path}/own"))

@@ -31,7 +31,9 @@ def test_sinks(spark, tmp_path, rows):
 
 def test_sheets(spark):
     both = S.sheets([("a", spark.createDataFrame([(1,)], "x int")), ("b", spark.createDataFrame([("q",)], "y string"))])
-    assert [tuple(r) for r in both.orderBy("sheet_idx").collect()] == [(0, "a", "1", None), (1, "b", None, "q")]
+    assert [tuple(r) for r in both.orderBy("sheet_idx").collect()] == [(0, "a", 1, None), (1, "b", None, "q")]
+    mixed = S.sheets([("a", spark.createDataFrame([(1, 2.5)], "x int, z double")), ("b", spark.createDataFrame([("q", 0.5)], "x string, z double"))])
+    assert mixed.dtypes[2:] == [("x", "string"), ("z", "double")] and [tuple(r) for r in mixed.orderBy("sheet_idx").collect()] == [(0, "a", "1", 2.5), (1, "b", "q", 0.5)]
 
 
 def test_ntriples(spark, rows, tmp_path):
