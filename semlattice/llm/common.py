@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.components import components
 from ..plans.scratch import join_checked, saved
 
-__all__ = ["ARROW_ROWS", "batches_of", "components", "hashable", "join_checked", "row_key", "saved", "small_batches", "table"]
+__all__ = ["ARROW_ROWS", "batches_of", "components", "free_name", "hashable", "join_checked", "row_key", "saved", "small_batches", "table"]
 
 #: Rows of one Arrow batch; a batch of the longest texts stays below some hundred MB.
 ARROW_ROWS = 1000
@@ -44,6 +44,14 @@ def hashable(docs: DataFrame) -> list[Column]:
     return [F.to_json(F.struct(F.col(f"`{n}`"))) if "map<" in kind else F.col(f"`{n}`") for n, kind in docs.dtypes]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many '_' before it as it takes to differ from all columns, upper and lower case alike."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_key() -> Column:
     """A hash of doc_id and text, by which stages decide on rows."""
     return F.xxhash64(F.lit(11), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))

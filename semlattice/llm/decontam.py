@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import join_checked, row_key, saved, table
+from .common import free_name, join_checked, row_key, saved, table
 
 #: Units that become a placeholder when they follow a number.
 UNITS = "kg|km|cm|mm|mg|lbs?|miles?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|usd|eur|percent|m|g"
@@ -33,12 +33,14 @@ class Decontam:
     """k: words in a window. cover: least share of an item's windows. fixed: least number of words in a window that are no placeholders.
 
     drift: words put in or left out that an instance may have before its windows count as those of another.
+    short: an item of fewer words is held only by a document that has these words and no others, as so few stand in many texts by chance.
     """
 
     k: int = 5
     cover: float = 0.8
     fixed: int = 3
     drift: int = 3
+    short: int = 4
 
 
 def canonical_words(text: Column) -> Column:
@@ -109,7 +111,8 @@ def _weak_leaks(rows: DataFrame, weak: DataFrame, spec: Decontam) -> DataFrame:
     shaped = rows.select("doc_id", word_hashes(plain_values(canonical_words(F.col("text")))).alias("v"))
     hits = None
     for n in sorted(r["n_words"] for r in weak.select("n_words").distinct().collect()):
-        windows = shaped.select("doc_id", F.explode(window_hashes(F.col("v"), n)).alias("x")).select("doc_id", "x.h", "x.place")
+        texts = shaped.where(F.size("v") == n) if n < spec.short else shaped
+        windows = texts.select("doc_id", F.explode(window_hashes(F.col("v"), n)).alias("x")).select("doc_id", "x.h", "x.place")
         mine = join_checked(windows, weak.where(F.col("n_words") == n), "h").select("doc_id", "item_id", "nr", "place", "n_windows")
         hits = mine if hits is None else hits.unionByName(mine)
     aligned = hits.groupBy("doc_id", "item_id", F.col("place") - F.col("nr")).agg(F.count_distinct("nr").alias("windows"), F.first("n_windows").alias("n_windows"))
@@ -130,7 +133,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: Decontam = Decontam()) ->
 
     windows: distinct windows of the item found in the document. Items of fewer than k words,
     or whose windows all have fewer than `fixed` plain words, are held by documents with the
-    same words and values, in one alignment (a single word suffices for an item of one word).
+    same words and values, in one alignment; items of fewer than `short` words only by documents of these words alone.
     Null item_ids and doc_ids and items without words take no part. Null and empty texts hold nothing. Rows with one doc_id are one document; a repeated item_id is one item.
     reparameterised: some value differs from the item's, in the alignment of most first places
     or, if that one is inconsistent, in all others that pass. Other columns are ignored.
@@ -176,10 +179,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, spec: Decontam = Decontam()) ->
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, spec: Decontam = Decontam()) -> DataFrame:
-    """The rows of docs that hold no item of the benchmark, each decided by its own text, whatever its doc_id."""
-    told = docs.withColumn("__row", row_key())
-    gone = saved(leaks(told.select(F.col("__row").alias("doc_id"), "text"), benchmark, spec).select(F.col("doc_id").alias("__row")).distinct())
-    return join_checked(told, gone, "__row", "left_anti").select(docs.columns)
+    """The rows of docs that hold no item of the benchmark, each decided by its own text, whatever its doc_id. All columns stay as they are, whatever their names."""
+    row = free_name(docs, "row_key")
+    told = docs.withColumn(row, row_key())
+    gone = saved(leaks(told.select(F.col(row).alias("doc_id"), "text"), benchmark, spec).select(F.col("doc_id").alias(row)).distinct())
+    return join_checked(told, gone, row, "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

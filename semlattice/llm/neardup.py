@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import components, hashable, join_checked, row_key, saved, small_batches
+from .common import components, free_name, hashable, join_checked, row_key, saved, small_batches
 
 #: Largest number of members and of bytes of shingle sets in one block of a coarse group, and of members of a key.
 BLOCK_ROWS, BLOCK_BYTES, KEY_ROWS = 1024, 24 << 20, 2048
@@ -322,23 +322,25 @@ def keep_one(docs: DataFrame, spec: NearDup = NearDup()) -> DataFrame:
     like others. Of rows with one doc_id and one text one stays, that whose columns have the
     least hash. Rows without words all stay.
     """
-    told = docs.withColumn("__row", row_key())
+    row = free_name(docs, "row_key")
+    told = docs.withColumn(row, row_key())
     found = saved(
-        near_duplicates(told.select(F.col("__row").alias("doc_id"), "text"), spec).where("n_shingles > 0")
-        .groupBy(F.col("doc_id").alias("__row")).agg(F.first("component_id").alias("root"), F.count("*").alias("n"))
+        near_duplicates(told.select(F.col(row).alias("doc_id"), "text"), spec).where("n_shingles > 0")
+        .groupBy(F.col("doc_id").alias(row)).agg(F.first("component_id").alias("root"), F.count("*").alias("n"))
     )
+    mine = [F.col(f"`{c}`") for c in docs.columns]
     several = saved(found.groupBy("root").agg(F.count("*").alias("m")).where("m > 1").select("root"))
-    members = saved(found.select("__row", "root").hint("merge").join(several, "root"))
-    ids = join_checked(told.select("__row", F.col("doc_id").cast("long").alias("id")), members, "__row")
-    stays = ids.groupBy("root").agg(F.min_by("__row", F.struct(F.col("id").isNull(), "id", "__row")).alias("__row"))
-    gone = saved(members.select("__row").hint("merge").join(stays.select("__row"), "__row", "left_anti"))
-    again = saved(found.where("n > 1").select("__row").hint("merge").join(gone, "__row", "left_anti"))
-    rest = join_checked(told, gone, "__row", "left_anti")
+    members = saved(found.select(row, "root").hint("merge").join(several, "root"))
+    ids = join_checked(told.select(row, F.col("doc_id").cast("long").alias("id")), members, row)
+    stays = ids.groupBy("root").agg(F.min_by(row, F.struct(F.col("id").isNull(), "id", row)).alias(row))
+    gone = saved(members.select(row).hint("merge").join(stays.select(row), row, "left_anti"))
+    again = saved(found.where("n > 1").select(row).hint("merge").join(gone, row, "left_anti"))
+    rest = join_checked(told, gone, row, "left_anti")
     if again.isEmpty():
-        return rest.select(docs.columns)
-    once = join_checked(rest, again, "__row", "left_anti").select(docs.columns)
-    all_of = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = join_checked(told, again, "__row", "left_semi").groupBy("__row").agg(F.min_by(all_of, F.xxhash64(*hashable(docs))).alias("row")).select("row.*")
+        return rest.select(mine)
+    once = join_checked(rest, again, row, "left_anti").select(mine)
+    all_of = F.struct(*mine)
+    one = join_checked(told, again, row, "left_semi").groupBy(row).agg(F.min_by(all_of, F.xxhash64(*hashable(docs))).alias("whole")).select("whole.*")
     return once.unionByName(one)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import saved, small_batches, table
+from .common import free_name, saved, small_batches, table
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -189,7 +189,7 @@ def scores(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], spec: Ftrl =
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, spec: Ftrl = Ftrl()) -> DataFrame:
-    """The rows of docs that aren't predicted toxic, each decided by its own text, whatever its doc_id. One narrow pass."""
+    """The rows of docs that aren't predicted toxic, each decided by its own text, whatever its doc_id. One narrow pass; all columns stay as they are, whatever their names."""
     small_batches(docs.sparkSession)
     weigh, nr = _scorer(docs, fit(docs, labels, spec), spec), len(docs.columns)
 
@@ -200,7 +200,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, spec: Ftrl = Ftrl()) -> Da
             yield batch.select(range(nr)).filter(pa.array(clean))
 
     # the text once more under a name of its own, as a string
-    return docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn(free_name(docs, "text_as_string"), F.col("text").cast("string")).mapInArrow(run, docs.schema)
 
 
 def op2_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

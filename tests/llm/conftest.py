@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, root long, key long, uid long, h long, shard string, size string, y int, part int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, root long, key long, uid long, h long, shard string, size string, y int, part int, __row long, __text string, row_key string, text_as_string int"
 
 
 @pytest.fixture(scope="session")
@@ -12,7 +12,7 @@ def make_docs(spark):
     """Documents from (doc_id, text) or (doc_id, text, source), with further columns whose names clash with those that operators use."""
 
     def make(*docs):
-        return spark.createDataFrame([(d[0], d[1], "en", d[2] if len(d) > 2 else "s", 1, 7, 7, 7, 7, 7, "old", "x", 3, 9) for d in docs], SCHEMA)
+        return spark.createDataFrame([(d[0], d[1], "en", d[2] if len(d) > 2 else "s", 1, 7, 7, 7, 7, 7, "old", "x", 3, 9, 77, "own", "key", 5) for d in docs], SCHEMA)
 
     return make
 

@@ -70,6 +70,16 @@ def test_leaks(spark, make_docs, prose):
     assert D.leaks(docs, bench.where("false")).count() == 0 and D.leaks(docs.where("false"), bench).count() == 0
 
 
+def test_columns_keep_their_values_whatever_their_names(spark, make_docs, prose):
+    from semlattice.llm import neardup
+
+    docs = make_docs((1, prose(80, 1)), (2, f"{prose(30, 2)} {ITEM} {prose(20, 3)}"), (3, prose(80, 1)))
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    for left, ids in ((D.without_leaks(docs, bench), {1, 3}), (neardup.keep_one(docs), {1, 2})):
+        assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == ids
+        assert {(r["__row"], r["__text"], r["row_key"]) for r in left.collect()} == {(77, "own", "key")}
+
+
 def test_a_later_instance_of_a_template_counts(spark, make_docs, prose):
     boxes = "Each of the 5 boxes in the cellar holds exactly 5 small green bottles of wine"
     bad, anew = boxes.replace("5 boxes", "3 boxes").replace("5 small", "4 small"), boxes.replace("5", "8")
@@ -86,9 +96,9 @@ def test_a_later_instance_of_a_template_counts(spark, make_docs, prose):
 def test_short_and_placeholder_items_are_held_with_their_values(spark, make_docs, prose):
     items = ["What is 12 + 7?", "1 2 3 4 5 6 7 8", "Alice met Bob, Carol, Dan and Tom", "小明有十二个苹果，他吃了三个，还剩几个苹果？", "Seldom"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    docs = make_docs(*[(i, f"{prose(9, i)} {t} {prose(9, 50 + i)}") for i, t in enumerate(items)], (10, "What is 12 + 9? " + prose(9, 7)), (11, "8 7 6 5 4 3 2 1"), (12, "小明有三本书"), (13, "What is 12 + 7"))
+    docs = make_docs(*[(i, f"{prose(9, i)} {t} {prose(9, 50 + i)}") for i, t in enumerate(items)], (10, "What is 12 + 9? " + prose(9, 7)), (11, "8 7 6 5 4 3 2 1"), (12, "小明有三本书"), (13, "What is 12 + 7"), (14, " seldom!"), (15, "seldom seldom"))
     got = {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, bench).collect()}
-    assert got == {(i, i) for i in range(len(items))} | {(13, 0)}
+    assert got == {(i, i) for i in range(len(items) - 1)} | {(13, 0), (14, 4)}
 
 
 def test_decontam_edges(spark, edge_docs):
