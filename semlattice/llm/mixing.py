@@ -15,8 +15,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal, localcontext
 from functools import lru_cache
 
 import numpy as np
@@ -120,12 +122,44 @@ def _boundary(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
-    """How many of `take` draws are good. NumPy's populations end below 1e9; larger ones by the normal limit, within the support."""
+    """How many of `take` draws are good. NumPy's populations end below 1e9; larger ones by large_hypergeometric()."""
     if good < 10**9 and bad < 10**9:
         return int(rng.hypergeometric(good, bad, take))
+    return large_hypergeometric(rng, good, bad, take)
+
+
+def _log_factorial(n: int) -> Decimal:
+    """To some 25 digits after the point: Stirling's series, or the factorial itself below 1000."""
+    if n < 1000:
+        return Decimal(math.factorial(n)).ln()
+    x = Decimal(n)
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return (x + Decimal("0.5")) * x.ln() - x + (2 * Decimal("3.14159265358979323846264338327950288")).ln() / 2 + series
+
+
+def large_hypergeometric(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """The same distribution for populations of any size, by ratios of uniform numbers (Stadlober).
+
+    A value is drawn from a hat over the distribution and kept with a probability that is the ratio of
+    two of the distribution's own weights, whose logarithms are taken to 50 digits.
+    """
     total = good + bad
-    spread = (take * (good / total) * (bad / total) * ((total - take) / max(1, total - 1))) ** 0.5
-    return min(good, take, max(0, take - bad, round(take * good / total + spread * rng.standard_normal())))
+    low, high = max(0, take - bad), min(good, take)
+    if low == high:
+        return low
+    with localcontext() as digits:
+        digits.prec = 50
+        log_weight = lambda x: -(_log_factorial(x) + _log_factorial(good - x) + _log_factorial(take - x) + _log_factorial(bad - take + x))
+        mean = Decimal(take) * good / total
+        spread = (mean * bad * (total - take) / (Decimal(total) * max(1, total - 1)) + Decimal("0.5")).sqrt()
+        # fixed values of the method: 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e)
+        width = Decimal("1.7155277699214135") * spread + Decimal("0.8989161620588988")
+        top = log_weight(min(high, max(low, (take + 1) * (good + 1) // (total + 2))))
+        while True:
+            u, v = 1.0 - rng.random(), rng.random()
+            x = math.floor(mean + Decimal("0.5") + width * (Decimal(v) - Decimal("0.5")) / Decimal(u))
+            if low <= x <= high and 2 * Decimal(u).ln() <= log_weight(x) - top:
+                return x
 
 
 class Tree:

@@ -58,8 +58,8 @@ def placed(docs: DataFrame, shards: int) -> DataFrame:
 
     size: UTF-8 bytes of the text plus 16; null text: 16, its checksum is that of an empty text.
     Equal rows are counted before anything is sorted, so a key of very many rows is one row
-    until the end. Slots run from 0 without gaps in each shard, by hash bucket, doc_id (null
-    first), checksum and size. Null doc_id: placed as key -1. Other columns are ignored.
+    until the end. Slots run from 0 without gaps in each shard, by a hash bucket of doc_id and checksum, doc_id (null
+    first), checksum and size; so different texts of one doc_id, or of none, are many buckets. Null doc_id: placed as key -1. Other columns are ignored.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -70,7 +70,7 @@ def placed(docs: DataFrame, shards: int) -> DataFrame:
         rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n"))
         .withColumn("to", jump_shard(F.col("doc_id"), shards))
         .withColumn("shard", F.col("to.shard"))
-        .withColumn("bucket", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 3), 16, 10).cast("int"))
+        .withColumn("bucket", F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", "text_crc32")), 1, 3), 16, 10).cast("int"))
     )
     offsets = (
         counted.groupBy("shard", "bucket").agg(F.sum("n").alias("in_bucket"))
@@ -116,7 +116,7 @@ WITH RECURSIVE bits AS (
   FROM (SELECT doc_id, j, (k * 2862933555777941757 + 1) % 18446744073709551616 AS n FROM jump WHERE j < 40)
 ), rows AS (
   SELECT doc_id, CAST(coalesce(strlen(d.text), 0) + 16 AS BIGINT) AS size, text_crc32, CAST(b AS INTEGER) AS shard, CAST(CASE WHEN j = 40 THEN 40 ELSE b END AS INTEGER) AS grown_shard,
-         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 3) AS INTEGER) AS bucket
+         CAST('0x' || substr(md5(concat_ws(':', doc_id, text_crc32)), 1, 3) AS INTEGER) AS bucket
   FROM documents d JOIN sums ON coalesce(d.text, '') = sums.text JOIN (SELECT * FROM jump WHERE j >= 40) USING (doc_id)
 )
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM rows

@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from semlattice.llm import mixing as X
 from semlattice.llm import sharding as S
 
@@ -167,3 +169,19 @@ def test_large_populations():
     for good, bad, take in ((3 * 10**9, 10**9, 10**9), (10**12, 5, 10**12), (7, 10**11, 10**10)):
         x = X._hypergeometric(rng, good, bad, take)
         assert max(0, take - bad) <= x <= min(good, take) and abs(x - take * good / (good + bad)) <= 10 * (take * good / (good + bad)) ** 0.5 + 10
+
+
+def test_large_draws_follow_the_exact_distribution():
+    """The sampler for populations beyond 1e9, where the exact weights can still be added up."""
+    rng = np.random.default_rng(5)
+    for good, bad, take in ((7, 9, 6), (40, 25, 30), (3, 200, 90)):
+        draws = [X.large_hypergeometric(rng, good, bad, take) for _ in range(1500)]
+        weight = {k: math.comb(good, k) * math.comb(bad, take - k) / math.comb(good + bad, take) for k in range(max(0, take - bad), min(good, take) + 1)}
+        chi = sum((draws.count(k) - 1500 * w) ** 2 / (1500 * w) for k, w in weight.items() if 1500 * w >= 5)
+        assert set(draws) <= weight.keys() and chi < 3 * len(weight) + 12
+    good, bad, take = 3 * 10**12, 7 * 10**12, 10**6
+    draws = [X.large_hypergeometric(rng, good, bad, take) for _ in range(200)]
+    spread = (take * 0.3 * 0.7) ** 0.5
+    assert abs(np.mean(draws) - 300_000) < 5 * spread / 200**0.5 and 0.75 < np.std(draws) / spread < 1.25
+    assert X.large_hypergeometric(rng, 0, 10**12, 5) == 0 and X.large_hypergeometric(rng, 10**12, 0, 5) == 5
+    assert abs(float(X._log_factorial(10**6)) - math.lgamma(10**6 + 1)) < 1e-6
