@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.scratch import numbered
+from ..plans.scratch import discard, numbered
 from .bytewords import slices
 from .common import ARROW_ROWS, batches_of, join_checked, saved, table
 
@@ -71,14 +71,32 @@ def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         inside = _WORD[part.data]
         offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         words.append(pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(_LOWER[part.data[inside]])]))
-    coded = pa.chunked_array(words, pa.large_string()).combine_chunks().dictionary_encode() if words else pa.array([], pa.large_string()).dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-    return (np.concatenate(found) if found else np.zeros(0, np.int64)), codes, coded.dictionary
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), pa.array([], pa.large_string())
+    coded = pa.chunked_array(words, pa.large_string()).combine_chunks().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    # the most frequent words get the least codes, which take less room
+    order = np.argsort(-np.bincount(codes, minlength=len(coded.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return np.concatenate(found), rank[codes], coded.dictionary.take(pa.array(order))
 
 
 def _relation_row(block: int, lang: str, at: np.ndarray, code: np.ndarray) -> pa.RecordBatch:
-    """Positions as differences and codes, four bytes each."""
-    return _batch(block=[block], lang=[lang], at=[np.diff(at, prepend=0).astype("<i4").tobytes()], code=[code.astype("<i4").tobytes()])
+    """Positions as differences, and codes."""
+    return _batch(block=[block], lang=[lang], at=[packed(np.diff(at, prepend=0))], code=[packed(code)])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^31: how many, then four planes of their bytes, of which the higher ones are mostly zeros, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    size = 4 * int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(pa.decompress(raw[8:], size, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").reshape(-1)
 
 
 def _batch(**columns: list | np.ndarray | pa.Array) -> pa.RecordBatch:
@@ -128,7 +146,9 @@ def frequent_words(relation: DataFrame, least: int) -> tuple[DataFrame, DataFram
     """(id, lang, word, f) of the words with f >= least; (lang, n) of all words."""
     counts = relation.where("local is not null").groupBy("lang", "word").agg(F.sum("n").alias("f"))
     counts = saved(counts)
-    return saved(numbered(counts.where(F.col("f") >= least))), saved(counts.groupBy("lang").agg(F.sum("f").alias("n")))
+    words, totals = saved(numbered(counts.where(F.col("f") >= least))), saved(counts.groupBy("lang").agg(F.sum("f").alias("n")))
+    discard(counts)
+    return words, totals
 
 
 def frequent_groups(relation: DataFrame, least: int) -> DataFrame:
@@ -143,8 +163,8 @@ def next_relation(relation: DataFrame, groups: DataFrame, on: list[str], last: C
     on: the columns that identify a group. last: the id of a frequent group's last word. The rows of the result
     are like those of the relation: (block, lang, at, code) and, for each group of a block, (block, local, first, last, n).
     """
-    here = join_checked(relation.where("local is not null").select("block", "local", *on), groups.select(*on, "id", last.alias("last_id")), on)
-    known = here.groupBy("block").agg(F.collect_list(F.struct("local", "id", "last_id")).alias("known"))
+    here = join_checked(relation.where("local is not null").select("block", "local", *on), groups.select(*on, "id", last.alias("last_id")), on, "left")
+    known = here.groupBy("block").agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("local", "id", "last_id"))).alias("known")).where(F.size("known") > 0)
     known = known.select("block", *[F.col(f"known.{c}").alias(c) for c in ("local", "id", "last_id")])
     rows = relation.where("at is not null").select("block", "lang", "at", "code").hint("merge").join(known, "block")
 
@@ -153,7 +173,7 @@ def next_relation(relation: DataFrame, groups: DataFrame, on: list[str], last: C
             for i in range(batch.num_rows):
                 block, lang, at, code = (batch.column(c)[i].as_py() for c in range(4))
                 local, ids, last_ids = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(4, 7))
-                yield from extended(block, lang, np.cumsum(np.frombuffer(at, "<i4").astype(np.int64)), np.frombuffer(code, "<i4"), local, ids, last_ids)
+                yield from extended(block, lang, np.cumsum(unpacked(at), dtype=np.int32), unpacked(code), local, ids, last_ids)
 
     # a row holds a whole block
     with batches_of(relation.sparkSession, 1):
@@ -162,20 +182,29 @@ def next_relation(relation: DataFrame, groups: DataFrame, on: list[str], last: C
 
 def extended(block: int, lang: str, at: np.ndarray, code: np.ndarray, local: np.ndarray, ids: np.ndarray, last_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Steps 2 and 3 for one block. local: the codes that are frequent in it, with their groups' and last words' ids."""
-    place = np.full(int(max(code.max(), local.max())) + 1, -1, np.int64)
-    place[local] = np.arange(len(local))
+    # numbers of a block fit four bytes; only pairs of them need eight
+    place = np.full(int(max(code.max(), local.max())) + 1, -1, np.int32)
+    place[local] = np.arange(len(local), dtype=np.int32)
     group = place[code]
-    at, group = at[group >= 0], group[group >= 0]
+    known = group >= 0
+    at, group = at[known], group[known]
     meets = at[1:] == at[:-1] + 1
-    first, then, at = group[:-1][meets], group[1:][meets], at[:-1][meets]
+    at = at[:-1][meets]
     if not len(at):
         return
     word_ids, word = np.unique(last_ids, return_inverse=True)
-    pairs, code, n = np.unique(first * len(word_ids) + word[then], return_inverse=True, return_counts=True)
+    key = group[:-1][meets].astype(np.int64) * len(word_ids) + word[group[1:][meets]]
+    del group, meets, known
+    pairs, code, n = np.unique(key, return_inverse=True, return_counts=True)
+    del key
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    code = rank[code]
     yield _relation_row(block, lang, at, code)
     for a in range(0, len(pairs), 1 << 17):
         part = pairs[a : a + (1 << 17)]
-        yield _batch(block=_constant(block, len(part), pa.int64()), local=np.arange(a, a + len(part), dtype=np.int32), first=ids[part // len(word_ids)], last=word_ids[part % len(word_ids)], n=n[a : a + len(part)])
+        yield _batch(block=_constant(block, len(part), pa.int64()), local=rank[a : a + len(part)], first=ids[part // len(word_ids)], last=word_ids[part % len(word_ids)], n=n[a : a + len(part)])
 
 
 def frequent_phrases(docs: DataFrame, spec: Mining) -> tuple[DataFrame, DataFrame]:
@@ -185,7 +214,8 @@ def frequent_phrases(docs: DataFrame, spec: Mining) -> tuple[DataFrame, DataFram
     level = words.select("id", F.array("id").alias("words"), F.col("word").alias("phrase"), "lang", "f", F.lit(1).alias("k"))
     levels, groups, on, last = [level], words, ["lang", "word"], F.col("id")
     for k in range(2, spec.longest + 1):
-        relation = next_relation(relation, groups, on, last)
+        relation, done = next_relation(relation, groups, on, last), relation
+        discard(done)
         groups, on, last = frequent_groups(relation, spec.least), ["first", "last"], F.col("last")
         before = level.select(F.col("id").alias("first"), "words", "phrase", "lang")
         ends = words.select(F.col("id").alias("last"), "word")
@@ -193,6 +223,7 @@ def frequent_phrases(docs: DataFrame, spec: Mining) -> tuple[DataFrame, DataFram
             groups.hint("merge").join(before, "first").hint("merge").join(ends, "last")
             .select("id", F.concat("words", F.array("last")).alias("words"), F.concat_ws(" ", "phrase", "word").alias("phrase"), "lang", "f", F.lit(k).alias("k")))
         levels.append(level)
+    discard(relation)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
