@@ -110,6 +110,11 @@ def withdraw(contributions: DataFrame, source_id: str) -> DataFrame:
     return contributions.where(F.col("source_id") != source_id)
 
 
+def removable_sources(contributions: DataFrame) -> DataFrame:
+    """(source_id, removable, triples): sources, and whether withdraw() takes them."""
+    return contributions.groupBy("source_id").agg(F.count("*").alias("triples")).select("source_id", F.col("source_id").startswith(REMOVABLE).alias("removable"), "triples")
+
+
 def withdrawn_triples(contributions: DataFrame, source_id: str, base: DataFrame | None = None) -> DataFrame:
     """Triples that vanish with the source: no other source and no base has them."""
     return except_triples(contributions.where(F.col("source_id") == source_id), graph(withdraw(contributions, source_id), base))

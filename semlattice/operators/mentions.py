@@ -1,20 +1,31 @@
 """Which entities and classes texts mention.
 
-Labels are found without a theta join: substrings of the lengths that labels have are cut at
-the label's own word starts, lower-cased, and equi-joined with the dictionary; accepted spans
-are folded per text, longest first.
+Labels are found without a theta join: by an automaton over all of them where their counted
+number and bytes are small, else by pieces of the labels' lengths that are cut where a label's first
+characters stand and equi-joined with the dictionary. Accepted spans are folded per text, longest first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.config import Namespaces
-from ..plans.scratch import join_checked
+from ..plans.scratch import join_checked, saved
 from .graph import canonical_of, labels, least_class, types
 
+try:
+    import ahocorasick
+except ImportError:  # joins find the same places
+    ahocorasick = None
+
+#: Most keys, and bytes of keys, of an automaton: some hundred MB in a Python worker.
+AUTOMATON_KEYS, AUTOMATON_BYTES = 200_000, 16 << 20
+
 # Chinese names of institutions with their English name and country.
 INSTITUTION_ALIASES = {
     "清华大学": ("Tsinghua University", "CN"), "北京大学": ("Peking University", "CN"), "浙江大学": ("Zhejiang University", "CN"), "复旦大学": ("Fudan University", "CN"),
@@ -84,6 +95,45 @@ def with_aliases(entries: DataFrame, t: DataFrame, aliases: DataFrame, cls: str
 def candidate_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """(text_id, h, key, start, end): every place of a key in a text, upper and lower case alike. h: a hash that parts texts of one text_id.
 
+    Keys of at most AUTOMATON_KEYS and AUTOMATON_BYTES, which are counted, make up one automaton that
+    is broadcast and run over the texts where they are: only places of whole keys become rows. More keys
+    are found by joins, see joined_spans().
+    """
+    distinct = saved(keys.where(F.length("key") >= 2).select(F.lower("key").alias("key")).distinct())
+    n, size = distinct.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    if ahocorasick is None or n > AUTOMATON_KEYS or size > AUTOMATON_BYTES:
+        return joined_spans(texts, distinct)
+    return automaton_spans(texts, [r["key"] for r in distinct.collect()])
+
+
+def automaton_spans(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """candidate_spans() of keys that fit one automaton; their number and bytes are the caller's to bound."""
+    words = texts.sparkSession.sparkContext.broadcast(list(keys))
+    kind = dict(texts.dtypes)["text_id"]
+    low = F.lower("text")
+    rows = texts.where("text is not null").select("text_id", F.xxhash64(low).alias("h"), low.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for w in words.value:
+            automaton.add_word(w, w)
+        if not len(automaton):
+            return
+        automaton.make_automaton()
+        for batch in batches:
+            which, found, start, end = [], [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for last, key in automaton.iter(text):
+                    which.append(i), found.append(key), start.append(last + 2 - len(key)), end.append(last + 2)
+            at = pa.array(which, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["text_id", "h", "key", "start", "end"])
+
+    return rows.mapInArrow(run, f"text_id {kind}, h long, key string, start int, end int").distinct()
+
+
+def joined_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """candidate_spans() of any number of keys.
+
     The first two characters of the keys, with the lengths that follow them, lead to the
     possible places, before any longer piece is cut: only there pieces of these lengths are
     cut from the text and equi-joined with the keys. Tables are broadcast only if they are small.

@@ -228,6 +228,12 @@ def numeric_summary(t: DataFrame, canonical: DataFrame, cls: str, prop: str, top
     return named(canonical_of(t, canonical, "s"), best, "s").select("s", "name", "value").orderBy(F.desc("value"), "s")
 
 
+def numeric_total(t: DataFrame, canonical: DataFrame, cls: str, prop: str) -> DataFrame:
+    """One row (total): canonical entities that numeric_summary() ranks."""
+    values = of(t, prop).where(F.col("o").try_cast("double").isNotNull()).select(F.col("s").alias("raw")).distinct()
+    return members(t, canonical, cls).join(values, "raw").agg(F.count_distinct("s").alias("total"))
+
+
 def field_matches(t: DataFrame, term: str, cls: str = "Field") -> DataFrame:
     """(s): fields whose name, Chinese name or decoded id contains the term."""
     typed = types(t).where(F.col("class") == cls).select("s")
@@ -243,8 +249,13 @@ def year_distribution(t: DataFrame, cls: str = "Publication", field: str | None
         mine = mine.join(pubs.select(F.col("pub").alias("s")).distinct(), "s", "left_semi")
     if field is not None:
         mine = mine.join(of(t, relation).join(field_matches(t, field).select(F.col("s").alias("o")), "o", "left_semi").select("s").distinct(), "s", "left_semi")
+    return mine.join(work_years(t, cls), "s").groupBy("year").agg(F.count("*").alias("n")).orderBy("year")
+
+
+def work_years(t: DataFrame, cls: str = "Publication") -> DataFrame:
+    """(s, year): entities of the class with their least whole-number year."""
     year = of(t, "year").select("s", F.when(F.col("o").rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim("o").try_cast("int")).alias("year")).where("year is not null").groupBy("s").agg(F.min("year").alias("year"))
-    return mine.join(year, "s").groupBy("year").agg(F.count("*").alias("n")).orderBy("year")
+    return year.join(types(t).where(F.col("class") == cls).select("s"), "s", "left_semi")
 
 
 def most_published(t: DataFrame, role: str, top: int, within: str | None = None, **classes: str) -> DataFrame:
@@ -279,11 +290,12 @@ def papers_per_field(t: DataFrame, relation: str = "belongsToField") -> DataFram
 
 
 def companies_in_industry(t: DataFrame, term: str, top: int = 20) -> DataFrame:
-    """(s, name, revenue, employees): companies of industries whose name has the term, most revenue first, unknown last."""
+    """(s, name, revenue, employees, total, has_more): companies of industries whose name has the term, most revenue first, unknown last."""
     industries = labels(t).where(holds(F.col("label"), F.lit(term))).join(types(t).where("class = 'Industry'").select("s"), "s", "left_semi").select(F.col("s").alias("o")).distinct()
     companies = of(t, "belongsToIndustry").join(industries, "o", "left_semi").select("s").distinct()
     largest = lambda p: of(t, p).groupBy("s").agg(F.max(F.col("o").try_cast("double")).alias(p))
-    return called(companies, t).join(largest("revenue"), "s", "left").join(largest("employees"), "s", "left").select("s", "name", "revenue", "employees").orderBy(F.desc_nulls_last("revenue"), "s").limit(top)
+    listed = called(companies, t).join(largest("revenue"), "s", "left").join(largest("employees"), "s", "left").select("s", "name", "revenue", "employees")
+    return page(listed, [F.desc_nulls_last("revenue"), "s"], top)
 
 
 def industry_members(t: DataFrame, canonical: DataFrame, industry: str) -> DataFrame:
@@ -298,20 +310,20 @@ def industry_members(t: DataFrame, canonical: DataFrame, industry: str) -> DataF
 
 
 def field_members(t: DataFrame, canonical: DataFrame, field: str, classes: Sequence[str] = (), shown: int = 30) -> DataFrame:
-    """(s, class, name): what belongs to a field, of the asked classes if any, first by id."""
+    """(s, class, name, total, has_more): what belongs to a field, of the asked classes if any, first by id."""
     mine = reverse_related(t, canonical, "belongsToField").where(F.col("target") == field).join(members(t, canonical).select("s", "class").distinct(), "s")
     mine = mine.where(F.col("class").isin(*classes)) if classes else mine
-    return called(mine, canonical_of(t, canonical, "s")).select("s", "class", "name").orderBy("s", "class").limit(shown)
+    return page(called(mine, canonical_of(t, canonical, "s")).select("s", "class", "name"), ["s", "class"], shown)
 
 
 def scholars_query(t: DataFrame, institution: str | None = None, field: str | None = None, limit: int = 15) -> DataFrame:
-    """(s, name): scholars by parts of an institution's or a field's name."""
+    """(s, name, total, has_more): scholars by parts of an institution's or a field's name."""
     out = types(t).where("class = 'Scholar'").select("s")
     for term, relation in ((institution, "affiliatedWith"), (field, "belongsToField")):
         if term is not None:
             ends = labels(t).where(holds(F.col("label"), F.lit(term))).select(F.col("s").alias("o")).distinct()
             out = out.join(of(t, relation).join(ends, "o", "left_semi").select("s").distinct(), "s", "left_semi")
-    return called(out.distinct(), t).orderBy("s").limit(limit)
+    return page(called(out.distinct(), t), ["s"], limit)
 
 
 def class_names(t: DataFrame, cls: str = "Industry") -> DataFrame:

@@ -123,3 +123,81 @@ def summaries(results: DataFrame, shown: int = 15, called_by: dict[str, str] | N
     some = F.array_join("some", "、")
     text = F.when(F.col("n") == 0, F.when(what == "found", "nothing found").otherwise(F.concat(F.lit("no "), what))).when(F.col("n") > shown, F.format_string("%d %s, %d shown: %s", "n", what, F.lit(shown), some)).otherwise(F.format_string("%d %s: %s", "n", what, some))
     return counted.select("text_id", "intent", text.alias("summary"))
+
+
+# ---- trends, rankings and overviews
+
+#: The class whose property a metric is.
+METRIC_CLASS = {"revenue": "Company", "employees": "Company", "cited_by_count": "Publication", "hIndex": "Institution"}
+#: Relations that a ranking counts, by the class that is ranked: (subjects, relation).
+COUNTED = {"Institution": ("Scholar", "affiliatedWith"), "Company": ("Company", "belongsToIndustry"), "Field": ("Publication", "belongsToField")}
+COUNTED_OBJECT = {"Institution": "Institution", "Company": "Industry", "Field": "Field"}
+
+
+def counted_results(routed: DataFrame, t: DataFrame, canonical: DataFrame, top: int = 30) -> DataFrame:
+    """(text_id, intent, nr, name, value, total): numbered rows of the questions that ask for trends, ranks or an overview.
+
+    trend: publications by year, of those in all of the question's scopes, of all where it has none. numeric_rank:
+    the largest values of the metric. relation_rank: institutions by publications if the question names both, else
+    the class it names (institutions if none) by its relation. overview: entities of each class. total: all rows
+    there are, of which rankings show `top`. A ranking is computed once, however many questions ask for it.
+    """
+    of_kind = lambda kind: routed.where(F.col("intent") == kind)
+    parts = []
+    # trends
+    trend = saved(of_kind("trend").select("text_id", F.explode_outer("scopes").alias("entity")))
+    known = saved(types(t).where(F.col("class").isin("Scholar", "Institution", "Field")).select(F.col("s").alias("entity")).distinct())
+    scoped = saved(trend.hint("merge").join(known, "entity", "left_semi").select(F.col("text_id").alias("question"), "entity"))
+    works = query.in_all_scopes(query.publications_for(t), scoped).select(F.col("question").alias("text_id"), F.col("pub").alias("s"))
+    years = saved(query.work_years(t))
+    by_scope = works.hint("merge").join(years, "s").groupBy("text_id", "year").agg(F.count("*").alias("value"))
+    unscoped = trend.select("text_id", F.lit("trend").alias("intent")).distinct().hint("merge").join(scoped.select(F.col("question").alias("text_id")).distinct(), "text_id", "left_anti")
+    everything = saved(years.groupBy("year").agg(F.count("*").alias("value")).withColumn("intent", F.lit("trend")))
+    # years: at most one row for each year
+    in_years = by_scope.unionByName(unscoped.join(F.broadcast(everything), "intent").select("text_id", "year", "value"))
+    of_question = W.partitionBy("text_id")
+    parts.append(in_years.select("text_id", F.lit("trend").alias("intent"), F.row_number().over(of_question.orderBy("year")).alias("nr"), F.col("year").cast("string").alias("name"), F.col("value").cast("double").alias("value"), F.count("*").over(of_question).alias("total")))
+    # numeric ranks: one ranking for each metric that is asked for
+    for (metric,) in sorted(tuple(r) for r in of_kind("numeric_rank").select("metric").distinct().where("metric is not null").collect()):
+        ranking = query.numeric_summary(t, canonical, METRIC_CLASS[metric], metric, top)
+        total = query.numeric_total(t, canonical, METRIC_CLASS[metric], metric)
+        parts.append(_asked(of_kind("numeric_rank").where(F.col("metric") == metric), ranking.select("s", "name", "value"), total))
+    # relation ranks: which ranking a question means
+    both = F.array_contains("classes", "Publication") & F.array_contains("classes", "Institution")
+    kind = F.when(both, "publications")
+    for cls in COUNTED:
+        kind = kind.when(F.array_contains("classes", cls), cls)
+    asked = saved(of_kind("relation_rank").withColumn("kind", kind.otherwise("Institution")))
+    for (name,) in sorted(tuple(r) for r in asked.select("kind").distinct().collect()):
+        if name == "publications":
+            ranking = query.institution_ranking(t, top).select(F.col("entity").alias("s"), "name", F.col("n").alias("value"))
+            total = query.members(t, canonical, "Institution").agg(F.countDistinct("raw").alias("total"))
+        else:
+            counts = saved(query.count_by_relation(t, canonical, COUNTED[name][0], COUNTED[name][1], COUNTED_OBJECT[name]))
+            ranking, total = counts.orderBy(F.desc("n"), "target").limit(top).select(F.col("target").alias("s"), "name", F.col("n").alias("value")), counts.agg(F.count("*").alias("total"))
+        parts.append(_asked(asked.where(F.col("kind") == name), ranking, total))
+    # overview: at most one row for each class
+    classes = types(t).groupBy("class").agg(F.count("*").alias("value"))
+    parts.append(_asked(of_kind("overview"), classes.select(F.col("class").alias("s"), F.col("class").alias("name"), "value").orderBy("s").limit(1000), classes.agg(F.count("*").alias("total")), by_value=False))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _asked(questions: DataFrame, ranking: DataFrame, total: DataFrame, by_value: bool = True) -> DataFrame:
+    """Every question with every row of one short ranking (s, name, value), which is written once and broadcast."""
+    order = W.orderBy(F.desc("value"), "s") if by_value else W.orderBy("s")
+    rows = saved(ranking.withColumn("nr", F.row_number().over(order)).join(F.broadcast(total), how="cross"))  # rows of a limit, and one row
+    intent = questions.select("intent").distinct()  # one
+    return questions.select("text_id", "intent").join(F.broadcast(rows.join(F.broadcast(intent), how="cross")), "intent").select("text_id", "intent", "nr", "name", F.col("value").cast("double").alias("value"), "total")
+
+
+def counted_summaries(counted: DataFrame, shown: int = 15) -> DataFrame:
+    """(text_id, intent, summary) of counted_results(): years with their sum, ranks and classes with their number, up to `shown` in order."""
+    number = lambda c: F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
+    listed = counted.where((F.col("nr") <= shown) | (F.col("intent") == "trend")).groupBy("text_id", "intent").agg(
+        F.array_sort(F.collect_list(F.struct("nr", F.concat("name", F.lit(" ("), number(F.col("value")), F.lit(")")).alias("x")))).alias("some"), F.first("total").alias("total"), F.sum("value").alias("sum"))
+    some = F.array_join(F.transform("some", lambda x: x["x"]), "、")
+    text = F.when(F.col("intent") == "trend", F.format_string("%d years, %s records: %s", "total", number(F.col("sum")), some)).when(F.col("intent") == "overview", F.format_string("%d classes: %s", "total", some))
+    return listed.select("text_id", "intent", text.otherwise(F.format_string("%d ranked, %d shown: %s", "total", F.size("some"), some)).alias("summary"))

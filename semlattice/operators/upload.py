@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,9 +45,11 @@ def upload_tables(tables: Sequence[tuple[str, DataFrame]], file: str, source_id:
     catalog = spark.createDataFrame([(source_id, file, name, i, c) for name, columns in named for i, c in enumerate(columns)], "source_id string, file string, sheet string, column_idx int, column string")
     inferred = infer(catalog).collect()  # as many rows as the tables have columns
     kept, plans, warnings, reasons = [], {}, [], {}
+    seen = {i: Observation(f"upload_seen_{i}") for i in range(len(tables))}
     for i, (name, df) in enumerate(tables):
         columns = named[i][1]
         mappings, summary = mappings_of([r for r in inferred if r["sheet"] == (name or "")], options.include_unmapped)
+        df = df.observe(seen[i], F.count(F.lit(1)).alias("n"))
         rows = drop_empty_rows(df, columns) if options.skip_empty else df
         if summary["class"] == "GenericRecord" and not options.allow_generic:
             reasons[i] = "no known class"
@@ -56,8 +58,10 @@ def upload_tables(tables: Sequence[tuple[str, DataFrame]], file: str, source_id:
         warnings += bad
         kept.append((i, name, drop_blank_keys(rows, summary["id_column"]) if options.skip_empty else rows, summary["id_column"]))
     parts, used = [source_triples(spark, source_id, file)], {}
+    # the rows that pass are counted by the job that writes them, which reads each input once
+    passed = {i: Observation(f"upload_passed_{i}") for i, _, _, _ in kept}
     if kept:
-        rows = sheets([(str(i), df) for i, _, df, _ in kept])
+        rows = saved(sheets([(str(i), df.observe(passed[i], F.count(F.lit(1)).alias("n"))) for i, _, df, _ in kept]))
         within = saved(within_quota(rows, options.max_rows))
         used = {r["sheet"]: r["n"] for r in within.groupBy("sheet").agg(F.count("*").alias("n")).collect()}  # one row a table
         for i, _, df, key in kept:
@@ -66,10 +70,11 @@ def upload_tables(tables: Sequence[tuple[str, DataFrame]], file: str, source_id:
             mine = within.where(F.col("sheet") == str(i)).withColumn("nr", F.row_number().over(W.orderBy("row_idx"))).select("nr", *own)
             fixed = unique_keys(mine, key, "nr").drop("nr")
             parts += [apply_mapping(fixed, m, source_id, ontology) for m in plans[i]]
-    counted = {i: df.count() for i, (_, df) in enumerate(tables)}
-    passed = {i: df.count() for i, _, df, _ in kept}
+    through = {i: o.get["n"] for i, o in passed.items()}
+    # tables that are refused are in no written pass
+    counted = {i: seen[i].get["n"] if i in passed else tables[i][1].count() for i in range(len(tables))}
     report = spark.createDataFrame(
-        [(name, counted[i], used.get(str(i), 0), counted[i] - passed.get(i, 0), passed.get(i, 0) - used.get(str(i), 0), reasons.get(i)) for i, (name, _) in enumerate(tables)],
+        [(name, counted[i], used.get(str(i), 0), counted[i] - through.get(i, 0), through.get(i, 0) - used.get(str(i), 0), reasons.get(i)) for i, (name, _) in enumerate(tables)],
         "table string, rows_in long, rows_used long, rows_filtered long, rows_truncated long, reason string",
     )
     return contribute(union(parts), source_id, owner, partition_id), report, warnings

@@ -182,7 +182,7 @@ def merged_numeric_summary(spark, sf_dir):
     return query.numeric_summary(t, canonical, "Company", "revenue")
 
 
-@registered(_M + "SELECT s, 'Company' AS class, min(n) AS name FROM m WHERE seg = 'FURNITURE' GROUP BY s ORDER BY s, class LIMIT 30")
+@registered(_M + "SELECT s, 'Company' AS class, min(n) AS name, count(*) OVER () AS total, count(*) OVER () > 30 AS has_more FROM m WHERE seg = 'FURNITURE' GROUP BY s ORDER BY s, class LIMIT 30")
 def merged_field_members(spark, sf_dir):
     """Segments as fields: members of one, of the asked class."""
     t, canonical = merged(spark, sf_dir)

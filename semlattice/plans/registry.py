@@ -12,7 +12,7 @@ from ..operators import biblio, equivalence, graph, lifecycle, mapping, mentions
 from ..operators.components import components
 from ..sources.tables import decode_nodes, encode_nodes, parse_ntriples, to_ntriples
 from .config import EntityMapping, Property
-from . import intake, merged, stored as stored_forms  # noqa: F401  they register their queries
+from . import files, intake, merged, stored as stored_forms  # noqa: F401  they register their queries
 from .register import QUERIES, SQL, Query, registered
 from .scratch import saved
 from .tables import CUSTOMER, NATION, rows, table, triples
@@ -279,7 +279,7 @@ def query_relation(spark, sf_dir):
 
 
 @registered("""
-  SELECT 'su_' || s_suppkey AS s, s_name AS name, s_acctbal AS revenue, CAST(NULL AS DOUBLE) AS employees FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  SELECT 'su_' || s_suppkey AS s, s_name AS name, s_acctbal AS revenue, CAST(NULL AS DOUBLE) AS employees, count(*) OVER () AS total, count(*) OVER () > 20 AS has_more FROM supplier JOIN nation ON s_nationkey = n_nationkey
   WHERE contains(lower(n_name), 'nation_1') ORDER BY revenue DESC, s LIMIT 20
 """)
 def companies_in_industry(spark, sf_dir):
@@ -295,7 +295,7 @@ def industry_members(spark, sf_dir):
     return query.industry_members(t, query.no_merges(t), "ind_NATION_3").select("s", "name", "revenue", "n", "raw_n")
 
 
-@registered("SELECT 'cu_' || c_custkey AS s, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_2') ORDER BY s LIMIT 15")
+@registered("SELECT 'cu_' || c_custkey AS s, c_name AS name, count(*) OVER () AS total, count(*) OVER () > 15 AS has_more FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(n_name), 'nation_2') ORDER BY s LIMIT 15")
 def scholars_query(spark, sf_dir):
     return query.scholars_query(stored(triples(spark, sf_dir, "nation", "customer", only=("type", "name", "affiliatedWith"))), institution="nation_2")
 
@@ -406,14 +406,10 @@ def mentions_longest(spark, sf_dir):
   SELECT DISTINCT doc_id AS text_id, 'b_' || item_id AS s FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text))
 """)
 def benchmark_mentions(spark, sf_dir):
-    """Items whose whole text stands in a document, as dictionary labels. Labels are looked up by their first ten words' start."""
+    """Items whose whole text stands in a document, as dictionary labels."""
     b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b_"), "item_id").alias("s"), F.lower("text").alias("key"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text"))
-    # the item's first twelve characters, as candidate places, by an equi-join
-    lead = F.substring("key", 1, 12)
-    places = d.select("text_id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 11, F.lit(1))), lambda i: F.substr("text", i, F.lit(12)))).alias("lead")).distinct()
-    near = places.hint("merge").join(b.withColumn("lead", lead), "lead").select("text_id", "s", "key")
-    return near.hint("merge").join(d, "text_id").where(F.contains("text", "key")).select("text_id", "s").distinct()
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return mentions.candidate_spans(d, b).select("text_id", "key").distinct().hint("merge").join(b, "key").select("text_id", "s").distinct()
 
 
 @registered(None)

@@ -238,8 +238,8 @@ def distinct_without_sources(spark, sf_dir):
 
 
 @registered("""
-  WITH x AS (SELECT p_brand, l_orderkey, bool_and(l_linenumber = 1) AS only FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)
-  SELECT p_brand, count(*) AS n FROM x WHERE only GROUP BY p_brand
+  WITH x AS (SELECT p_brand, l_orderkey, bool_and(l_linenumber = 1) AS alone FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)
+  SELECT p_brand, count(*) AS n FROM x WHERE alone GROUP BY p_brand
 """)
 def distinct_that_vanish(spark, sf_dir):
     return bitmaps.vanishing_counts(_order_bitmaps(spark, sf_dir), ["p_brand"], "1")

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.config import TRIPLE_COLUMNS, Namespaces
+from ..plans.scratch import saved
 
 #: Kind by file extension.
 KINDS = {"csv": "csv", "tsv": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet", "txt": "text", "md": "text", "nt": "ntriples"}
@@ -40,6 +42,23 @@ def read(spark: SparkSession, location: str, kind: str | None = None, schema: st
     raise ValueError(f"no reader for {location}")
 
 
+def read_checked(spark: SparkSession, location: str, kind: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a file with one record a line, and the records that don't fit the schema: (row_idx, record).
+
+    kind: csv (with a header) or jsonl. A record that is broken, or of which a value has another type, is rejected
+    as a whole and kept as it stands, with its file and place; the others go on. Both come from one pass that is written.
+    """
+    shape = StructType.fromDDL(f"{schema}, bad_record string")
+    if kind_of(location, kind) == "csv":
+        rows = spark.read.schema(shape).options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="bad_record", escape='"', encoding="UTF-8", enforceSchema=True).csv(location)
+    elif kind_of(location, kind) == "jsonl":
+        rows = spark.read.schema(shape).options(mode="PERMISSIVE", columnNameOfCorruptRecord="bad_record").json(location)
+    else:
+        raise ValueError(f"no records in {kind}")
+    kept = saved(with_row_order(rows))
+    return kept.where("bad_record is null").drop("bad_record", "row_idx"), kept.where("bad_record is not null").select("row_idx", F.col("bad_record").alias("record"))
+
+
 def tidy(df: DataFrame) -> DataFrame:
     """NaN becomes null."""
     return df.select([F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
@@ -114,9 +133,15 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> No
 # ---- RDF
 
 
+#: What an address must not hold as it stands.
+_NOT_IN_IRI = r"[\x00-\x20<>\"{}|^`\\]"
+
+
 def _iri(c: Column, namespace: str) -> Column:
-    """Full addresses stay; other values get the namespace."""
-    return F.concat(F.lit("<"), F.when(c.contains("://"), c).otherwise(F.concat(F.lit(namespace), c)), F.lit(">"))
+    """Full addresses stay; other values get the namespace. Characters that an address must not hold are escaped."""
+    escaped = F.array_join(F.transform(F.split(c, ""), lambda x: F.when(x.rlike(_NOT_IN_IRI), F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(x)), 4, "0"))).otherwise(x)), "")
+    whole = F.when(c.rlike(_NOT_IN_IRI), escaped).otherwise(c)
+    return F.concat(F.lit("<"), F.when(c.contains("://"), whole).otherwise(F.concat(F.lit(namespace), whole)), F.lit(">"))
 
 
 def _escaped(c: Column) -> Column:
@@ -126,10 +151,32 @@ def _escaped(c: Column) -> Column:
 
 
 def _unescaped(c: Column) -> Column:
-    c = F.replace(c, F.lit("\\\\"), F.lit("\u0001"))
-    for old, new in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return F.replace(c, F.lit("\u0001"), F.lit("\\"))
+    """Escapes one by one from the left: a backslash and a sign, or the number of a character."""
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)((?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\)"), F.lit(1))
+    signs = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
+
+    def plain(x: Column) -> Column:
+        out = F.when(~x.startswith("\\"), x)
+        # several numbers may be the two halves of one character
+        out = out.when(x.rlike(r"^\\u"), F.decode(F.unhex(F.replace(x, F.lit("\\u"), F.lit(""))), "UTF-16BE"))
+        out = out.when(x.rlike(r"^\\U"), F.decode(F.unhex(F.substr(x, F.lit(3))), "UTF-32"))
+        for sign, value in signs.items():
+            out = out.when(x == "\\" + sign, F.lit(value))
+        return out.otherwise(F.substr(x, F.lit(2)))
+
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(parts, plain), "")).otherwise(c)
+
+
+def _marked(c: Column) -> Column:
+    """A line with the characters that no line holds in place of an escaped backslash and an escaped quote, so that literals end at the next quote.
+
+    A pattern without alternatives takes long texts in a loop, where Java's would take them in a recursion.
+    """
+    return F.replace(F.replace(c, F.lit("\\\\"), F.lit("\n")), F.lit('\\"'), F.lit("\r"))
+
+
+def _restored(c: Column) -> Column:
+    return F.replace(F.replace(c, F.lit("\n"), F.lit("\\\\")), F.lit("\r"), F.lit('\\"'))
 
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -152,11 +199,13 @@ def write_ntriples(triples: DataFrame, path: str, ns: Namespaces = Namespaces())
 
 def parse_ntriples(lines: DataFrame, ns: Namespaces = Namespaces()) -> tuple[DataFrame, DataFrame]:
     """Triples, and the lines (column value) that are none: rejected, not skipped silently."""
-    pattern = r'^\s*(<[^<>"{}|^`\\\s]*>|_:\S+)\s+<([^<>"{}|^`\\\s]*)>\s+(?:<([^<>"{}|^`\\\s]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^<>\s]*)>|@([A-Za-z0-9\-]+))?)\s*\.\s*$'
-    part = lambda i: F.regexp_extract("value", pattern, i)
-    local = lambda c: F.when(c.startswith(ns.resource), F.substr(c, F.lit(len(ns.resource) + 1))).when(c.startswith(ns.ontology), F.substr(c, F.lit(len(ns.ontology) + 1))).otherwise(c)
+    address = r'[^<>"{}|^`\x00-\x20]*'
+    pattern = rf'(?s)^[ \t]*(<{address}>|_:\S+)[ \t]+<({address})>[ \t]+(?:<({address})>|(_:\S+)|"([^"]*)"(?:\^\^<([^<>\s]*)>|@([A-Za-z0-9\-]+))?)[ \t]*\.[ \t]*$'
+    part = lambda i: _restored(F.regexp_extract(_marked(F.col("value")), pattern, i))
+    local = lambda c: local_of(_unescaped(c))
+    local_of = lambda c: F.when(c.startswith(ns.resource), F.substr(c, F.lit(len(ns.resource) + 1))).when(c.startswith(ns.ontology), F.substr(c, F.lit(len(ns.ontology) + 1))).otherwise(c)
     rows = lines.where("trim(value) <> '' and not ltrim(value) like '#%'")
-    good = F.col("value").rlike(pattern)
+    good = _marked(F.col("value")).rlike(pattern)
     subject = F.regexp_replace(part(1), "^<|>$", "")
     kind = F.when(part(3) != "", "uri").when(part(4) != "", "blank").otherwise("literal")
     triples = rows.where(good).select(

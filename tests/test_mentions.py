@@ -54,3 +54,17 @@ def test_keyword_and_summary(spark, rows):
     got = dict((r["text_id"], r["summary"]) for r in R.summaries(names).collect())
     assert got[2] == "1 found: only" and got[1].startswith("20 found, 15 shown: n00、")
     assert M.class_mentions(_texts(spark, "大学里的学者")).first()["classes"] == ["Scholar", "Institution"]
+
+
+def test_both_ways_find_the_same_places(spark, rows, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    pool = ["alpha", "alphabet", "bet", "数据", "数据集", "İx", "🙂ab", "a b", "ab", "aa"]
+    texts = spark.createDataFrame([(i, "".join(r.choice(pool + [" ", "A", "b"]) for _ in range(r.randint(0, 30)))) for i in range(40)] + [(1, None), (2, "")], "text_id int, text string")
+    keys = spark.createDataFrame([(k,) for k in [*pool, "Alpha", "x", None, "aa"]], "key string")
+    by_automaton = rows(M.candidate_spans(texts, keys))
+    assert by_automaton == rows(M.joined_spans(texts, keys.where("length(key) > 1").selectExpr("lower(key) key").distinct())) and len(by_automaton) > 100
+    monkeypatch.setattr(M, "AUTOMATON_KEYS", 3)
+    assert rows(M.candidate_spans(texts, keys)) == by_automaton
+    assert M.candidate_spans(texts, keys.where("false")).count() == 0

@@ -59,3 +59,55 @@ def test_validity_and_rules(spark):
     assert tuple(quality.report(found.where("false")).first()) == (True, 0)
     good, bad = quality.split_valid(t.unionByName(spark.createDataFrame([('"x"', "p", "o", "uri", None, None), (None, "p", "o", "uri", None, None)], TRIPLES)))
     assert good.count() == 8 and bad.count() == 2
+
+
+ODD = ["", " ", "a", 'q"\\', "\\n", "line\nfeed\r\t", "\x01\\", "\\u0041", "\\\\u00e9", "é数🙂", "\x85 ", "a;b,c.", "'", "^^<x>", '"@en', "#", "<>{}|^`", "r:x", "_:y", "ends\\"]
+
+
+def odd_triples(spark):
+    literals = [(f"s{i % 4}", "name", o, "literal", None, None) for i, o in enumerate(ODD)] + [("s1", "name", o, "literal", None, "en") for o in ODD[:9]] + [("s1", "year", "5", "literal", "integer", None)]
+    nodes = [(f"odd {c}", "knows", f"http://x/{c}", "uri", None, None) for c in ODD if c.strip() and not c.startswith("_:")]
+    return spark.createDataFrame([*literals, *nodes, ("s1", "type", "Company", "uri", None, None), ("_:b", "sameAs", "_:c1", "blank", None, None), ("s-1", "http://p/q", "x y", "uri", None, None)], TRIPLES)
+
+
+def test_all_characters_survive_ntriples_and_turtle(spark, rows, tmp_path):
+    from semlattice.sources import turtle
+
+    t = odd_triples(spark)
+    good, bad = S.parse_ntriples(S.to_ntriples(t))
+    assert rows(good) == rows(t.distinct()) and bad.count() == 0
+    for most in (1000, 3):
+        good, bad = turtle.parse_turtle(turtle.to_turtle(t, most=most))
+        assert rows(good) == rows(t.distinct()) and bad.count() == 0
+    turtle.write_turtle(t, str(tmp_path / "g"))
+    good, bad = turtle.read_turtle(spark, str(tmp_path / "g"))
+    assert rows(good) == rows(t.distinct()) and bad.count() == 0
+
+
+def test_escapes_by_number_are_read(spark):
+    lines = [r'<https://example.org/resource/café> <http://p> "é\U0001F642🙂\\u0041\b\f\'" .', r'<a> <b> "x\q" .']
+    got = [r["o"] for r in S.parse_ntriples(spark.createDataFrame([(x,) for x in lines], "value string"))[0].collect()]
+    assert got == ["é🙂🙂\\u0041\b\f'", "xq"] and S.parse_ntriples(spark.createDataFrame([(lines[0],)], "value string"))[0].first()["s"] == "café"
+
+
+def test_turtle_groups_and_prefixes(spark, rows):
+    from semlattice.sources import turtle
+
+    t = spark.createDataFrame([("a", "type", "Company", "uri", None, None), ("a", "name", "x", "literal", None, None), ("a", "name", "y", "literal", None, None)], TRIPLES)
+    assert [r["value"] for r in turtle.to_turtle(t).collect()] == ['r:a a o:Company ; o:name "x", "y" .']
+    lines = ["@prefix z: <http://z/> .", "", "# a note", 'z:a <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> z:B; z:c "1"^^<http://www.w3.org/2001/XMLSchema#integer>,"2"@de.', "nonsense here", 'r:a o:b "open .']
+    good, bad = turtle.parse_turtle(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert rows(good) == [("http://z/a", "http://z/c", "1", "literal", "integer", None), ("http://z/a", "http://z/c", "2", "literal", None, "de"), ("http://z/a", "type", "http://z/B", "uri", None, None)] and bad.count() == 2
+
+
+def test_bad_records_are_kept_apart(spark, rows, tmp_path):
+    (tmp_path / "a.csv").write_text('id,name,v\n1,"x, y",2.5\nz,broken,1\n3,three\n4,four,4,more\n5,,\n', encoding="utf-8")
+    good, bad = S.read_checked(spark, str(tmp_path / "a.csv"), "csv", "id int, name string, v double")
+    assert rows(good) == [(1, "x, y", 2.5), (5, None, None)]
+    assert [r["record"] for r in bad.orderBy("row_idx").collect()] == ["z,broken,1", "3,three", "4,four,4,more"] and bad.first()["row_idx"]["file"].endswith("a.csv")
+    (tmp_path / "b.jsonl").write_text('{"id": 1, "w": {"t": ["a", "b"]}}\n{"id": "x"\n{"id": "two"}\n{"id": 4, "w": 5}\n{"id": 6}\n')
+    good, bad = S.read_checked(spark, str(tmp_path / "b.jsonl"), "jsonl", "id int, w struct<t:array<string>>")
+    assert sorted(r["id"] for r in good.collect()) == [1, 6] and bad.count() == 3
+    (tmp_path / "e.jsonl").write_text("")
+    good, bad = S.read_checked(spark, str(tmp_path / "e.jsonl"), "jsonl", "id int")
+    assert good.count() == bad.count() == 0
