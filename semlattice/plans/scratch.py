@@ -30,10 +30,11 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
 
 
-def saved(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def saved(df: DataFrame, partition_by: str | None = None, compression: str = "snappy") -> DataFrame:
     """Writes the rows to the session's folder and reads them back, so that later reads survive any executor."""
     path = f"{folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
