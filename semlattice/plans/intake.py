@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import owner_key
-from ..operators import biblio, graph, infer, lifecycle, mapping, mentions, quality, query, routing
+from ..operators import biblio, graph, infer, lifecycle, mapping, mentions, quality, query, routing, view
 from ..operators.upload import Upload, upload_tables
 from ..sources import tables as sources
 from ..streaming import ingest
@@ -115,6 +115,22 @@ def stream_of_files(spark, sf_dir):
     return lifecycle.graph(spark.read.parquet(out)).select("s", "p", "o")
 
 
+@registered("SELECT * FROM (" + _CUSTOMER.format("(SELECT * FROM customer WHERE c_custkey % 2 = 0)", "nobody").replace("'ds_nobody'", "'ds_even'") + " UNION SELECT 'ds_even', 'type', 'DataSource' UNION SELECT 'ds_even', 'name', 'even')")
+def stream_into_view(spark, sf_dir):
+    """Two streams of files into a view with reference counts, of which one is withdrawn again with all its batches."""
+    source = table(spark, sf_dir, "customer")
+    schema = source.schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    held = view.View(spark, f"{folder(spark)}/view-{uuid.uuid4().hex}", buckets=8)
+    for name, odd in (("even", 0), ("odd", 1)):
+        fed = _path(spark, "in")
+        for part in range(2):
+            source.where((F.col("c_custkey") % 2 == odd) & (F.floor(F.col("c_custkey") / 2) % 2 == part)).coalesce(1).write.mode("append").parquet(fed)
+        ingest.append_to_view(ingest.stream_source(spark, fed, schema, maxFilesPerTrigger="1"), CUSTOMER, name, name, held, _path(spark, "checkpoint")).awaitTermination()
+    held.compact()
+    ingest.withdraw_stream(held, "odd")
+    return held.graph().select("s", "p", "o")
+
+
 # ---- inferred mappings
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.lifecycle import contribute
 from ..operators.mapping import ingest
+from ..operators.view import View
 from ..plans.config import Mapping, Ontology
 
 
@@ -28,3 +29,24 @@ def append_contributions(stream: DataFrame, mappings: Sequence[Mapping], source_
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def append_to_view(stream: DataFrame, mappings: Sequence[Mapping], source_id: str, name: str, view: View, checkpoint: str, ontology: Ontology = Ontology(), available_now: bool = True):
+    """Starts a query that adds each batch to a view with reference counts, as a source <source_id>/<batch>.
+
+    A batch that is run again after a failure replaces its own rows, so nothing is counted twice; withdraw_stream()
+    takes all of a stream's batches off again.
+    """
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        view.add(f"{source_id}/{batch_id}", ingest(batch, mappings, source_id, name, ontology))
+
+    writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def withdraw_stream(view: View, source_id: str) -> None:
+    """Withdraws all batches of a stream from the view."""
+    for source in view.sources():
+        if source.startswith(f"{source_id}/"):
+            view.withdraw(source)
