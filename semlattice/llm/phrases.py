@@ -139,7 +139,7 @@ def first_relation(docs: DataFrame) -> DataFrame:
             yield from blocks(kept, nr)
 
     with batches_of(docs.sparkSession, ARROW_ROWS):
-        return saved(rows.mapInArrow(run, _RELATION))
+        return saved(rows.mapInArrow(run, _RELATION), compression="zstd")
 
 
 def frequent_words(relation: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -177,7 +177,7 @@ def next_relation(relation: DataFrame, groups: DataFrame, on: list[str], last: C
 
     # a row holds a whole block
     with batches_of(relation.sparkSession, 1):
-        return saved(rows.select("block", "lang", "at", "code", "local", "id", "last_id").mapInArrow(run, _RELATION))
+        return saved(rows.select("block", "lang", "at", "code", "local", "id", "last_id").mapInArrow(run, _RELATION), compression="zstd")
 
 
 def extended(block: int, lang: str, at: np.ndarray, code: np.ndarray, local: np.ndarray, ids: np.ndarray, last_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
