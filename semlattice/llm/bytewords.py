@@ -39,6 +39,13 @@ def _values() -> np.ndarray:
     return values
 
 
+@cache
+def _second_values() -> np.ndarray:
+    values = mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(_BASE))
+    values[0x41:0x5B] = values[0x61:0x7B]
+    return values
+
+
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -81,6 +88,12 @@ class Words:
         start, end = self.start if start is None else start, self.end if end is None else end
         return mix((self.sums[end] - self.sums[start]) * _power_table(len(self.sums))[1][start])
 
+    def second_hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of byte ranges within words' rows, from other byte values than hashes() takes, so that both agree by chance only."""
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(_second_values()[self.data] * _power_table(len(sums))[0][: len(self.data)], out=sums[1:])
+        return mix((sums[end] - sums[start]) * _power_table(len(sums))[1][start])
+
 
 def word_hash(word: str) -> int:
     """The hash that Words.hashes gives this word."""

@@ -1,12 +1,14 @@
 """Substring duplicates by content-defined chunking with a gear rolling hash.
 
-A text is cut after words at which the gear hash of the last 32 bytes (h = 2 h + G[byte]
-modulo 2^32) falls below a bound, so cuts depend on near content only: an insertion changes
+A text is cut after words at which the gear hash of the last 16 bytes (h = 2 h + G[byte]
+modulo 2^16) falls below a bound, so cuts depend on near content only: an insertion changes
 the chunks it touches and no others. A word whose gear hash is the least of all words at most
 `near` words away ends a chunk too: so the least of each period of a repeating stretch does,
 and long stretches without a hash below the bound are cut by their content as well. There is
-no least or largest chunk, which would carry an insertion's effect further. Runs of `unit` consecutive chunks are deduplicated by digest;
-in each document, units that other documents have too are merged into spans.
+no least or largest chunk, which would carry an insertion's effect further. Runs of `unit` consecutive chunks are deduplicated by a digest
+of 96 bits from two hashes; in each document, units that other documents have too are merged into
+spans. A span ends at cuts, so it holds nearly all of a passage, and a passage must be some words
+longer than `min_words` to be found for sure; the README has the miss rate by length.
 """
 
 from __future__ import annotations
@@ -31,28 +33,32 @@ _GEAR[0x41:0x5B] = _GEAR[0x61:0x7B]
 class Chunking:
     """mean_words: of a chunk. unit: consecutive chunks that are compared as one. min_words: of a span that is reported.
 
-    near: words on either side among which a least gear hash ends a chunk.
+    near: words on either side among which a least gear hash ends a chunk. window: bytes and bits of the gear hash,
+    8, 16 or 32; with a smaller one cuts agree sooner after a passage begins.
     """
 
     mean_words: int = 4
     unit: int = 3
     min_words: int = 20
     near: int = 3
+    window: int = 16
 
 
-def gear(words: bw.Words) -> np.ndarray:
-    """The gear hash at each word's last byte, over at most 32 bytes of its own row."""
+def gear(words: bw.Words, window: int) -> np.ndarray:
+    """The gear hash at each word's last byte, over at most `window` bytes of its own row."""
     h = _GEAR[words.data]
-    for s in (1, 2, 4, 8, 16):
+    s = 1
+    while s < window:
         older = h[:-s] << np.uint32(s)
         h[s:] += older
+        s *= 2
     at = h[words.end - 1] if len(words.end) else np.zeros(0, np.uint32)
-    # what the rows before have left in the window goes out
+    # what the rows before have left goes out; bits beyond the window's hold older bytes
     begin = np.repeat(words.row_at[:-1], words.counts)
     age = words.end - begin
-    early = np.flatnonzero((age < 32) & (begin > 0))
+    early = np.flatnonzero((age < window) & (begin > 0))
     at[early] -= h[begin[early] - 1] << age[early].astype(np.uint32)
-    return at
+    return at & np.uint32((1 << window) - 1)
 
 
 def least_nearby(h: np.ndarray, words: bw.Words, near: int) -> np.ndarray:
@@ -66,14 +72,14 @@ def least_nearby(h: np.ndarray, words: bw.Words, near: int) -> np.ndarray:
     return least
 
 
-def units(words: bw.Words, spec: Chunking) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, digest, first word and end word (counted in the row) of each unit. A row of fewer chunks is one unit."""
+def units(words: bw.Words, spec: Chunking) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, both digests, first word and end word (counted in the row) of each unit. A row of fewer chunks is one unit."""
     n = len(words.start)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none.astype(np.uint64), none, none
-    h = gear(words)
-    cut = (h < np.uint32((1 << 32) // spec.mean_words)) | least_nearby(h, words, spec.near)
+        return none, none.astype(np.uint64), none.astype(np.int32), none, none
+    h = gear(words, spec.window)
+    cut = (h < np.uint32((1 << spec.window) // spec.mean_words)) | least_nearby(h, words, spec.near)
     cut[words.first[1:][words.counts > 0] - 1] = True
     last = np.flatnonzero(cut)
     first = np.concatenate([[0], last[:-1] + 1])
@@ -84,27 +90,29 @@ def units(words: bw.Words, spec: Chunking) -> tuple[np.ndarray, np.ndarray, np.n
     head = index == np.repeat(np.cumsum(chunks) - chunks, chunks)
     keep = (index + spec.unit <= to) | head
     end_chunk = np.minimum(index + spec.unit, to)[keep] - 1
-    digest = bw.mix(words.hashes(words.start[first[keep]], words.end[last[end_chunk]]) + np.minimum(spec.unit, (to - index)[keep]).astype(np.uint64))
+    begin, end = words.start[first[keep]], words.end[last[end_chunk]]
+    digest = bw.mix(words.hashes(begin, end) + np.minimum(spec.unit, (to - index)[keep]).astype(np.uint64))
+    check = (words.second_hashes(begin, end) >> np.uint64(32)).astype(np.uint32).view(np.int32)
     base = words.first[row[keep]]
-    return row[keep], digest, first[keep] - base, last[end_chunk] + 1 - base
+    return row[keep], digest, check, first[keep] - base, last[end_chunk] + 1 - base
 
 
 def unit_rows(docs: DataFrame, spec: Chunking, spans: bool) -> DataFrame:
-    """Units of all rows: (digest, doc_id) and, if asked for, (text_id, first_word, end_word)."""
+    """Units of all rows: (digest, check, doc_id) and, if asked for, (text_id, first_word, end_word)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
             for words in bw.slices(batch.column(1), bw.NON_SPACE):
-                row, digest, first, end = units(words, spec)
+                row, digest, check, first, end = units(words, spec)
                 at = words.rows.start + row
-                columns = [digest.view(np.int64), ids[at], *([texts[at], first.astype(np.int32), end.astype(np.int32)] if spans else [])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc_id", "text_id", "first_word", "end_word"][: len(columns)])
+                columns = [digest.view(np.int64), check, ids[at], *([texts[at], first.astype(np.int32), end.astype(np.int32)] if spans else [])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "check", "doc_id", "text_id", "first_word", "end_word"][: len(columns)])
 
     text = F.col("text").cast("string")
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), (F.xxhash64(text) if spans else F.lit(0).cast("long")).alias("text_id"))
-    return rows.mapInArrow(run, "digest long, doc_id long" + (", text_id long, first_word int, end_word int" if spans else ""))
+    return rows.mapInArrow(run, "digest long, check int, doc_id long" + (", text_id long, first_word int, end_word int" if spans else ""))
 
 
 def repeated_spans(docs: DataFrame, spec: Chunking = Chunking()) -> DataFrame:
@@ -118,10 +126,10 @@ def repeated_spans(docs: DataFrame, spec: Chunking = Chunking()) -> DataFrame:
     """
     # written before it is joined back, so that a hot digest's part of the join can be split
     shared = saved(
-        unit_rows(docs, spec, spans=False).groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-        .where("first_doc < last_doc").select("digest", "first_doc")
+        unit_rows(docs, spec, spans=False).groupBy("digest", "check").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+        .where("first_doc < last_doc").select("digest", "check", "first_doc")
     )
-    found = unit_rows(docs, spec, spans=True).hint("merge").join(shared, "digest").drop("digest").distinct()
+    found = unit_rows(docs, spec, spans=True).hint("merge").join(shared, ["digest", "check"]).drop("digest", "check").distinct()
     by_text = W.partitionBy("doc_id", "text_id").orderBy("first_word", "end_word")
     islands = (
         found.withColumn("reach", F.max("end_word").over(by_text.rowsBetween(W.unboundedPreceding, -1)))

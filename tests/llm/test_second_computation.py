@@ -207,11 +207,11 @@ def plain_units(text, spec):
     raw = (text or "").encode()
     words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
     table = [int(x) for x in C._GEAR]
-    hashes = [sum(table[raw[e - 1 - k]] << k for k in range(min(32, e))) % (1 << 32) for _, e in words]
+    hashes = [sum(table[raw[e - 1 - k]] << k for k in range(min(spec.window, e))) % (1 << spec.window) for _, e in words]
     chunks, first = [], 0
     for i, h in enumerate(hashes):
         near = hashes[max(0, i - spec.near) : i + spec.near + 1]
-        if h < (1 << 32) // spec.mean_words or h == min(near) or i == len(words) - 1:
+        if h < (1 << spec.window) // spec.mean_words or h == min(near) or i == len(words) - 1:
             chunks.append((first, i + 1))
             first = i + 1
     fold = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
@@ -223,7 +223,7 @@ def plain_units(text, spec):
     return out
 
 
-@pytest.mark.parametrize("spec", [C.Chunking(min_words=8), C.Chunking(mean_words=6, unit=2, min_words=5, near=2)])
+@pytest.mark.parametrize("spec", [C.Chunking(min_words=8), C.Chunking(mean_words=6, unit=2, min_words=5, near=2, window=32)])
 def test_substring_spans(make_docs, prose, spec):
     r = random.Random(3)
     passages = [prose(40, 1), prose(25, 2), "tick tock " * 30, "MIXED case Words " + prose(20, 3), "grüße  aus\nköln " * 6]
@@ -259,6 +259,36 @@ def test_substring_spans(make_docs, prose, spec):
     assert got == want and len(want) > 20
 
 
+def test_spans_against_all_common_substrings(make_docs, prose):
+    """Every span is a run that another document has too, and passages of 32 words or more are found nearly always."""
+    lengths = [n for n in range(10, 60) for _ in range(4)]
+    docs = []
+    for i, n in enumerate(lengths):
+        passage = prose(n, 10_000 + i)
+        docs += [(2 * i + j, f"{prose(5 + i % 17, 20_000 + 2 * i + j)} {passage} {prose(3 + i % 11, 30_000 + 2 * i + j)}") for j in (0, 1)]
+    words = {d: t.split() for d, t in docs}
+    k = C.Chunking().min_words
+    where = defaultdict(set)  # all runs of min_words words of all documents
+    for d, w in words.items():
+        for a in range(len(w) - k + 1):
+            where[tuple(w[a : a + k])].add(d)
+    longest = {}
+    for i in range(len(lengths)):
+        w = words[2 * i]
+        shared = [len(where[tuple(w[a : a + k])]) > 1 for a in range(len(w) - k + 1)]
+        runs = "".join("x" if s else " " for s in shared).split()
+        longest[i] = max((len(x) + k - 1 for x in runs), default=0)
+    rows = C.repeated_spans(make_docs(*docs)).collect()
+    for r in rows:
+        part = words[r["doc_id"]][r["first_word"] : r["end_word"]]
+        assert len(part) >= k and all(len(where[tuple(part[a : a + k])]) > 1 for a in range(len(part) - k + 1))
+    found = {r["doc_id"] // 2 for r in rows}
+    assert found <= {i for i, n in longest.items() if n >= k}
+    for least, share in ((32, 0.9), (40, 0.98)):
+        long = {i for i, n in longest.items() if n >= least}
+        assert len(found & long) >= share * len(long) > 50
+
+
 # ---- mixing
 
 
