@@ -70,13 +70,68 @@ def route(questions: DataFrame, mentions: DataFrame) -> DataFrame:
     return q.withColumn("metric", metric).withColumn("intent", intent).select("text_id", "text", "intent", "scopes", "classes", "metric", "keyword")
 
 
+# ---- questions that ask for the same
+
+#: What decides the answer to a question of an intent; every intent but these is answered by its name alone.
+SCOPED = ("publications", "scholars", "entity_detail", "field_members", "industry_companies", "trend")
+CLASSED = ("list_class", "relation_rank")
+WORDED = ("search_entities", "search_publications")
+MEASURED = ("numeric_rank",)
+#: Questions with one request that meet its answers in one group of a join.
+TOGETHER = 200
+
+
+def requests(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests, asked): the different requests as routed questions, and (question, text_id) of who asks for each.
+
+    A request has the columns of route() without a text; text_id is a digest of its intent and of what decides
+    its answer, so questions in other words, or of other keywords where none is used, are one request.
+    """
+    of = lambda kinds, c: F.when(F.col("intent").isin(*kinds), c)
+    plain = routed.select(
+        F.col("text_id").alias("asker"), "intent", of(SCOPED, F.array_sort(F.array_distinct("scopes"))).alias("scopes"), of(CLASSED, F.array_sort(F.array_distinct("classes"))).alias("classes"),
+        of(MEASURED, F.col("metric")).alias("metric"), of(WORDED, F.lower("keyword")).alias("keyword"))
+    what = ["intent", "scopes", "classes", "metric", "keyword"]
+    keyed = saved(plain.withColumn("text_id", F.sha2(F.to_json(F.struct(*what)), 256)))
+    none = F.array().cast("array<string>")
+    different = keyed.select("text_id", *what).dropDuplicates(["text_id"]).withColumn("scopes", F.coalesce("scopes", none)).withColumn("classes", F.coalesce("classes", none))
+    return saved(different.withColumn("text", F.lit(None).cast("string"))), keyed.select(F.col("text_id").alias("question"), F.col("asker").alias("text_id")).distinct()
+
+
+def told(answers: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of answers, whose text_id is a request, for each question (question, text_id) that asks for it.
+
+    Askers of one request stand in groups of about TOGETHER, and each group meets the answers on its own: a request
+    of very many questions and very many answers is spread over the tasks, and nothing is shuffled after the join.
+    """
+    asked = saved(asked)
+    groups = saved(asked.groupBy("question").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups")))
+    askers = asked.hint("merge").join(groups, "question").select("question", "text_id", F.pmod(F.xxhash64("text_id"), F.col("groups")).cast("int").alias("group"))
+    dealt = saved(answers).withColumnRenamed("text_id", "question").hint("merge").join(groups, "question")
+    dealt = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    return askers.hint("merge").join(dealt, ["question", "group"]).select(answers.columns)
+
+
 def results(routed: DataFrame, t: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(text_id, intent, name): what the routed questions ask for, all questions of an intent at once.
+    """(text_id, intent, name): what the routed questions ask for, all requests of an intent at once.
 
     publications, scholars: of all the question's scopes; entity_detail, field_members,
     industry_companies: the scopes' values or members; list_class, search_entities and
     search_publications: by the question's classes or keyword. Other intents have no rows.
+    A request is answered once, however many questions make it.
     """
+    different, asked = requests(routed)
+    return told(_results(different, t, canonical), asked)
+
+
+def result_summaries(routed: DataFrame, t: DataFrame, canonical: DataFrame, shown: int = 15, called_by: dict[str, str] | None = None) -> DataFrame:
+    """summaries() of results() for each question; a request is summed up once, so the questions' result rows are never listed."""
+    different, asked = requests(routed)
+    return told(summaries(_results(different, t, canonical), shown, called_by), asked)
+
+
+def _results(routed: DataFrame, t: DataFrame, canonical: DataFrame) -> DataFrame:
+    """results() of questions that are all different."""
     of_kind = lambda *kinds: routed.where(F.col("intent").isin(*kinds))
     scoped = lambda q: q.select(F.col("text_id").alias("question"), "intent", F.explode("scopes").alias("entity"))
     shaped = lambda df: df.select(F.col("question").alias("text_id"), "intent", "name")
@@ -140,8 +195,20 @@ def counted_results(routed: DataFrame, t: DataFrame, canonical: DataFrame, top:
     trend: publications by year, of those in all of the question's scopes, of all where it has none. numeric_rank:
     the largest values of the metric. relation_rank: institutions by publications if the question names both, else
     the class it names (institutions if none) by its relation. overview: entities of each class. total: all rows
-    there are, of which rankings show `top`. A ranking is computed once, however many questions ask for it.
+    there are, of which rankings show `top`. A trend or ranking is computed once, however many questions ask for it.
     """
+    different, asked = requests(routed)
+    return told(_counted_results(different, t, canonical, top), asked)
+
+
+def counted_result_summaries(routed: DataFrame, t: DataFrame, canonical: DataFrame, top: int = 30, shown: int = 15) -> DataFrame:
+    """counted_summaries() of counted_results() for each question; a request is summed up once."""
+    different, asked = requests(routed)
+    return told(counted_summaries(_counted_results(different, t, canonical, top), shown), asked)
+
+
+def _counted_results(routed: DataFrame, t: DataFrame, canonical: DataFrame, top: int) -> DataFrame:
+    """counted_results() of questions that are all different."""
     of_kind = lambda kind: routed.where(F.col("intent") == kind)
     parts = []
     # trends

@@ -181,12 +181,12 @@ def _counted(spark, sf_dir):
     texts = c.select(F.col("c_custkey").cast("string").alias("text_id"), text.alias("text"))
     none = query.no_merges(t)
     found = saved(mentions.canonical_mentions(mentions.mentions(texts, t), t, none))
-    return routing.counted_results(saved(routing.route(texts, found.hint("merge").join(saved(graph.least_class(t)), "s"))), t, none)
+    return saved(routing.route(texts, found.hint("merge").join(saved(graph.least_class(t)), "s"))), t, none
 
 
 @registered(_COUNTED + "SELECT text_id, intent, CAST(nr AS INTEGER) AS nr, name, value, total FROM x")
 def routed_counts(spark, sf_dir):
-    return _counted(spark, sf_dir)
+    return routing.counted_results(*_counted(spark, sf_dir))
 
 
 @registered(_COUNTED + """
@@ -195,4 +195,4 @@ def routed_counts(spark, sf_dir):
   SELECT text_id, intent, CASE intent WHEN 'trend' THEN total || ' years, ' || all_of || ' records: ' || listed WHEN 'overview' THEN total || ' classes: ' || listed ELSE total || ' ranked, ' || k || ' shown: ' || listed END AS summary FROM l
 """)
 def routed_count_summaries(spark, sf_dir):
-    return routing.counted_summaries(_counted(spark, sf_dir))
+    return routing.counted_result_summaries(*_counted(spark, sf_dir))

@@ -642,4 +642,4 @@ def routed_results(spark, sf_dir):
 """)
 def routed_summaries(spark, sf_dir):
     routed, t, none = _routed(spark, sf_dir)
-    return routing.summaries(routing.results(routed.where("intent = 'scholars'"), t, none), called_by=routing.WHAT)
+    return routing.result_summaries(routed.where("intent = 'scholars'"), t, none, called_by=routing.WHAT)

@@ -56,6 +56,19 @@ def test_keyword_and_summary(spark, rows):
     assert M.class_mentions(_texts(spark, "大学里的学者")).first()["classes"] == ["Scholar", "Institution"]
 
 
+def test_a_request_is_answered_once(spark, rows, monkeypatch):
+    """Askers of one request share its answers, also in several groups; the other questions keep theirs."""
+    t = graph(spark, ("n", "type", "Institution"), ("a", "type", "Scholar"), ("a", "name", "A"), ("b", "type", "Scholar"), ("b", "name", "B"), ("a", "affiliatedWith", "n"), ("b", "affiliatedWith", "n"), ("w", "type", "Publication"), ("w", "name", "W"), ("a", "authorOf", "w"))
+    asked = [(f"q{i}", "x", "scholars", ["n"], ["Scholar"], None, f"word {i}") for i in range(30)] + [("p", "x", "publications", ["a"], [], None, None), ("c", "x", "list_class", [], ["Scholar"], None, None)]
+    routed = spark.createDataFrame(asked + asked[:1], "text_id string, text string, intent string, scopes array<string>, classes array<string>, metric string, keyword string")
+    different, _ = R.requests(routed)
+    assert different.count() == 3
+    monkeypatch.setattr(R, "TOGETHER", 4)
+    got = R.results(routed, t, Q.no_merges(t))
+    assert rows(got) == sorted([(f"q{i}", "scholars", n) for i in range(30) for n in "AB"] + [("p", "publications", "W"), ("c", "list_class", "A"), ("c", "list_class", "B")], key=repr)
+    assert rows(R.result_summaries(routed, t, Q.no_merges(t), called_by=R.WHAT)) == rows(R.summaries(got, called_by=R.WHAT))
+
+
 def test_both_ways_find_the_same_places(spark, rows, monkeypatch):
     import random
 
