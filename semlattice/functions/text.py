@@ -61,9 +61,12 @@ def integer_form(c: Column) -> Column:
 
 
 def decimal_form(c: Column) -> Column:
-    """Lexical form of float(x), whole numbers with one decimal; null for what isn't a number."""
+    """Lexical form of float(x), whole numbers with one decimal, zero with its sign; null for what isn't a number."""
     number = F.when(c.rlike(NUMBER), c.try_cast("double"))
-    plain = number.try_cast("decimal(38,10)")
+    signed_zero = (number == 0) & F.ltrim(c).startswith("-")
+    decimal = number.try_cast("decimal(38,10)")
+    # ten decimals must hold the number, as they don't hold a negative zero
+    plain = F.when((decimal.cast("double") == number) & ~signed_zero, decimal)
     trimmed = F.regexp_replace(F.regexp_replace(plain.cast("string"), r"0+$", ""), r"\.$", ".0")
     return F.coalesce(trimmed, number.cast("string"))
 

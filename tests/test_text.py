@@ -18,6 +18,7 @@ def test_slug_is_percent_encoding(spark):
 def test_numbers(spark):
     assert _one(spark, "string", ["-3.9", " 12 ", "x", "1.0d", "nan", "1e30", None, ""], X.integer_form) == ["-3", "12", None, None, None, None, None, None]
     assert _one(spark, "string", ["100", "1e5", "12.50", "2.0d", None, "10000000000"], X.decimal_form) == ["100.0", "100000.0", "12.5", None, None, "10000000000.0"]
+    assert _one(spark, "string", ["-0.0", "-0", "0.0", " -0e3", "1e-11", "0.1234567890123", "-2.50"], X.decimal_form) == ["-0.0", "-0.0", "0.0", "-0.0", "1.0E-11", "0.1234567890123", "-2.5"]
 
 
 def test_as_list(spark):
