@@ -9,6 +9,7 @@ from ..operators import equivalence, graph, mapping, query
 from .config import EntityMapping, Property, RelationMapping
 from .register import registered
 from .scratch import saved
+from .tables import rows as rows_of
 from .tables import table
 
 _OWL = "http://www.w3.org/2002/07/owl#sameAs"
@@ -38,7 +39,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = (Property("c_mktsegment", "region"), Property("c_acctbal", "revenue", "decimal"), Property("c_nationkey", "employees", "integer"), Property("about", "description"))
     parts = []
     for source, prefix, left_out in (("one", "c_", 0), ("two", "c2_", 1)):
-        rows = table(spark, sf_dir, "customer").where(f"c_custkey % 3 <> {left_out}").withColumn("about", F.concat(F.lit(source + " "), "c_mktsegment"))
+        rows = rows_of(spark, sf_dir, "customer").where(f"c_custkey % 3 <> {left_out}").withColumn("about", F.concat(F.lit(source + " "), "c_mktsegment"))
         parts += [
             mapping.apply_mapping(rows, EntityMapping("Company", "c_custkey", prefix + "{id}", "c_name", props), source),
             mapping.apply_mapping(rows, RelationMapping("belongsToIndustry", "Company", "c_custkey", prefix + "{id}", "Industry", "c_mktsegment", "ind_{id}", from_value=True), source),

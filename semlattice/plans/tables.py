@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.mapping import apply_mapping, union
 from .config import EntityMapping, Property, RelationMapping
+from .scratch import spread
 
 NATION = (EntityMapping("Institution", "n_nationkey", "n_{id}", "n_name", (Property("n_regionkey", "level", "integer"),)),)
 CUSTOMER = (
@@ -36,15 +37,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
-    """The rows that a part's mappings read."""
+    """The rows that a part's mappings read, over tasks of a bounded number of rows: each becomes several triples that are made distinct."""
     t = lambda name: table(spark, sf_dir, name)
     if part == "orders":
-        return t("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"))
-    if part == "brand":
-        return t("lineitem").select("l_orderkey", "l_partkey").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select("l_orderkey", "p_brand")
-    if part == "supplier":
-        return t("supplier").join(t("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
-    return t("customer" if part == "segment" else part)
+        out, source = t("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year")), "orders"
+    elif part == "brand":
+        out, source = t("lineitem").select("l_orderkey", "l_partkey").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select("l_orderkey", "p_brand"), "lineitem"
+    elif part == "supplier":
+        out, source = t("supplier").join(t("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey"), "supplier"
+    else:
+        source = "customer" if part == "segment" else part
+        out = t(source)
+    return spread(out, t(source).count())  # by the files' footers
 
 
 PARTS = {"nation": NATION, "customer": CUSTOMER, "segment": SEGMENT, "orders": ORDERS, "brand": BRAND, "supplier": SUPPLIER}

@@ -30,3 +30,11 @@ def test_discarded_tables_are_gone_and_others_stay(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/own")
     with pytest.raises(ValueError, match="not a table"):
         scratch.discard(spark.read.parquet(f"{tmp_path}/own"))
+
+
+def test_spread_bounds_the_rows_of_a_task(spark):
+    df = spark.range(10_000).coalesce(1)
+    out = scratch.spread(df, 10_000, each=1000)
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 10_000 and max(sizes) < 1500
+    assert scratch.spread(df, 10_000, each=10_000) is df
