@@ -25,6 +25,8 @@ except ImportError:  # joins find the same places
 
 #: Most keys, and bytes of keys, of an automaton: some hundred MB in a Python worker.
 AUTOMATON_KEYS, AUTOMATON_BYTES = 200_000, 16 << 20
+#: Lengths of beginnings of keys that may make up an automaton, and the longest key that is cut from the text where one stands.
+LEADS, LONGEST = (24, 16, 12, 8, 6, 4, 3), 1000
 
 # Chinese names of institutions with their English name and country.
 INSTITUTION_ALIASES = {
@@ -70,7 +72,7 @@ def alias_table(spark) -> DataFrame:
 
 def uri_mentions(texts: DataFrame, t: DataFrame, ns: Namespaces = Namespaces()) -> DataFrame:
     """(text_id, s, label): full addresses of typed entities in the texts."""
-    found = texts.select("text_id", F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z][A-Za-z0-9+.\-]*://[^\s<>\"，。？！]+)"), F.lit(1))).alias("label"))
+    found = texts.where(F.contains("text", F.lit("://"))).select("text_id", F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z][A-Za-z0-9+.\-]*://[^\s<>\"，。？！]+)"), F.lit(1))).alias("label"))
     local = F.when(F.col("label").startswith(ns.resource), F.substr("label", F.lit(len(ns.resource) + 1))).otherwise(F.col("label"))
     return found.withColumn("s", local).hint("merge").join(types(t).select("s").distinct(), "s", "left_semi").select("text_id", "s", "label").distinct()
 
@@ -97,18 +99,25 @@ def candidate_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
 
     Keys of at most AUTOMATON_KEYS and AUTOMATON_BYTES, which are counted, make up one automaton that
     is broadcast and run over the texts where they are: only places of whole keys become rows. More keys
-    are found by joins, see joined_spans().
+    are found by an automaton of their beginnings, see led_spans(), or where these are too many by joins, see joined_spans().
     """
     distinct = saved(keys.where(F.length("key") >= 2).select(F.lower("key").alias("key")).distinct())
     n, size = distinct.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
-    if ahocorasick is None or n > AUTOMATON_KEYS or size > AUTOMATON_BYTES:
+    if ahocorasick is None:
         return joined_spans(texts, distinct)
+    if n > AUTOMATON_KEYS or size > AUTOMATON_BYTES:
+        lead, longest = _lead(distinct)
+        return led_spans(texts, distinct, lead) if lead and longest <= LONGEST else joined_spans(texts, distinct)
     return automaton_spans(texts, [r["key"] for r in distinct.collect()])
 
 
-def automaton_spans(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """candidate_spans() of keys that fit one automaton; their number and bytes are the caller's to bound."""
-    words = texts.sparkSession.sparkContext.broadcast(list(keys))
+def automaton_spans(texts: DataFrame, keys: Sequence[str] | dict[str, int]) -> DataFrame:
+    """candidate_spans() of keys that fit one automaton; their number and bytes are the caller's to bound.
+
+    With a length for each key, rows have `piece` too: so many characters of the text from the key's place, fewer at its end.
+    """
+    cut = isinstance(keys, dict)
+    words = texts.sparkSession.sparkContext.broadcast(dict(keys) if cut else list(keys))
     kind = dict(texts.dtypes)["text_id"]
     low = F.lower("text")
     rows = texts.where("text is not null").select("text_id", F.xxhash64(low).alias("h"), low.alias("text"))
@@ -121,14 +130,38 @@ def automaton_spans(texts: DataFrame, keys: Sequence[str]) -> DataFrame:
             return
         automaton.make_automaton()
         for batch in batches:
-            which, found, start, end = [], [], [], []
+            which, found, start, end, piece = [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 for last, key in automaton.iter(text):
                     which.append(i), found.append(key), start.append(last + 2 - len(key)), end.append(last + 2)
+                    if cut:
+                        piece.append(text[last + 1 - len(key) : last + 1 - len(key) + words.value[key]])
             at = pa.array(which, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["text_id", "h", "key", "start", "end"])
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(found, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(piece, pa.string())] if cut else [])], ["text_id", "h", "key", "start", "end", *(["piece"] if cut else [])])
+
+    return rows.mapInArrow(run, f"text_id {kind}, h long, key string, start int, end int" + (", piece string" if cut else "")).distinct()
+
 
-    return rows.mapInArrow(run, f"text_id {kind}, h long, key string, start int, end int").distinct()
+def _lead(keys: DataFrame) -> tuple[int, int]:
+    """The greatest of LEADS whose beginnings of keys fit an automaton (0: none), and the longest key. Estimates stay well below the bound."""
+    sizes = keys.agg(F.max(F.length("key")).alias("longest"), *[F.approx_count_distinct(F.substring("key", 1, k)).alias(f"n{k}") for k in LEADS]).first()
+    fits = [k for k in LEADS if sizes[f"n{k}"] <= AUTOMATON_KEYS // 2 and sizes[f"n{k}"] * 4 * k <= AUTOMATON_BYTES]
+    return (fits[0] if fits else 0), sizes["longest"] or 0
+
+
+def led_spans(texts: DataFrame, keys: DataFrame, lead: int) -> DataFrame:
+    """candidate_spans() of any number of keys, whose first `lead` characters fit one automaton.
+
+    Where a beginning stands, the text that follows is cut at the longest key of that beginning, then
+    at all their lengths, and these pieces are equi-joined with the keys. Texts are read once and not shuffled.
+    """
+    starts = saved(keys.select(F.substring("key", 1, lead).alias("lead"), F.length("key").alias("n")).distinct())
+    longest = {r["lead"]: r["n"] for r in starts.groupBy("lead").agg(F.max("n").alias("n")).collect()}
+    places = automaton_spans(texts, longest)
+    pieces = join_checked(places, starts.withColumnRenamed("lead", "key"), "key").where(F.length("piece") >= F.col("n"))
+    pieces = pieces.select("text_id", "h", F.substr("piece", F.lit(1), F.col("n")).alias("key"), "start", (F.col("start") + F.col("n")).alias("end"))
+    return join_checked(pieces, keys.select("key").distinct(), "key", "left_semi").select("text_id", "h", "key", "start", "end").distinct()
 
 
 def joined_spans(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -170,9 +203,9 @@ def accepted_spans(spans: DataFrame) -> DataFrame:
 
 def mentions(texts: DataFrame, t: DataFrame, aliases: DataFrame | None = None, ns: Namespaces = Namespaces()) -> DataFrame:
     """(text_id, s, label): entities that the texts (text_id, text) mention. Texts with full addresses have those only."""
-    by_uri = uri_mentions(texts, t, ns)
+    by_uri = saved(uri_mentions(texts, t, ns))
     entries = dictionary(t) if aliases is None else with_aliases(dictionary(t), t, aliases)
-    rest = texts.hint("merge").join(by_uri.select("text_id").distinct(), "text_id", "left_anti")
+    rest = join_checked(texts, by_uri.select("text_id").distinct(), "text_id", "left_anti")
     spans = accepted_spans(candidate_spans(rest, entries))
     return spans.select("text_id", "key").distinct().hint("merge").join(entries, "key").select("text_id", "s", F.col("key").alias("label")).unionByName(by_uri)
 
@@ -196,7 +229,9 @@ def class_mentions(texts: DataFrame, words: tuple[tuple[str, str], ...] = CLASS_
 
 def _any_of(words: tuple[str, ...]) -> str:
     escape = str.maketrans({c: "\\" + c for c in "?.*+()[]{}|^$\\"})
-    return "|".join(w.translate(escape) for w in sorted(words, key=len, reverse=True))
+    first = "".join(sorted({w[0].translate(escape) for w in words}))
+    # at any other character no word is tried
+    return f"(?=[{first}])(?:" + "|".join(w.translate(escape) for w in sorted(words, key=len, reverse=True)) + ")"
 
 
 def residual(texts: DataFrame, found: DataFrame) -> DataFrame:

@@ -33,6 +33,15 @@ def test_country_alias(spark, rows):
     assert rows(M.ambiguous(found)) == [(1, "northeastern university", 2)]
 
 
+def test_many_keys_of_few_beginnings_are_found_by_an_automaton(spark, rows, monkeypatch):
+    keys = spark.createDataFrame([(f"customer#{i:09}",) for i in range(300)] + [("cu",)], "key string")
+    texts = _texts(spark, "see Customer#000000012, customer#000000400", "nothing", None)
+    monkeypatch.setattr(M, "AUTOMATON_KEYS", 100)
+    monkeypatch.setattr(M, "joined_spans", lambda *_: 1 / 0)
+    found = M.candidate_spans(texts, keys).select("text_id", "key", "start", "end")
+    assert rows(found) == [(0, "cu", 25, 27), (0, "cu", 5, 7), (0, "customer#000000012", 5, 23)]
+
+
 def _routed(spark, t, *texts):
     from semlattice.operators.graph import least_class
 
@@ -78,6 +87,8 @@ def test_both_ways_find_the_same_places(spark, rows, monkeypatch):
     keys = spark.createDataFrame([(k,) for k in [*pool, "Alpha", "x", None, "aa"]], "key string")
     by_automaton = rows(M.candidate_spans(texts, keys))
     assert by_automaton == rows(M.joined_spans(texts, keys.where("length(key) > 1").selectExpr("lower(key) key").distinct())) and len(by_automaton) > 100
+    few = keys.where("length(key) > 1").selectExpr("lower(key) key").distinct()
+    assert all(rows(M.led_spans(texts, few, lead)) == by_automaton for lead in (2, 3, 16))
     monkeypatch.setattr(M, "AUTOMATON_KEYS", 3)
     assert rows(M.candidate_spans(texts, keys)) == by_automaton
     assert M.candidate_spans(texts, keys.where("false")).count() == 0
