@@ -40,7 +40,11 @@ def encoded(t: DataFrame) -> Graph:
     A term in very many triples is one row of the dictionary: the joins' other side can be split.
     """
     parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    nodes = t.select(F.col("s").alias("term")).unionByName(t.where("o_kind <> 'literal'").select(F.col("o").alias("term"))).where("term is not null").distinct()
+    # dealt out by term before they are made distinct: most terms are different, so a task that reads a dense file would hold them all.
+    # An object in very many triples goes to several tasks, by their subjects.
+    share = F.pmod(F.xxhash64("s"), F.lit(16)).cast("int").alias("share")
+    ends = t.select(F.col("s").alias("term"), share).unionByName(t.where("o_kind <> 'literal'").select(F.col("o").alias("term"), share)).where("term is not null")
+    nodes = ends.repartition("term", "share").distinct().select("term").repartition("term").distinct()
     terms = saved(numbered(nodes.repartitionByRange(parts, "term").sortWithinPartitions("term")))
     known = lambda c: terms.select(F.col("term").alias(c), F.col("id").alias(f"{c}_id"))
     subjects = t.hint("merge").join(known("s"), "s")
