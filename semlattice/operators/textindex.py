@@ -1,8 +1,8 @@
 """Substring search by a stored index of character trigrams.
 
-Three tables. postings: (bucket, gram, entity), a row for each entity and each run of up to three
-characters that begins somewhere in one of its lower-cased labels; runs of fewer than three stand
-at a label's end. grams: (bucket, gram, n), how many entities have a gram. labels: (part, entity, s,
+Three tables. postings: (bucket, gram, entities), for each run of up to three characters the entities in one of
+whose lower-cased labels it begins somewhere; runs of fewer than three stand at a label's end. An entity is
+in one row of a gram, and a row lists the entities that one task cut at a time. grams: (bucket, gram, n), how many entities have a gram. labels: (part, entity, s,
 label, is_cn) with the entities' classes in a table of their own. Postings lie in folders by the
 gram's first character and, within a folder, in ranges of grams; labels in folders by ranges of entities.
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,12 @@ BUCKETS = 64
 GRAMS = 3
 #: Entities of a folder of labels, about, and folders at most.
 PART_ROWS, PARTS = 1 << 16, 4096
+#: Postings that are cut from labels at a time.
+CUT_ROWS = 1 << 20
 
 
 _TABLES = {
-    "postings": "gram string, entity long, bucket int", "grams": "gram string, n long, bucket int",
+    "postings": "gram string, entities array<long>, bucket int", "grams": "gram string, n long, bucket int",
     "labels": "entity long, s string, label string, is_cn boolean, part int", "classes": "entity long, class string, part int",
 }
 
@@ -70,11 +74,55 @@ def grams_of(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(characters, lambda c: F.transform(c, lambda x, i: F.concat(x, after(c, i + 1), after(c, i + 2))))))
 
 
+def _cut(each: int):
+    """A function to (gram, entities) from Arrow batches (entity, label): each label's distinct grams, as grams_of() gives them, about `each` listed at a time.
+
+    Three characters are one number of 63 bits (a character's code plus one, 0 where the text ends), so a label's
+    grams are made distinct by a sort of numbers; numbers become texts once for each different one.
+    """
+    def texts(codes, entities):
+        order = np.argsort(codes, kind="stable")
+        different, starts = np.unique(codes[order], return_index=True)
+        grams = ["".join(chr(((c >> s) & 0x1FFFFF) - 1) for s in (42, 21, 0) if (c >> s) & 0x1FFFFF) for c in different.tolist()]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(codes)), pa.int32()), pa.array(entities[order]))
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), lists], ["gram", "entities"])
+
+    def cut(batches):
+        for batch in batches:
+            codes, entities, n = [], [], 0
+            for entity, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not label:
+                    continue
+                c = np.zeros(len(label) + 2, np.int64)
+                c[:-2] = np.frombuffer(label.encode("utf-32-le"), np.uint32)
+                c[:-2] += 1
+                codes.append(np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:]))
+                entities.append(np.full(len(codes[-1]), entity, np.int64))
+                n += len(codes[-1])
+                if n >= each:
+                    yield texts(np.concatenate(codes), np.concatenate(entities))
+                    codes, entities, n = [], [], 0
+            if codes:
+                yield texts(np.concatenate(codes), np.concatenate(entities))
+
+    return cut
+
+
+def postings_of(labels: DataFrame) -> DataFrame:
+    """(gram, entities) of labels (entity, label), an entity once for a gram. Only entities of several labels have grams that a label alone doesn't make distinct, so only theirs are shuffled."""
+    cut = lambda rows: rows.select("entity", F.lower("label").alias("label")).mapInArrow(_cut(CUT_ROWS), "gram string, entities array<long>")
+    several = saved(labels.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").select("entity"))
+    if several.isEmpty():
+        return cut(labels)
+    again = cut(join_checked(labels, several, "entity", "left_semi")).select("gram", F.explode("entities").alias("entity")).distinct()
+    return cut(join_checked(labels, several, "entity", "left_anti")).unionByName(again.select("gram", F.array("entity").alias("entities")))
+
+
 def build(t: DataFrame, canonical: DataFrame, path: str | None = None) -> Index:
     """Indexes the labels of all typed entities, under their canonical ids, and writes the tables below path.
 
     Entities are numbered in the order of their ids, by ranges. Rows of one entity or of one gram may be any share
-    of all rows: no table holds a list of them.
+    of all rows: no table holds a list of them all.
     """
     spark = t.sparkSession
     path = path or f"{folder(spark)}/textindex-{uuid.uuid4().hex}"
@@ -94,9 +142,9 @@ def build(t: DataFrame, canonical: DataFrame, path: str | None = None) -> Index:
 
     put(rows.select("part", "entity", "s", "label", "is_cn"), "labels", "part", "entity")
     put(typed.hint("merge").join(entities, "s").select("part", "entity", "class"), "classes", "part", "entity")
-    postings = saved(rows.select("entity", F.explode(grams_of(F.lower("label"))).alias("gram")).where("gram <> ''").distinct().withColumn("bucket", _bucket(F.col("gram"))))
-    put(postings.select("bucket", "gram", "entity"), "postings", "bucket", "gram", "entity")
-    put(postings.groupBy("bucket", "gram").agg(F.count("*").alias("n")), "grams", "bucket", "gram")
+    postings = saved(postings_of(rows.select("entity", "label")).withColumn("bucket", _bucket(F.col("gram"))))
+    put(postings.select("bucket", "gram", "entities"), "postings", "bucket", "gram", "entities")
+    put(postings.groupBy("bucket", "gram").agg(F.sum(F.size("entities")).alias("n")), "grams", "bucket", "gram")
     return index
 
 
@@ -112,13 +160,13 @@ def candidates(index: Index, keyword: str) -> DataFrame:
     keys = _keys(index.spark, keyword)
     if len(keys[0][1]) < 3:
         bucket, start = keys[0]
-        return index.table("postings").where((F.col("bucket") == bucket) & F.col("gram").startswith(start)).select("entity").distinct()
+        return index.table("postings").where((F.col("bucket") == bucket) & F.col("gram").startswith(start)).select(F.explode("entities").alias("entity")).distinct()
     any_of = lambda some: F.col("bucket").isin(sorted({b for b, _ in some})) & F.col("gram").isin([g for _, g in some])
     known = sorted((r["n"], r["bucket"], r["gram"]) for r in index.table("grams").where(any_of(keys)).collect())
     if len(known) < len(keys):
-        return index.table("postings").where("false").select("entity")
+        return index.table("postings").where("false").select(F.explode("entities").alias("entity"))
     rare = [(b, g) for _, b, g in known[:GRAMS]]
-    rows = index.table("postings").where(any_of(rare))
+    rows = index.table("postings").where(any_of(rare)).select(F.explode("entities").alias("entity"))
     return rows.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") == len(rare)).select("entity")
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 from graphs import graph
+from pyspark.sql import functions as F
 
 from semlattice.operators import graph as G
 from semlattice.operators import query as Q
@@ -54,6 +55,16 @@ def test_a_search_reads_few_files(spark, labelled, monkeypatch):
     assert I.candidates(index, "zzz").count() == 0 and sum(1 for _ in I.search(index, "firm no").collect()) == 4000
 
 
+def test_postings_are_the_distinct_grams_of_an_entitys_labels(spark):
+    texts = [(1, "aaaaaa"), (1, "aAa"), (1, None), (2, "数据🙂\0\0"), (3, ""), (4, "b"), (5, "İİ xyxyxy")]
+    labels = spark.createDataFrame(texts, "entity long, label string").repartition(3)
+    want = labels.select(F.explode(I.grams_of(F.lower("label"))).alias("gram"), "entity").where("gram <> ''").distinct().collect()
+    got = I.postings_of(labels).select("gram", F.explode("entities"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    # entities of one label are not shuffled
+    assert "Exchange" not in _plan(I.postings_of(saved(labels.where("entity > 1"))))
+
+
 def test_an_empty_index(spark, labelled):
     index = I.build(labelled.where("false"), Q.no_merges(labelled))
     assert I.search(index, "acme").count() == 0 and I.search(index, "").count() == 0
