@@ -57,9 +57,9 @@ def title_of() -> Column:
     return F.substring(F.coalesce(filled("display_name"), filled("title"), F.lit("")), 1, 300)
 
 
-def publications(works: DataFrame) -> DataFrame:
-    """(openalex_id, doi, title, year, cited_by_count, venue_id, type), the last occurrence wins."""
-    return unique_works(works).select(last_segment(F.col("id")).alias("openalex_id"), "doi", title_of().alias("title"), F.col("publication_year").alias("year"), "cited_by_count", last_segment(F.col("primary_location.source.id")).alias("venue_id"), "type")
+def publications(works: DataFrame, unique: bool = False) -> DataFrame:
+    """(openalex_id, doi, title, year, cited_by_count, venue_id, type), the last occurrence wins. unique: works are those of unique_works()."""
+    return (works if unique else unique_works(works)).select(last_segment(F.col("id")).alias("openalex_id"), "doi", title_of().alias("title"), F.col("publication_year").alias("year"), "cited_by_count", last_segment(F.col("primary_location.source.id")).alias("venue_id"), "type")
 
 
 def venues(works: DataFrame) -> DataFrame:
@@ -68,9 +68,9 @@ def venues(works: DataFrame) -> DataFrame:
     return pick(rows, ["openalex_id"], ["topic_idx", "pos"], last=True).select("openalex_id", "name", "type")
 
 
-def author_of(works: DataFrame) -> DataFrame:
-    """(scholar_id, pub_id, position): one row for each authorship of each distinct work, repeats kept."""
-    return authorships(unique_works(works)).select("scholar_id", last_segment(F.col("work")).alias("pub_id"), "position")
+def author_of(works: DataFrame, unique: bool = False) -> DataFrame:
+    """(scholar_id, pub_id, position): one row for each authorship of each distinct work, repeats kept. unique: works are those of unique_works()."""
+    return authorships(works if unique else unique_works(works)).select("scholar_id", last_segment(F.col("work")).alias("pub_id"), "position")
 
 
 def affiliation(works: DataFrame) -> DataFrame:
@@ -79,9 +79,9 @@ def affiliation(works: DataFrame) -> DataFrame:
     return rows.select("scholar_id", last_segment(F.col("i.id")).alias("inst_id")).distinct()
 
 
-def published_in(works: DataFrame) -> DataFrame:
-    """(pub_id, venue_id) of works with a venue."""
-    return publications(works).where("venue_id is not null").select(F.col("openalex_id").alias("pub_id"), "venue_id")
+def published_in(works: DataFrame, unique: bool = False) -> DataFrame:
+    """(pub_id, venue_id) of works with a venue. unique: works are those of unique_works()."""
+    return publications(works, unique).where("venue_id is not null").select(F.col("openalex_id").alias("pub_id"), "venue_id")
 
 
 def belongs_to_field(works: DataFrame, fields: DataFrame) -> DataFrame:

@@ -521,9 +521,10 @@ def star_graph(spark, sf_dir):
     none = F.lit(None).cast("bigint")
     seed = table(spark, sf_dir, "nation").where("false").select(F.lit("").alias("openalex_id"), F.lit("").alias("name"), F.lit("").alias("country"), none.alias("works_count"), none.alias("cited_by_count"), none.alias("h_index"))
     fields = biblio.field_dimension(spark, [("fO", "field O", "O", 0), ("fF", "field F", "F", 0)])
+    last = saved(biblio.unique_works(w))  # three of the tables are made of it
     nine = {
-        "institutions": biblio.institutions(w, seed), "scholars": biblio.scholars(w), "publications": biblio.publications(w), "venues": biblio.venues(w), "fields": fields,
-        "author_of": biblio.author_of(w), "affiliation": biblio.affiliation(w), "published_in": biblio.published_in(w), "belongs_to_field": biblio.belongs_to_field(w, fields),
+        "institutions": biblio.institutions(w, seed), "scholars": biblio.scholars(w), "publications": biblio.publications(last, True), "venues": biblio.venues(w), "fields": fields,
+        "author_of": biblio.author_of(last, True), "affiliation": biblio.affiliation(w), "published_in": biblio.published_in(last, True), "belongs_to_field": biblio.belongs_to_field(w, fields),
     }
     return star_triples(nine, STAR).where("p <> 'sourcedFrom'").select("s", "p", "o")
 

@@ -1,4 +1,5 @@
 from semlattice.operators import biblio as B
+from semlattice.plans.scratch import saved
 
 SCHEMA = "topic_idx int, pos int, topic string, " + B.WORK
 
@@ -37,6 +38,14 @@ def test_tables(spark, rows):
     assert B.rejected(_works(spark)).first()[0] == 1 and rows(B.venues(w)) == [("v1", "Venue", "journal")]
 
 
+def test_tables_of_unique_works(spark, rows):
+    w = _works(spark).where("id is not null")
+    u = saved(B.unique_works(w))
+    for table in (B.publications, B.author_of, B.published_in):
+        assert rows(table(u, True)) == rows(table(w))
+        assert "Aggregate" not in table(u, True)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_reshape_and_sets(spark, rows):
     got = {r["work_id"]: r for r in B.reshaped(_works(spark), key_prefix="V2").collect()}
     assert got["V2w1"]["domain"] == ["T1", "T2"] and got["V2w3"]["domain"] == ["其他"] and got["V2w1"]["doi"] == "10.1/x"
