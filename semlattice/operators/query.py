@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import holds, unslug
-from ..plans.scratch import join_checked, ranked, saved
+from ..plans.scratch import join_checked, ranked, saved, spread
 from .graph import called, canonical_of, labels, least_class, names, of, tail, types
 
 # Relations that an entity's page shows, and the display names of properties.
@@ -189,26 +189,32 @@ def scholars_of(t: DataFrame, canonical: DataFrame, institution: str, field: str
     return at.join(in_field.unionByName(by_work).distinct(), "s", "left_semi").distinct()
 
 
-def coauthor_edges(t: DataFrame, relation: str = "authorOf", max_authors: int | None = None, block: int = 1000) -> DataFrame:
+def coauthor_edges(t: DataFrame, relation: str = "authorOf", max_authors: int | None = None, block: int = 1000, each: int = 250_000) -> DataFrame:
     """(a, b) in both directions of different authors of one work.
 
     Works of more than `block` authors are cut into blocks by a hash, as many as their number of authors asks
     for, and each pair of blocks is joined on its own, so that no key holds all of a large work's pairs. All others
     are joined by the work.
-    max_authors: leaves out works with more, if given.
+    max_authors: leaves out works with more, if given. each: rows of a task, about, and four times as many pairs; both are
+    counted and dealt out before they are made distinct, whatever the files' density and the session's number of partitions.
     """
-    wrote = saved(of(t, relation).select(F.col("o").alias("pub"), F.col("s").alias("a")).distinct())
+    wrote = of(t, relation).select(F.col("o").alias("pub"), F.col("s").alias("a"))
+    wrote = saved(spread(wrote, wrote.count(), each).distinct())
     if max_authors is not None:
         wrote = wrote.join(wrote.groupBy("pub").count().where(F.col("count") <= max_authors).select("pub"), "pub", "left_semi")
-    large = saved(wrote.groupBy("pub").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).where("n > 1"))
+    n = wrote.count()
+    sizes = saved(spread(wrote, n, each).groupBy("pub").agg(F.count("*").alias("size")))
+    large = saved(sizes.select("pub", F.ceil(F.col("size") / block).cast("int").alias("n")).where("n > 1"))
+    n_pairs = sizes.agg(F.coalesce(F.sum(F.col("size") * (F.col("size") - 1) / 2), F.lit(0)).cast("long")).first()[0]
     small = wrote if large.isEmpty() else join_checked(wrote, large.select("pub"), "pub", "left_anti")
+    small = spread(small, n, each, by=["pub"])
     pairs = small.hint("merge").join(small.withColumnRenamed("a", "b"), "pub").where("a < b").select("a", "b")
     cut = join_checked(wrote, large, "pub").withColumn("mine", F.pmod(F.xxhash64("a"), F.col("n")).cast("int"))
     left = cut.select("pub", "a", F.col("mine").alias("x"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("y"))
     right = cut.select("pub", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("x"), F.col("mine").alias("y"))
     if not large.isEmpty():
         pairs = pairs.unionByName(left.hint("merge").join(right, ["pub", "x", "y"]).where("a < b").select("a", "b"))
-    pairs = pairs.distinct()
+    pairs = spread(pairs, n_pairs, 4 * each).distinct()
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 

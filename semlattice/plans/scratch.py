@@ -57,13 +57,13 @@ def join_checked(left: DataFrame, right: DataFrame, on: str | list[str], how: st
     return left.join(F.broadcast(right), on, how) if small else left.hint("merge").join(right, on, how)
 
 
-def spread(df: DataFrame, n: int, each: int = 250_000) -> DataFrame:
+def spread(df: DataFrame, n: int, each: int = 250_000, by: Sequence[str] | None = None) -> DataFrame:
     """The rows over so many tasks that each gets about `each` of the n rows, however few and dense the files are that they come from.
 
-    Rows go by their hash, so a task that runs again deals them alike. What a task holds while it makes
+    Rows go by the hash of the columns `by`, of all if not given, so a task that runs again deals them alike. What a task holds while it makes
     its rows' results distinct is then bounded, and does not grow with the table.
     """
-    return df if n <= each else df.repartition(-(-n // each), *df.columns)
+    return df if n <= each else df.repartition(-(-n // each), *(by or df.columns))
 
 
 def numbered(df: DataFrame, column: str = "id") -> DataFrame:

@@ -128,6 +128,15 @@ def test_authors_in_blocks(spark, rows):
     assert rows(Q.coauthor_edges(t, block=7)) == sorted(want) == rows(Q.coauthor_edges(t))
 
 
+def test_pairs_go_to_tasks_of_a_bounded_number(spark, rows):
+    t = graph(spark, *[(f"s{i}", "authorOf", f"p{i * j % 90}") for i in range(60) for j in range(1, 8)])
+    got = Q.coauthor_edges(t, each=30)
+    assert rows(got) == rows(Q.coauthor_edges(t))
+    # more tasks than the session's four partitions, for works as for pairs
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(pub" in plan and "hashpartitioning(a" in plan and plan.count("REPARTITION_BY_NUM") >= 2
+
+
 def test_names_and_classes_read_their_predicates_only(spark, tmp_path):
     t = graph(spark, ("a", "type", "Scholar"), ("a", "name", "A"), ("a", "year", 1))
     t.write.partitionBy("p").parquet(str(tmp_path / "t"))
