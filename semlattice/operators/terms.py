@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.config import TRIPLE_COLUMNS
-from ..plans.scratch import join_checked, numbered, saved
+from ..plans.scratch import join_checked, looked_up, numbered, saved
 from . import bitmaps, query
 from .graph import names, tail
 
+#: Triples that a task of the joins with the dictionary gets.
+EACH = 250_000
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -37,28 +40,31 @@ class Graph:
 def encoded(t: DataFrame) -> Graph:
     """The dictionary and the triples over it, each written once; edges and values by predicate.
 
-    A term in very many triples is one row of the dictionary: the joins' other side can be split.
+    Tasks are dealt by the number of triples, each about as large however many there are; a term in very many triples is
+    brought to them.
     """
-    parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = t.count()
+    parts = max(-(-n // EACH), int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # dealt out by term before they are made distinct: most terms are different, so a task that reads a dense file would hold them all.
     # An object in very many triples goes to several tasks, by their subjects.
     share = F.pmod(F.xxhash64("s"), F.lit(16)).cast("int").alias("share")
     ends = t.select(F.col("s").alias("term"), share).unionByName(t.where("o_kind <> 'literal'").select(F.col("o").alias("term"), share)).where("term is not null")
-    nodes = ends.repartition("term", "share").distinct().select("term").repartition("term").distinct()
+    nodes = saved(ends.repartition(parts, "term", "share").distinct().select("term").repartition(parts, "term").distinct())
     terms = saved(numbered(nodes.repartitionByRange(parts, "term").sortWithinPartitions("term")))
     known = lambda c: terms.select(F.col("term").alias(c), F.col("id").alias(f"{c}_id"))
-    subjects = t.hint("merge").join(known("s"), "s")
-    edges = subjects.where("o_kind <> 'literal'").hint("merge").join(known("o"), "o").select("p", F.col("s_id").alias("s"), F.col("o_id").alias("o"), "o_kind")
+    subjects = saved(looked_up(t, known("s"), "s", n, each=EACH).drop("s"))
+    linked = subjects.where("o_kind <> 'literal'")
+    edges = looked_up(linked, known("o"), "o", linked.count(), each=EACH).select("p", F.col("s_id").alias("s"), F.col("o_id").alias("o"), "o_kind")
     values = subjects.where("o_kind = 'literal'").select("p", F.col("s_id").alias("s"), "o", "o_kind", "o_datatype", "o_lang")
     return Graph(terms, saved(edges, "p"), saved(values, "p"))
 
 
 def decoded(rows: DataFrame, g: Graph, *columns: str) -> DataFrame:
-    """rows with the terms of the columns' ids, which stay null where they are."""
-    out = rows
-    for c in columns:
+    """rows, a written table, with the terms of the columns' ids, which stay null where they are."""
+    out, n = rows, rows.count()
+    for i, c in enumerate(columns):
         known = g.terms.select(F.col("id").alias(c), F.col("term").alias(f"{c}_term"))
-        out = out.hint("merge").join(known, c, "left").withColumn(c, F.col(f"{c}_term")).drop(f"{c}_term")
+        out = looked_up(saved(out) if i else out, known, c, n, "left", EACH).withColumn(c, F.col(f"{c}_term")).drop(f"{c}_term")
     return out.select(rows.columns)
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import equivalence, graph, mapping, query
 from .config import EntityMapping, Property, RelationMapping
 from .register import registered
-from .scratch import saved
+from .scratch import distinct_spread, saved
+from .tables import per_row, size, table
 from .tables import rows as rows_of
-from .tables import table
 
 _OWL = "http://www.w3.org/2002/07/owl#sameAs"
 
@@ -37,14 +37,16 @@ _M = """
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping slices of the customers as two sources of companies, in industries; descriptions differ by source."""
     props = (Property("c_mktsegment", "region"), Property("c_acctbal", "revenue", "decimal"), Property("c_nationkey", "employees", "integer"), Property("about", "description"))
-    parts = []
+    parts, n = [], 0
     for source, prefix, left_out in (("one", "c_", 0), ("two", "c2_", 1)):
         rows = rows_of(spark, sf_dir, "customer").where(f"c_custkey % 3 <> {left_out}").withColumn("about", F.concat(F.lit(source + " "), "c_mktsegment"))
-        parts += [
-            mapping.apply_mapping(rows, EntityMapping("Company", "c_custkey", prefix + "{id}", "c_name", props), source),
-            mapping.apply_mapping(rows, RelationMapping("belongsToIndustry", "Company", "c_custkey", prefix + "{id}", "Industry", "c_mktsegment", "ind_{id}", from_value=True), source),
-        ]
-    return saved(mapping.union(parts).dropDuplicates(), "p")
+        mappings = (
+            EntityMapping("Company", "c_custkey", prefix + "{id}", "c_name", props),
+            RelationMapping("belongsToIndustry", "Company", "c_custkey", prefix + "{id}", "Industry", "c_mktsegment", "ind_{id}", from_value=True),
+        )
+        parts += [mapping.apply_mapping(rows, m, source) for m in mappings]
+        n += size(spark, sf_dir, "customer") * sum(map(per_row, mappings))
+    return saved(distinct_spread(mapping.union(parts), n), "p")
 
 
 def pairs_of(t: DataFrame) -> DataFrame:

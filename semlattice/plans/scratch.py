@@ -66,6 +66,37 @@ def spread(df: DataFrame, n: int, each: int = 250_000, by: Sequence[str] | None
     return df if n <= each else df.repartition(-(-n // each), *(by or df.columns))
 
 
+def distinct_spread(df: DataFrame, n: int, each: int = 250_000) -> DataFrame:
+    """The different rows of df, which has n rows at most, made distinct in tasks that each get about `each` rows, however many there are.
+
+    Columns that are one constant in the plan should be made by a union or an explode, else the tasks are dealt anew by Spark.
+    A row of very many copies is first made distinct among the copies of every sixteenth task, so that no task gets them all.
+    """
+    if n <= each:
+        return df.dropDuplicates()
+    tasks = -(-n // each)
+    shared = df.withColumn("distinct_share", F.spark_partition_id() % 16).repartition(tasks, *df.columns, "distinct_share").dropDuplicates()
+    return shared.select(df.columns).repartition(tasks, *df.columns).dropDuplicates()
+
+
+def looked_up(rows: DataFrame, known: DataFrame, on: str, n: int, how: str = "inner", each: int = 250_000) -> DataFrame:
+    """The n rows with the columns of known, which has one row for each key, over tasks of about `each` rows.
+
+    Tasks are dealt by number, so that they stay as small however many rows there are; AQE neither joins nor splits such ones. Keys of very many
+    rows, in number 16 * n / each at most, are therefore told first: their rows stay where they are and meet known's few rows by broadcast.
+    rows and known are read several times and should be written tables. how: inner, or left, where null stays null.
+    """
+    if n <= each:
+        return rows.hint("merge").join(known, on, how)
+    tasks = max(-(-n // each), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = F.pmod(F.xxhash64(*rows.columns), F.lit(16)).alias("share")
+    often = rows.select(on, share).where(F.col(on).isNotNull()).repartition(tasks, on, "share").groupBy(on, "share").agg(F.count("*").alias("n")).where(F.col("n") > each // 16)
+    often = saved(often.select(on).distinct())
+    of_often = join_checked(rows, saved(join_checked(known, often, on, "left_semi")), on)
+    others = join_checked(rows, often, on, "left_anti").repartition(tasks, on).hint("merge").join(known, on, how)
+    return of_often.unionByName(others)
+
+
 def numbered(df: DataFrame, column: str = "id") -> DataFrame:
     """The rows with dense numbers from 0, written first so that they never change.
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.mapping import apply_mapping, union
 from .config import EntityMapping, Property, RelationMapping
-from .scratch import spread
+from .scratch import distinct_spread, spread
 
 NATION = (EntityMapping("Institution", "n_nationkey", "n_{id}", "n_name", (Property("n_regionkey", "level", "integer"),)),)
 CUSTOMER = (
@@ -36,24 +36,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+SOURCE = {"segment": "customer", "brand": "lineitem"}
+
+
+def size(spark: SparkSession, sf_dir: str, part: str) -> int:
+    """Rows of the table that a part is made of, by its files' footers."""
+    return table(spark, sf_dir, SOURCE.get(part, part)).count()
+
+
+def per_row(m: EntityMapping | RelationMapping) -> int:
+    """Most triples that the mapping makes of a row of single values."""
+    return 3 + len(m.properties) if isinstance(m, EntityMapping) else 3
+
+
 def rows(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
     """The rows that a part's mappings read, over tasks of a bounded number of rows: each becomes several triples that are made distinct."""
     t = lambda name: table(spark, sf_dir, name)
     if part == "orders":
-        out, source = t("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year")), "orders"
+        out = t("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"))
     elif part == "brand":
-        out, source = t("lineitem").select("l_orderkey", "l_partkey").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select("l_orderkey", "p_brand"), "lineitem"
+        out = t("lineitem").select("l_orderkey", "l_partkey").join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").select("l_orderkey", "p_brand")
     elif part == "supplier":
-        out, source = t("supplier").join(t("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey"), "supplier"
+        out = t("supplier").join(t("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
     else:
-        source = "customer" if part == "segment" else part
-        out = t(source)
-    return spread(out, t(source).count())  # by the files' footers
+        out = t(SOURCE.get(part, part))
+    return spread(out, size(spark, sf_dir, part))
 
 
 PARTS = {"nation": NATION, "customer": CUSTOMER, "segment": SEGMENT, "orders": ORDERS, "brand": BRAND, "supplier": SUPPLIER}
 
 
 def triples(spark: SparkSession, sf_dir: str, *parts: str, only: Collection[str] | None = None) -> DataFrame:
-    """Distinct triples of the parts, of the predicates in `only` if given: one union, one shuffle."""
-    return union([apply_mapping(rows(spark, sf_dir, p), m, p, only=only) for p in parts for m in PARTS[p]]).dropDuplicates()
+    """Distinct triples of the parts, of the predicates in `only` if given: one union, dealt out by the number of triples that its rows may become."""
+    n = sum(size(spark, sf_dir, p) * min(per_row(m), len(only) if only else per_row(m)) for p in parts for m in PARTS[p])
+    return distinct_spread(union([apply_mapping(rows(spark, sf_dir, p), m, p, only=only) for p in parts for m in PARTS[p]]), n)

@@ -38,3 +38,25 @@ def test_spread_bounds_the_rows_of_a_task(spark):
     sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert sum(sizes) == 10_000 and max(sizes) < 1500
     assert scratch.spread(df, 10_000, each=10_000) is df
+
+
+def test_a_table_is_looked_up_in_tasks_of_bounded_size(spark):
+    """One key has half of the rows, some have none that are known; without hub and dealing one task would hold them."""
+    key = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 101 == 0, F.lit(None)).otherwise(F.col("id")).cast("long")
+    rows = scratch.saved(spark.range(40_000).select(key.alias("k"), F.col("id").alias("v")).coalesce(8))
+    known = scratch.saved(spark.range(0, 40_000, 3).union(spark.range(7, 8)).distinct().select(F.col("id").alias("k"), (F.col("id") * 10).alias("x")))
+    for how in ("inner", "left"):
+        out = scratch.looked_up(rows, known, "k", 40_000, how, each=2000)
+        want = rows.join(known, "k", how)
+        assert out.columns == want.columns and sorted(map(repr, out.collect())) == sorted(map(repr, want.collect()))
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) > 8 and max(sizes) < 6000
+    assert sorted(map(repr, scratch.looked_up(rows, known, "k", 40_000, "left").collect())) == sorted(map(repr, want.collect()))
+
+
+def test_rows_are_made_distinct_in_tasks_of_bounded_size(spark):
+    df = spark.range(0, 40_000, 1, 20).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.col("id") % 15_000).alias("x"), (F.col("id") % 2).alias("y"))
+    out = scratch.distinct_spread(df, 40_000, each=2000)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, df.distinct().collect()))
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 20 and max(sizes) < 2000
