@@ -7,6 +7,7 @@ from semlattice.plans import registry
 
 QUERIES = (
     "describe_entities",
+    "entity_detail",
 )
 
 
