@@ -8,6 +8,7 @@ from semlattice.plans import registry
 QUERIES = (
     "describe_entities",
     "entity_detail",
+    "entity_detail_all",
 )
 
 
