@@ -9,6 +9,7 @@ QUERIES = (
     "describe_entities",
     "entity_detail",
     "entity_detail_all",
+    "map_customer_triples",
 )
 
 
