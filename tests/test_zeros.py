@@ -10,6 +10,7 @@ QUERIES = (
     "entity_detail",
     "entity_detail_all",
     "map_customer_triples",
+    "merged_entity_detail",
 )
 
 
