@@ -11,6 +11,7 @@ QUERIES = (
     "entity_detail_all",
     "map_customer_triples",
     "merged_entity_detail",
+    "merged_predicate_objects",
 )
 
 
