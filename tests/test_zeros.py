@@ -12,6 +12,7 @@ QUERIES = (
     "map_customer_triples",
     "merged_entity_detail",
     "merged_predicate_objects",
+    "merged_properties_of",
 )
 
 
