@@ -13,6 +13,7 @@ QUERIES = (
     "merged_entity_detail",
     "merged_predicate_objects",
     "merged_properties_of",
+    "ntriples_round_trip",
 )
 
 
