@@ -14,6 +14,7 @@ QUERIES = (
     "merged_predicate_objects",
     "merged_properties_of",
     "ntriples_round_trip",
+    "properties_of",
 )
 
 
