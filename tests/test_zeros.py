@@ -15,6 +15,7 @@ QUERIES = (
     "merged_properties_of",
     "ntriples_round_trip",
     "properties_of",
+    "stream_of_files",
 )
 
 
