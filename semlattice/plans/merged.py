@@ -37,15 +37,15 @@ _M = """
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping slices of the customers as two sources of companies, in industries; descriptions differ by source."""
     props = (Property("c_mktsegment", "region"), Property("c_acctbal", "revenue", "decimal"), Property("c_nationkey", "employees", "integer"), Property("about", "description"))
-    parts, n = [], 0
+    parts, n, customers = [], 0, size(spark, sf_dir, "customer")
     for source, prefix, left_out in (("one", "c_", 0), ("two", "c2_", 1)):
-        rows = rows_of(spark, sf_dir, "customer").where(f"c_custkey % 3 <> {left_out}").withColumn("about", F.concat(F.lit(source + " "), "c_mktsegment"))
+        rows = rows_of(spark, sf_dir, "customer", customers).where(f"c_custkey % 3 <> {left_out}").withColumn("about", F.concat(F.lit(source + " "), "c_mktsegment"))
         mappings = (
             EntityMapping("Company", "c_custkey", prefix + "{id}", "c_name", props),
             RelationMapping("belongsToIndustry", "Company", "c_custkey", prefix + "{id}", "Industry", "c_mktsegment", "ind_{id}", from_value=True),
         )
         parts += [mapping.apply_mapping(rows, m, source) for m in mappings]
-        n += size(spark, sf_dir, "customer") * sum(map(per_row, mappings))
+        n += customers * sum(map(per_row, mappings))
     return saved(distinct_spread(mapping.union(parts), n), "p")
 
 

@@ -49,8 +49,11 @@ def per_row(m: EntityMapping | RelationMapping) -> int:
     return 3 + len(m.properties) if isinstance(m, EntityMapping) else 3
 
 
-def rows(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
-    """The rows that a part's mappings read, over tasks of a bounded number of rows: each becomes several triples that are made distinct."""
+def rows(spark: SparkSession, sf_dir: str, part: str, n: int | None = None) -> DataFrame:
+    """The rows that a part's mappings read, over tasks of a bounded number of rows: each becomes several triples that are made distinct.
+
+    n: the part's size(), if it is known.
+    """
     t = lambda name: table(spark, sf_dir, name)
     if part == "orders":
         out = t("orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("o_year"))
@@ -60,7 +63,7 @@ def rows(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
         out = t("supplier").join(t("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey")
     else:
         out = t(SOURCE.get(part, part))
-    return spread(out, size(spark, sf_dir, part))
+    return spread(out, size(spark, sf_dir, part) if n is None else n)
 
 
 PARTS = {"nation": NATION, "customer": CUSTOMER, "segment": SEGMENT, "orders": ORDERS, "brand": BRAND, "supplier": SUPPLIER}
@@ -68,5 +71,7 @@ PARTS = {"nation": NATION, "customer": CUSTOMER, "segment": SEGMENT, "orders": O
 
 def triples(spark: SparkSession, sf_dir: str, *parts: str, only: Collection[str] | None = None) -> DataFrame:
     """Distinct triples of the parts, of the predicates in `only` if given: one union, dealt out by the number of triples that its rows may become."""
-    n = sum(size(spark, sf_dir, p) * min(per_row(m), len(only) if only else per_row(m)) for p in parts for m in PARTS[p])
-    return distinct_spread(union([apply_mapping(rows(spark, sf_dir, p), m, p, only=only) for p in parts for m in PARTS[p]]), n)
+    sizes = {p: size(spark, sf_dir, p) for p in dict.fromkeys(parts)}
+    read = {p: rows(spark, sf_dir, p, n) for p, n in sizes.items()}
+    n = sum(sizes[p] * min(per_row(m), len(only) if only else per_row(m)) for p in parts for m in PARTS[p])
+    return distinct_spread(union([apply_mapping(read[p], m, p, only=only) for p in parts for m in PARTS[p]]), n)

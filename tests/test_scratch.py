@@ -60,3 +60,14 @@ def test_rows_are_made_distinct_in_tasks_of_bounded_size(spark):
     assert sorted(map(repr, out.collect())) == sorted(map(repr, df.distinct().collect()))
     sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) == 20 and max(sizes) < 2000
+
+
+def test_a_table_is_counted_once_for_all_of_its_mappings(spark, tmp_path, monkeypatch):
+    """Each count is a job of its own, which takes as long as a small query."""
+    from semlattice.plans import tables
+
+    spark.range(30).selectExpr("id as c_custkey", "'x' as c_name", "1.5D as c_acctbal", "'s' as c_mktsegment", "1 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    counted, size = [], tables.size
+    monkeypatch.setattr(tables, "size", lambda *a: counted.append(a[-1]) or size(*a))
+    assert tables.triples(spark, str(tmp_path), "customer").count() == 30 * 6 + 1
+    assert counted == ["customer"]
