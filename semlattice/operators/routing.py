@@ -79,6 +79,8 @@ WORDED = ("search_entities", "search_publications")
 MEASURED = ("numeric_rank",)
 #: Questions with one request that meet its answers in one group of a join.
 TOGETHER = 200
+#: Rows that a task of told() gives, about.
+TOLD = 2_000_000
 
 
 def requests(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -103,12 +105,20 @@ def told(answers: DataFrame, asked: DataFrame) -> DataFrame:
 
     Askers of one request stand in groups of about TOGETHER, and each group meets the answers on its own: a request
     of very many questions and very many answers is spread over the tasks, and nothing is shuffled after the join.
+    The rows to come are counted before, and beyond TOLD there are as many tasks as they ask for: by the few rows that
+    are joined, AQE would make a handful of tasks of them.
     """
-    asked = saved(asked)
-    groups = saved(asked.groupBy("question").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("groups")))
+    asked, answers = saved(asked), saved(answers)
+    each = answers.groupBy(F.col("text_id").alias("question")).agg(F.count("*").alias("answers"))
+    sizes = saved(asked.groupBy("question").agg(F.count("*").alias("askers")).hint("merge").join(each, "question"))
+    n = sizes.agg(F.coalesce(F.sum(F.col("askers") * F.col("answers")), F.lit(0))).first()[0]
+    groups = sizes.select("question", F.ceil(F.col("askers") / TOGETHER).cast("int").alias("groups"))
     askers = asked.hint("merge").join(groups, "question").select("question", "text_id", F.pmod(F.xxhash64("text_id"), F.col("groups")).cast("int").alias("group"))
-    dealt = saved(answers).withColumnRenamed("text_id", "question").hint("merge").join(groups, "question")
+    dealt = answers.withColumnRenamed("text_id", "question").hint("merge").join(groups, "question")
     dealt = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    if n > TOLD:
+        tasks = max(-(-n // TOLD), int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        askers, dealt = askers.repartition(tasks, "question", "group"), dealt.repartition(tasks, "question", "group")
     return askers.hint("merge").join(dealt, ["question", "group"]).select(answers.columns)
 
 

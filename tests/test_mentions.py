@@ -1,4 +1,5 @@
 from graphs import graph
+from pyspark.sql import functions as F
 
 from semlattice.operators import mentions as M
 from semlattice.operators import query as Q
@@ -78,6 +79,19 @@ def test_a_request_is_answered_once(spark, rows, monkeypatch):
     assert rows(R.result_summaries(routed, t, Q.no_merges(t), called_by=R.WHAT)) == rows(R.summaries(got, called_by=R.WHAT))
 
 
+def test_answers_are_told_in_tasks_by_their_number(spark, rows, monkeypatch):
+    """500 askers of one request with 40 answers: its rows are dealt to several tasks, though few rows are joined."""
+    asked = spark.range(501).select(F.when(F.col("id") < 500, "q").otherwise("r").alias("question"), F.col("id").cast("string").alias("text_id"))
+    answers = spark.range(40).select(F.lit("q").alias("text_id"), F.lit("scholars").alias("intent"), F.col("id").cast("string").alias("name"))
+    plain = rows(R.told(answers, asked))
+    monkeypatch.setattr(R, "TOGETHER", 20)
+    monkeypatch.setattr(R, "TOLD", 2000)
+    out = R.told(answers, asked)
+    assert rows(out) == plain and len(plain) == 20_000
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 6000
+
+
 def test_both_ways_find_the_same_places(spark, rows, monkeypatch):
     import random
 
