@@ -194,3 +194,14 @@ def test_joins_over_ids_shuffle_less_than_half(spark, works):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert 0 < by_ids < by_terms / 2
+
+
+def test_rankings_over_a_dictionary_of_many_small_tasks(spark, rows, monkeypatch):
+    """Tasks are dealt by the number of triples, also where one term stands in very many; both rankings are those over terms."""
+    people = [x for i in range(60) for x in ((f"a{i}", "type", "Scholar"), (f"a{i}", "affiliatedWith", f"n{min(i % 7, 2)}"), (f"w{i}", "type", "Publication"), (f"a{i % 11}", "authorOf", f"w{i}"))]
+    t = saved(graph(spark, *people, *[(f"n{i}", "type", "Institution") for i in range(4)], *[(f"n{i}", "name", f"Nation {i}") for i in range(4)]), "p")
+    monkeypatch.setattr(T, "EACH", 20)
+    g = T.encoded(t)
+    assert len({f for f in g.edges.inputFiles() if "p=type" in f}) > 4  # more than the session's shuffle partitions
+    want = rows(Q.institution_ranking(t))
+    assert len(want) == 4 and rows(T.institution_ranking(g)) == want and rows(T.institution_ranking_by_bitmaps(g, T.institution_bitmaps(g))) == want
