@@ -77,8 +77,8 @@ SCOPED = ("publications", "scholars", "entity_detail", "field_members", "industr
 CLASSED = ("list_class", "relation_rank")
 WORDED = ("search_entities", "search_publications")
 MEASURED = ("numeric_rank",)
-#: Questions with one request that meet its answers in one group of a join.
-TOGETHER = 200
+#: Questions with one request that meet a share of its answers in one group of a join.
+TOGETHER = 400
 #: Rows that a task of told() gives, about.
 TOLD = 2_000_000
 
@@ -103,23 +103,31 @@ def requests(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
 def told(answers: DataFrame, asked: DataFrame) -> DataFrame:
     """The rows of answers, whose text_id is a request, for each question (question, text_id) that asks for it.
 
-    Askers of one request stand in groups of about TOGETHER, and each group meets the answers on its own: a request
-    of very many questions and very many answers is spread over the tasks, and nothing is shuffled after the join.
-    The rows to come are counted before, and beyond TOLD there are as many tasks as they ask for: by the few rows that
-    are joined, AQE would make a handful of tasks of them.
+    Askers of one request stand in groups of about TOGETHER, its answers in shares of about TOLD / TOGETHER, and each group meets
+    each share on its own: a request of very many questions and very many answers is spread over the tasks, and nothing is shuffled
+    after the join. The rows to come are counted before, and beyond TOLD there are as many tasks as they ask for: by the few rows
+    that are joined, AQE would make a handful of tasks of them.
+
+    An answer comes with all askers of a group in a row. Parquet then writes one run for them, and the askers' short cycle is packed
+    well; the answers of each asker in a row would be a cycle that is too long for that, and may not fit a file's dictionary.
     """
     asked, answers = saved(asked), saved(answers)
     each = answers.groupBy(F.col("text_id").alias("question")).agg(F.count("*").alias("answers"))
     sizes = saved(asked.groupBy("question").agg(F.count("*").alias("askers")).hint("merge").join(each, "question"))
     n = sizes.agg(F.coalesce(F.sum(F.col("askers") * F.col("answers")), F.lit(0))).first()[0]
-    groups = sizes.select("question", F.ceil(F.col("askers") / TOGETHER).cast("int").alias("groups"))
-    askers = asked.hint("merge").join(groups, "question").select("question", "text_id", F.pmod(F.xxhash64("text_id"), F.col("groups")).cast("int").alias("group"))
-    dealt = answers.withColumnRenamed("text_id", "question").hint("merge").join(groups, "question")
-    dealt = dealt.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    parts = lambda c, size: F.ceil(F.col(c) / size).cast("int")
+    cells = sizes.select("question", parts("askers", TOGETHER).alias("groups"), parts("answers", max(1, TOLD // TOGETHER)).alias("shares"))
+    one_of = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    each_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    askers = asked.hint("merge").join(cells, "question").select("question", "text_id", one_of("groups", "text_id").alias("group"), each_of("shares").alias("share"))
+    told_to = [c for c in answers.columns if c != "text_id"]
+    dealt = answers.withColumnRenamed("text_id", "question").hint("merge").join(cells, "question")
+    dealt = dealt.select("question", *told_to, each_of("groups").alias("group"), one_of("shares", *told_to).alias("share"))
+    on = ["question", "group", "share"]
     if n > TOLD:
         tasks = max(-(-n // TOLD), int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        askers, dealt = askers.repartition(tasks, "question", "group"), dealt.repartition(tasks, "question", "group")
-    return askers.hint("merge").join(dealt, ["question", "group"]).select(answers.columns)
+        askers, dealt = askers.repartition(tasks, *on), dealt.repartition(tasks, *on)
+    return dealt.hint("merge").join(askers, on).select(answers.columns)
 
 
 def results(routed: DataFrame, t: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -145,31 +153,33 @@ def _results(routed: DataFrame, t: DataFrame, canonical: DataFrame) -> DataFrame
     of_kind = lambda *kinds: routed.where(F.col("intent").isin(*kinds))
     scoped = lambda q: q.select(F.col("text_id").alias("question"), "intent", F.explode("scopes").alias("entity"))
     shaped = lambda df: df.select(F.col("question").alias("text_id"), "intent", "name")
+    meant = lambda df, c="s": df.select("question", "intent", F.col(c).alias("s"))
     merged = canonical_of(t, canonical, "s")
     asked = saved(scoped(of_kind("publications", "scholars")))
     works = query.in_all_scopes(query.publications_for(t), asked.where("intent = 'publications'").select("question", "entity"))
-    by_work = called(works.withColumn("intent", F.lit("publications")), merged, "pub")
+    by_work = works.withColumn("intent", F.lit("publications"))
     ends = query.reverse_related(t, canonical, "affiliatedWith").unionByName(query.reverse_related(t, canonical, "belongsToField")).select(F.col("target").alias("entity"), F.col("s").alias("pub")).distinct()
     people = query.in_all_scopes(ends, asked.where("intent = 'scholars'").select("question", "entity")).join(types(t).where("class = 'Scholar'").select(F.col("s").alias("pub")), "pub", "left_semi")
-    by_person = called(people.withColumn("intent", F.lit("scholars")), merged, "pub")
+    by_person = people.withColumn("intent", F.lit("scholars"))
     detail = saved(scoped(of_kind("entity_detail")))
     facts = query.entity_detail(t, canonical, detail.select(F.col("entity").alias("uri")).distinct())
     by_fact = detail.join(facts.withColumnRenamed("uri", "entity"), "entity").select("question", "intent", F.concat_ws(": ", "p", "value").alias("name"))
     inside = saved(scoped(of_kind("field_members", "industry_companies")))
     members = query.reverse_related(t, canonical, "belongsToField").unionByName(query.reverse_related(t, canonical, "belongsToIndustry"))
-    by_member = called(inside.join(members.withColumnRenamed("target", "entity"), "entity"), merged)
+    by_member = inside.join(members.withColumnRenamed("target", "entity"), "entity")
     listed = saved(of_kind("list_class").select(F.col("text_id").alias("question"), "intent", F.explode("classes").alias("class")))
-    by_class = called(listed.join(query.members(t, canonical).select("s", "class").distinct(), "class"), merged)
+    by_class = listed.join(query.members(t, canonical).select("s", "class").distinct(), "class")
     words = saved(of_kind("search_entities", "search_publications").select(F.col("text_id").alias("question"), "intent", F.lower("keyword").alias("key")))
     # keywords are found in names as mentions are found in texts: by pieces of their lengths
     all_names = query.members(t, canonical).select("s", "class").distinct().join(canonical_of(labels(t), canonical, "s").select("s", "label").distinct(), "s")
     held = candidate_spans(all_names.select(F.col("label").alias("text_id"), F.col("label").alias("text")).distinct(), words.select("key").where(F.length("key") >= 2).distinct())
     hits = held.select(F.col("text_id").alias("label"), "key").distinct().join(all_names, "label").join(words, "key").where((F.col("intent") == "search_entities") | (F.col("class") == "Publication"))
-    by_word = called(hits.select("question", "intent", "s").distinct(), merged)
-    out = shaped(by_work)
-    for df in (by_person, by_fact, by_member, by_class, by_word):
-        out = out.unionByName(shaped(df))
-    return out.distinct()
+    by_word = hits.select("question", "intent", "s").distinct()
+    found = meant(by_work, "pub").unionByName(meant(by_person, "pub"))
+    for df in (by_member, by_class, by_word):
+        found = found.unionByName(meant(df))
+    # names are written and joined once for the entities of all intents
+    return shaped(called(found, merged)).unionByName(shaped(by_fact)).distinct()
 
 
 def summaries(results: DataFrame, shown: int = 15, called_by: dict[str, str] | None = None) -> DataFrame:

@@ -92,6 +92,29 @@ def test_answers_are_told_in_tasks_by_their_number(spark, rows, monkeypatch):
     assert len(sizes) >= 6 and max(sizes) <= 6000
 
 
+def test_a_request_of_very_many_answers_is_dealt_out(spark, rows, monkeypatch):
+    """40 askers of one request with 4,000 answers: two groups of askers, but many shares of the answers."""
+    asked = spark.range(40).select(F.lit("q").alias("question"), F.col("id").cast("string").alias("text_id"))
+    answers = spark.range(4000).select(F.lit("q").alias("text_id"), F.lit("scholars").alias("intent"), F.col("id").cast("string").alias("name"))
+    monkeypatch.setattr(R, "TOGETHER", 20)
+    monkeypatch.setattr(R, "TOLD", 2000)
+    out = R.told(answers, asked)
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 160_000 and max(sizes) <= 20_000
+    assert out.distinct().count() == 160_000 and out.join(asked, "text_id").join(answers.select("name"), "name").count() == 160_000
+
+
+def test_told_answers_are_written_in_few_bytes(spark, tmp_path, monkeypatch):
+    """300 askers of each of two requests with 2,500 answers of long names, which don't fit one dictionary: 1,500,000 rows in less than a byte each."""
+    monkeypatch.setattr(R, "TOLD", 250_000)
+    asked = spark.range(600).select(F.format_string("q%d", F.col("id") % 2).alias("question"), F.col("id").cast("string").alias("text_id"))
+    answers = spark.range(5000).select(F.format_string("q%d", F.col("id") % 2).alias("text_id"), F.lit("scholars").alias("intent"), F.concat(F.sha2(F.col("id").cast("string"), 512), F.sha2(F.col("id").cast("string"), 256)).alias("name"))
+    R.told(answers, asked).write.parquet(f"{tmp_path}/told")
+    assert spark.read.parquet(f"{tmp_path}/told").distinct().count() == 1_500_000
+    written = sum(p.stat().st_size for p in (tmp_path / "told").glob("*.parquet"))
+    assert written < 1_500_000, written
+
+
 def test_both_ways_find_the_same_places(spark, rows, monkeypatch):
     import random
 
